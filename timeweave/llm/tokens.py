@@ -80,7 +80,7 @@ def token_histogram(docs: DataFrame, json_path: str, rank_path: str | None = Non
     return encoded_lengths(docs, json_path, rank_path, text_col, by).groupBy(*by, "n_tokens").agg(F.count(F.lit(1)).alias("docs"))
 
 
-def length_report(histogram: DataFrame, by: Sequence[str] = (), block: int = 4096) -> DataFrame:
+def length_report(histogram: DataFrame, by: Sequence[str] = (), block: int = 64) -> DataFrame:
     """What a context limit of each length in the histogram would mean.
 
     Per (by..., n_tokens): docs and tokens of exactly that length, docs and tokens at least that
