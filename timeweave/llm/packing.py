@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from timeweave.llm.common import materialise
 from timeweave.llm.tokens import make_encoder
@@ -34,7 +35,7 @@ def encode_pieces(docs: DataFrame, json_path: str, rank_path: str | None, max_le
     for name in ("start", "length", "ids_crc32", "doc_tokens", "task", "local_rank"):
         schema = schema.add(name, "long", False)
     if ids:
-        schema = schema.add("ids", "array<int>", False)
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()), False)
     names = schema.names
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
