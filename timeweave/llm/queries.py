@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.llm import bagminhash, chat, exact_dedup, licenses, mixing, packing, tokens
+from timeweave.llm import additive_quantisation, bagminhash, chat, exact_dedup, licenses, mixing, packing, tokens
 from timeweave.llm.common import table
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,6 +40,11 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return additive_quantisation.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_chat_formatting": op7_chat_formatting,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
