@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.llm import additive_quantisation, bagminhash, chat, exact_dedup, licenses, mixing, packing, tokens
+from timeweave.llm import additive_quantisation, bagminhash, chat, exact_dedup, licenses, mixing, packing, quality_crf, tokens, toxicity
 from timeweave.llm.common import table
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,10 +36,18 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("full_hash").alias("text_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return additive_quantisation.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
@@ -55,7 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scans": op3_license_scans,
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
