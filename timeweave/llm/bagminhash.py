@@ -9,7 +9,8 @@ weights: weighted Jaccard, without bias.  A document needs only points up to the
 all components are surely filled, so the work for a signature hardly grows with its length.
 
 Documents with equal multisets become one node.  Nodes that share a band are compared with a
-centre of their bucket, by exact multiset overlap, and buckets get another centre until all
+centre of their bucket by exact multiset overlap.  Where that leaves a bucket's members in several
+components, they meet again in buckets of an exact prefix filter, which get more centres until all
 their members are connected or all were centres: no pair is skipped but those already connected.
 """
 
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -162,9 +164,9 @@ def _batches(texts: list[str | None], limit: int = 1 << 20, most: int = 4096) ->
 
 
 def sketch(docs: DataFrame, m: int, rows: int, words: int) -> DataFrame:
-    """(doc_id, node, bands): ``node`` names the multiset (16 bytes; null without words), ``bands`` a 64-bit key for each band."""
+    """(doc_id, node, items, bands): ``node`` names the multiset (16 bytes; null without words), ``items`` is its size, ``bands`` a 64-bit key for each band."""
     narrow = docs.select("doc_id", "text")
-    schema = narrow.select("doc_id").schema.add("node", "binary").add("bands", T.ArrayType(T.LongType()))
+    schema = narrow.select("doc_id").schema.add("node", "binary").add("items", "long").add("bands", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(m // rows, dtype=U) * U(GOLDEN)
@@ -176,11 +178,11 @@ def sketch(docs: DataFrame, m: int, rows: int, words: int) -> DataFrame:
                 sig = signatures(doc, sh, weight, n, m).astype(U).reshape(n, m // rows, rows)
                 keys = mix((mix(sig + U(GOLDEN)) * factor).sum(axis=2, dtype=U) + salt)
                 name = multiset_hash(doc, sh, weight, n)
-                empty = np.bincount(doc, minlength=n) == 0
-                nodes = pa.array([None if no else x.tobytes() for no, x in zip(empty, name, strict=True)], pa.binary())
+                items = np.bincount(doc, weight, minlength=n).astype(np.int64)
+                nodes = pa.array([None if no else x.tobytes() for no, x in zip(items == 0, name, strict=True)], pa.binary())
                 flat = pa.array(keys.astype(np.int64).reshape(-1))
                 offsets = pa.array(np.arange(n + 1, dtype=np.int32) * (m // rows))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), nodes, pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), nodes, pa.array(items), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "node", "items", "bands"])
 
     return narrow.mapInArrow(run, schema)
 
@@ -219,14 +221,14 @@ def components(links: DataFrame) -> DataFrame:
             return new.select("node", "label")
 
 
-def near_groups(docs: DataFrame, threshold: float = 0.8, words: int = 5, m: int = 96, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, threshold: float = 0.8, words: int = 5, m: int = 140, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, class_size, links, texts.
 
     A class is a connected component of documents whose multisets of ``words``-word shingles have
     a weighted Jaccard similarity of ``threshold`` at least; ``class_id`` is its smallest doc_id.
     ``links`` counts the verified links of the document's text in the spanning comparison, and
-    ``texts`` the class's different multisets.  With 24 bands of 4 rows a pair at 0.8 shares no
-    band with a probability of 3e-6.
+    ``texts`` the class's different multisets.  With 28 bands of 5 rows a pair at 0.8 shares no
+    band with a probability of 1.5e-5.
 
     Texts without words, empty and null ones are classes of their own.  A text of fewer words
     than a shingle is one shingle.  Repeated rows are in one class.  A null id counts in
@@ -234,18 +236,19 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, words: int = 5, m: int
     """
     rows_in = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketched = materialise(sketch(rows_in, m, rows, words), "near-sketch")
-    nodes = sketched.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"))
+    nodes = sketched.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.first("items").alias("items"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"))
     nodes = materialise(nodes, "near-nodes")
-    banded = nodes.select("node", F.explode("bands").alias("key"))
+    banded = nodes.select("node", "items", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = materialise(banded.join(shared, "key", "left_semi"), "near-members")
     linked = verified_links(rows_in, sketched, members, threshold, words)
-    if linked is None:
+    if linked is None or linked[0] is None:
+        linked = None
         grouped = sketched.select("doc_id", F.col("node").alias("label"), F.lit(0).cast("long").alias("links"))
     else:
         links, labels = linked
         degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("links"))
-        known = materialise(labels.join(degree, F.col("node") == F.col("a"), "left").select(F.col("node").alias("__tw_n"), "label", F.coalesce("links", F.lit(0)).alias("links")), "near-known")
+        known = materialise(degree.join(labels, F.col("node") == F.col("a")).select(F.col("node").alias("__tw_n"), "label", F.coalesce("links", F.lit(0)).alias("links")), "near-known")
         grouped = sketched.join(known, F.col("node") == F.col("__tw_n"), "left").select("doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     grouped = materialise(grouped, "near-grouped")
     if linked is None:
@@ -257,48 +260,121 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, words: int = 5, m: int
     return out.select("doc_id", F.when(F.col("__tw_l").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "links", F.coalesce("texts", F.lit(1)).alias("texts"))
 
 
-def verified_links(rows_in: DataFrame, sketched: DataFrame, members: DataFrame, threshold: float, words: int) -> tuple[DataFrame, DataFrame] | None:
-    """(links, labels of linked nodes) over all buckets; None if there are no links.
+def _relabel(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels`` (of every member) after new links: components of the graph of labels, which is small."""
+    one = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    two = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    between = found.join(one, "a").join(two, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct()
+    merged = components(between).select(F.col("node").alias("__tw_old"), F.col("label").alias("__tw_new"))
+    new = materialise(labels.join(merged, F.col("label") == F.col("__tw_old"), "left").select("node", F.coalesce("__tw_new", "label").alias("label")), "near-member-labels")
+    discard(labels)
+    return new
+
+
+def _centres(named: DataFrame, turn: int, few: int) -> DataFrame:
+    """(key, centre, its items and label) of unsettled buckets of ``named`` (key, node, items, place, label).
+
+    In the first turn every bucket has one centre, the first of its members by a hash that has
+    three variants, so that a document meets different centres in different bands.  Later,
+    members outside their bucket's largest component are centres: about ``few`` of them by hash,
+    twice as many each turn, or all if there are no more.  What is left after them has one label.
+    """
+    per_label = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.pmod("key", F.lit(3))).alias("o"), "node", "items", "place")).alias("first"))
+    per_key = per_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.min(F.struct("first", "label")).alias("first")).where("labels > 1")
+    if turn == 0:
+        return per_key.select("key", F.col("first.first.node").alias("centre"), F.col("first.first.items").alias("centre_items"), F.col("first.first.place").alias("centre_place"), F.col("first.label").alias("centre_label"))
+    chance = F.lit(float(few << (turn - 1))) / (F.col("n") - F.col("top.n"))
+    per_key = per_key.select("key", F.col("top.label").alias("__tw_top"), chance.alias("__tw_chance"))
+    drawn = F.pmod(F.xxhash64("node", F.col("key"), F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return named.join(per_key, "key").where((F.col("label") != F.col("__tw_top")) & (drawn < F.col("__tw_chance"))).select("key", F.col("node").alias("centre"), F.col("items").alias("centre_items"), F.col("place").alias("centre_place"), F.col("label").alias("centre_label"))
+
+
+def prefix_buckets(sets: DataFrame, threshold: float) -> DataFrame:
+    """(key, node, items, place) of ``sets`` (node, items): an exact filter for similar pairs.
+
+    A set's items in order of how rarely they are among ``sets``; two sets of similarity
+    ``threshold`` share an item that is among the first n - ceil(t n) + 1 of both.  ``place`` is
+    the item's place in that order.  What common passages share comes late in it.  Items of one
+    set only have a place, but are no buckets.
+    """
+    each = materialise(sets.select("node", F.size("items").cast("long").alias("n"), F.explode("items").alias("key")), "near-items")
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("of"))
+    rank = F.row_number().over(W.partitionBy("node").orderBy("of", "key"))
+    ranked = each.join(often, "key").withColumn("place", rank.cast("long"))
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
+    return ranked.where((F.col("place") <= first) & (F.col("of") > 1)).select("key", "node", F.col("n").alias("items"), "place")
+
+
+class _Links:
+    """The links verified so far, and the label of every member."""
+
+    def __init__(self, sets: DataFrame, labels: DataFrame, threshold: float):
+        self.sets, self.labels, self.threshold = sets, labels, threshold
+        self.links: DataFrame | None = None
+        self.tested: DataFrame | None = None
+
+    def turn(self, members: DataFrame, number: int, few: int) -> DataFrame | None:
+        """Compare the centres of unsettled buckets with their other members; the members that are left, or None."""
+        t = F.lit(self.threshold)
+        named = members.join(self.labels, "node")
+        centres = materialise(_centres(named, number, few), "near-centres")
+        if centres.isEmpty():
+            return None
+        # no item before the first shared one is shared, so what may be is bounded by what comes after it
+        after = F.least(F.col("items") - F.col("place"), F.col("centre_items") - F.col("centre_place")) + 1
+        possible = after >= t / (t + 1.0) * (F.col("items") + F.col("centre_items")) - 1e-9
+        met = named.join(centres, "key").where((F.col("label") != F.col("centre_label")) & possible)
+        pairs = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        left, right = self.sets.select(F.col("node").alias("a"), F.col("items").alias("x")), self.sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+        common = F.size(F.array_intersect("x", "y"))
+        near = (common >= t * (F.size("x") + F.size("y") - common) - 1e-9).alias("near")
+        checked = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", near), "near-checked")
+        found, seen = checked.where("near").select("a", "b"), checked.select("a", "b")
+        self.tested = seen if self.tested is None else self.tested.union(seen)
+        self.links = found if self.links is None else self.links.union(found)
+        here = members.join(centres.select("key").distinct(), "key", "left_semi")
+        here = materialise(here.join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti"), "near-members")
+        if not found.isEmpty():
+            self.labels = _relabel(self.labels, found)
+        return here
+
+    def unsettled(self, members: DataFrame) -> DataFrame:
+        """The nodes of buckets whose members have more than one label."""
+        named = members.join(self.labels, "node")
+        keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        return named.join(keys, "key", "left_semi").select("node").distinct()
+
+
+def verified_links(rows_in: DataFrame, sketched: DataFrame, members: DataFrame, threshold: float, words: int, few: int = 32) -> tuple[DataFrame, DataFrame] | None:
+    """(links, labels of all members) over all buckets; None if no bucket has two members.
 
-    Each round compares the members of every unsettled bucket with its next centre, unless the
-    two are already connected or were compared before.  A bucket is settled when its members have
-    one label; a centre leaves it, as it has met them all.
+    First every band bucket compares its members with one centre, unless they are connected
+    already.  The documents of buckets that are not settled by that - their members have more
+    than one label - meet again in the buckets of an exact prefix filter, where turns go on, with
+    more and more centres, until every bucket is settled; a centre leaves a bucket when it has
+    met the others.  Pairs that were compared before, or whose sizes or places of the shared item
+    rule the threshold out, are not compared.
     """
-    wanted = members.select("node").distinct()
-    if wanted.isEmpty():
+    labels = materialise(members.select("node").distinct().select("node", F.col("node").alias("label")), "near-member-labels")
+    if labels.isEmpty():
         return None
     # one document of each node
-    chosen = sketched.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("__tw_id"))
+    chosen = sketched.join(labels.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("__tw_id"))
     chosen = chosen.select(F.col("node").alias("__tw_node"), "__tw_id").where("__tw_id IS NOT NULL")
     texts = rows_in.join(chosen, F.col("doc_id") == F.col("__tw_id")).select(F.col("__tw_node").alias("node"), "text")
-    sets = materialise(shingle_sets(texts, words).groupBy("node").agg(F.first("items").alias("items")), "near-sets")
-    order = F.xxhash64("node")
-    links = tested = labels = None
-    while True:
-        named = members
-        if labels is not None:
-            named = members.join(labels.withColumnRenamed("node", "__tw_n"), F.col("node") == F.col("__tw_n"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        else:
-            named = named.withColumn("label", F.col("node"))
-        open_buckets = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(order.alias("o"), "node", "label")).alias("centre")).where("lo <> hi")
-        open_buckets = open_buckets.select(F.col("key").alias("__tw_key"), F.col("centre.node").alias("centre"), F.col("centre.label").alias("centre_label"))
-        met = materialise(named.join(open_buckets, F.col("key") == F.col("__tw_key")).where("node <> centre").select("key", "node", "label", "centre", "centre_label"), "near-met")
-        if met.isEmpty():
-            break
-        pairs = met.where("label <> centre_label").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        left, right = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-        common = F.size(F.array_intersect("x", "y"))
-        checked = pairs.join(left, "a").join(right, "b").select("a", "b", (common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9).alias("near"))
-        checked = materialise(checked, "near-checked")
-        tested = checked.select("a", "b") if tested is None else materialise(tested.union(checked.select("a", "b")), "near-tested")
-        found = checked.where("near").select("a", "b")
-        links = found if links is None else materialise(links.union(found), "near-links")
-        if not found.isEmpty():
-            labels = components(links)
-        members = met.select("key", "node")
-    return None if labels is None else (links, labels)
+    sets = materialise(shingle_sets(texts, words), "near-sets")
+    state = _Links(sets, labels, threshold)
+    left = state.turn(members.withColumn("place", F.lit(1).cast("long")), 0, few)
+    if left is not None:
+        rest = materialise(state.unsettled(left), "near-unsettled")
+        left = materialise(prefix_buckets(sets.join(rest, "node", "left_semi"), threshold), "near-members")
+        number = 0
+        while left is not None:
+            left = state.turn(left, number, few)
+            number += 1
+    return state.links, state.labels
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -127,11 +127,14 @@ class LabelModel:
     rates: np.ndarray  # (2, voters): how often each votes yes under clean and toxic
     weight: np.ndarray  # below 1 for voters that repeat others
 
-    def posterior(self, bits: np.ndarray) -> np.ndarray:
+    def posterior(self, bits: np.ndarray, told: np.ndarray | None = None, trust: float = 0.98) -> np.ndarray:
+        """Of toxic, given the votes; ``told`` is one more voter, the sample's labels, right with probability ``trust``."""
         v = (bits[:, None] >> np.arange(len(self.weight)) & 1).astype(float)
         yes = np.log(self.rates[1] / self.rates[0])
         no = np.log((1 - self.rates[1]) / (1 - self.rates[0]))
         z = np.log(self.prior / (1 - self.prior)) + (v * yes + (1 - v) * no) @ self.weight
+        if told is not None:
+            z = z + np.where(told, 1, -1) * np.log(trust / (1 - trust)) + np.where(told, -1, 0) * np.log(self.prior / (1 - self.prior))
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
@@ -213,14 +216,13 @@ def _sample(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, pe
     return [r["text"] for r in rows], np.array([r["label"] == 1 for r in rows], bool), shares.get(1, 0) / known if known else 0.05
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, threshold: float = 0.3, per_class: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, per_class: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> LinearModel:
+    """The trained classifier.
 
     Labels come only from rows whose crc32(id as text) mod ``modulus`` is not ``remainder``, and
     of those at most ``per_class`` of each class (first by hashed id) are used; a document with
     contradicting labels counts as toxic.  Vote patterns are counted over all documents that are
-    not held out.  Null and empty texts get the score of a text without any known feature.  With
-    no labels at all the fixed lexicons alone train the model.  Repeated rows are scored each.
+    not held out.  With no labels at all the fixed lexicons alone make the model.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
@@ -240,11 +242,22 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, remaind
     tally = open_rows.mapInArrow(ballots, "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n")).collect()
     tally.sort(key=lambda r: r["bits"])
     model = fit_label_model(np.array([r["bits"] for r in tally], np.int64), np.array([r["n"] for r in tally], float), anchors, toxic, len(voters), share)
-    target = model.posterior(anchors) if len(anchors) else np.zeros(0)
-    each = np.where(toxic, share / max(toxic.sum(), 1), (1 - share) / max((~toxic).sum(), 1)) * max(len(toxic), 1)
+    if not documents:
+        return LinearModel(-3.0, dict.fromkeys(INSULTS, 4.0))
+    target = model.posterior(anchors, toxic)
+    each = np.where(toxic, share / max(toxic.sum(), 1), (1 - share) / max((~toxic).sum(), 1)) * len(toxic)
     fixed = [w for w in INSULTS + THREATS + ABROAD if w not in set(mined)]
-    linear = train_linear(documents, target, each, [*mined, *fixed]) if len(documents) else LinearModel(-3.0, dict.fromkeys(INSULTS, 4.0))
+    return train_linear(documents, target, each, [*mined, *fixed])
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, threshold: float = 0.3, per_class: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, score, predicted (1: toxic).
 
+    See ``fit_toxicity``.  Null and empty texts get the score of a text without any known
+    feature.  Repeated rows are scored each; an empty table gives no rows.
+    """
+    linear = fit_toxicity(docs, labels, modulus, remainder, per_class, id_col, text_col, label_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = rows.select("doc_id").schema.add("score", "double", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,3 +266,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, remaind
 
     scored = rows.mapInArrow(run, schema)
     return scored.select("doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, all columns kept; nothing is shuffled to score them."""
+    linear = fit_toxicity(docs, labels, text_col=text_col, **options)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = linear.score(batch.column(place).to_pylist()) < threshold
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
