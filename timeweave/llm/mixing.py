@@ -46,8 +46,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_epo
     per = per.withColumn("__tw_open", F.sum("weight").over(by_cap.rowsBetween(W.currentRow, W.unboundedFollowing)))
     per = per.withColumn("__tw_budget", F.sum("source_size").over(everything) * F.lit(float(share)))
     per = per.withColumn("__tw_level", (F.col("__tw_budget") - F.col("__tw_capped")) / F.col("__tw_open"))
-    fits = F.when(F.col("__tw_level") <= F.col("__tw_at"), F.col("__tw_level"))
-    per = per.withColumn("__tw_l", F.min(fits).over(everything))
+    fits = F.when(F.col("__tw_level") <= F.col("__tw_at"), F.struct(F.row_number().over(by_cap).alias("k"), F.col("__tw_level").alias("level")))
+    per = per.withColumn("__tw_fits", fits).withColumn("__tw_l", F.min("__tw_fits").over(everything)["level"])
     target = F.when(F.col("__tw_l").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("weight") * F.col("__tw_l")))
     return per.select("source", "source_size", "docs", target.alias("target"))
 

@@ -75,10 +75,10 @@ WITH rows AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
 weighed AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT + 1]::DOUBLE AS weight, (3 * source_size)::DOUBLE AS cap FROM per),
-ranked AS (SELECT *, cap / weight AS reach, sum(source_size) OVER ()::DOUBLE AS budget,
+ranked AS (SELECT *, cap / weight AS reach, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS k, sum(source_size) OVER ()::DOUBLE AS budget,
   coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS capped,
   sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM weighed),
-level AS (SELECT min((budget - capped) / free) AS l FROM ranked WHERE (budget - capped) / free <= reach),
+level AS (SELECT arg_min((budget - capped) / free, (reach, k)) AS l FROM ranked WHERE (budget - capped) / free <= reach),
 targets AS (SELECT source, source_size, CASE WHEN l IS NULL THEN cap ELSE least(cap, weight * l) END AS target FROM ranked, level),
 placed AS (
   SELECT r.doc_id, r.source, r.size, t.source_size, t.target, sum(r.size) OVER (PARTITION BY r.source ORDER BY r.key, r.doc_id, r.size ROWS UNBOUNDED PRECEDING)::BIGINT AS cum
