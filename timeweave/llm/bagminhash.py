@@ -239,8 +239,8 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, words: int = 5, m: int
     nodes = sketched.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.first("items").alias("items"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"))
     nodes = materialise(nodes, "near-nodes")
     banded = nodes.select("node", "items", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = materialise(banded.join(shared, "key", "left_semi"), "near-members")
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    members = materialise(banded.join(shared, "key"), "near-members")
     linked = verified_links(rows_in, sketched, members, threshold, words)
     if linked is None or linked[0] is None:
         linked = None
@@ -272,14 +272,14 @@ def _relabel(labels: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _centres(named: DataFrame, turn: int, few: int) -> DataFrame:
-    """(key, centre, its items and label) of unsettled buckets of ``named`` (key, node, items, place, label).
+    """(key, centre, its items and label) of unsettled buckets of ``named`` (key, node, items, place, met, label).
 
-    In the first turn every bucket has one centre, the first of its members by a hash that has
-    three variants, so that a document meets different centres in different bands.  Later,
+    In the first turn every bucket has one centre, the member that meets most others over all
+    its buckets: what a group's members were copied from, rather than one of them.  Later,
     members outside their bucket's largest component are centres: about ``few`` of them by hash,
     twice as many each turn, or all if there are no more.  What is left after them has one label.
     """
-    per_label = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.pmod("key", F.lit(3))).alias("o"), "node", "items", "place")).alias("first"))
+    per_label = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("met")).alias("o"), "node", "items", "place")).alias("first"))
     per_key = per_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.min(F.struct("first", "label")).alias("first")).where("labels > 1")
     if turn == 0:
         return per_key.select("key", F.col("first.first.node").alias("centre"), F.col("first.first.items").alias("centre_items"), F.col("first.first.place").alias("centre_place"), F.col("first.label").alias("centre_label"))
@@ -290,11 +290,11 @@ def _centres(named: DataFrame, turn: int, few: int) -> DataFrame:
 
 
 def prefix_buckets(sets: DataFrame, threshold: float) -> DataFrame:
-    """(key, node, items, place) of ``sets`` (node, items): an exact filter for similar pairs.
+    """(key, node, items, place, met) of ``sets`` (node, items): an exact filter for similar pairs.
 
     A set's items in order of how rarely they are among ``sets``; two sets of similarity
     ``threshold`` share an item that is among the first n - ceil(t n) + 1 of both.  ``place`` is
-    the item's place in that order.  What common passages share comes late in it.  Items of one
+    the item's place in that order, ``met`` how many sets share its items.  What common passages share comes late in it.  Items of one
     set only have a place, but are no buckets.
     """
     each = materialise(sets.select("node", F.size("items").cast("long").alias("n"), F.explode("items").alias("key")), "near-items")
@@ -302,7 +302,8 @@ def prefix_buckets(sets: DataFrame, threshold: float) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("node").orderBy("of", "key"))
     ranked = each.join(often, "key").withColumn("place", rank.cast("long"))
     first = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
-    return ranked.where((F.col("place") <= first) & (F.col("of") > 1)).select("key", "node", F.col("n").alias("items"), "place")
+    ranked = ranked.where((F.col("place") <= first) & (F.col("of") > 1))
+    return ranked.select("key", "node", F.col("n").alias("items"), "place", F.sum("of").over(W.partitionBy("node")).alias("met"))
 
 
 class _Links:
@@ -366,7 +367,9 @@ def verified_links(rows_in: DataFrame, sketched: DataFrame, members: DataFrame,
     texts = rows_in.join(chosen, F.col("doc_id") == F.col("__tw_id")).select(F.col("__tw_node").alias("node"), "text")
     sets = materialise(shingle_sets(texts, words), "near-sets")
     state = _Links(sets, labels, threshold)
-    left = state.turn(members.withColumn("place", F.lit(1).cast("long")), 0, few)
+    met = members.groupBy("node").agg(F.sum("met").alias("met"))
+    members = members.drop("met").join(met, "node").withColumn("place", F.lit(1).cast("long"))
+    left = state.turn(members, 0, few)
     if left is not None:
         rest = materialise(state.unsettled(left), "near-unsettled")
         left = materialise(prefix_buckets(sets.join(rest, "node", "left_semi"), threshold), "near-members")
