@@ -61,7 +61,7 @@ SCALARS: dict[str, Callable[..., Column]] = {
     "floor": _whole(F.floor),
     "format_iso8601": temporal.format_iso8601,
     "head": lambda a: F.get(a, F.lit(0)),
-    "json": lambda s, path: F.get_json_object(s, path),
+    "json": lambda s, path: F.call_function("get_json_object", s, path),
     "keys": F.map_keys,
     "last": lambda a: F.when(F.size(a) > 0, F.element_at(a, -1)),
     "left": lambda s, n: substring(s, F.lit(0), n),

@@ -40,6 +40,10 @@ class EdgeTable:
     def props(self) -> list[str]:
         return [c for c in self.df.columns if c not in ("src", "dst", "edge_id")]
 
+    def key(self) -> Column:
+        """The edge's id over all tables of the graph."""
+        return F.concat(F.lit(f"{self.type}:{self.src_label}:{self.dst_label}:"), F.col("edge_id").cast("string"))
+
 
 @dataclass(frozen=True)
 class TemporalGraph:

@@ -30,7 +30,8 @@ def simple(edges: DataFrame) -> DataFrame:
 
 def oriented(edges: DataFrame, direction: str) -> DataFrame:
     """Edges from ``src`` to ``dst`` in the direction of travel: out, in or both."""
-    back = edges.withColumnsRenamed({"src": "dst", "dst": "src"}).select(*edges.columns)
+    swap = {"src": "dst", "dst": "src"}
+    back = edges.select(*[F.col(swap.get(c, c)).alias(c) for c in edges.columns])
     return edges if direction == "out" else back if direction == "in" else edges.unionByName(back.where("src <> dst"))
 
 

@@ -63,9 +63,9 @@ def delete_nodes(graph: TemporalGraph, label: str, ids: DataFrame) -> TemporalGr
 
 
 def delete_edges(graph: TemporalGraph, type_: str, ids: DataFrame) -> TemporalGraph:
-    """Edges of ``type_`` whose edge_id is in ``ids`` (edge_id) go."""
-    gone = ids.select(F.col("edge_id").cast("string").alias("_gone")).distinct()
-    edges = tuple(replace(e, df=e.df.join(gone, F.col("edge_id").cast("string") == F.col("_gone"), "left_anti")) if e.type == type_ else e for e in graph.edges)
+    """Edges of ``type_`` whose ``EdgeTable.key()`` is in ``ids`` (key) go."""
+    gone = ids.select(F.col("key").alias("_gone")).distinct()
+    edges = tuple(replace(e, df=e.df.join(gone, e.key() == F.col("_gone"), "left_anti")) if e.type == type_ else e for e in graph.edges)
     return replace(graph, edges=edges)
 
 

@@ -315,7 +315,7 @@ class Compiler:
             la, lb = (e.dst_label, e.src_label) if backwards else (e.src_label, e.dst_label)
             one = df.select(
                 *[F.col(p).alias(columns[p]) for p in e.props],
-                F.concat(F.lit(e.type + ":"), F.col("edge_id").cast("string")).alias(columns["edge_id"]),
+                e.key().alias(columns["edge_id"]),
                 F.lit(e.type).alias(columns["type"]),
                 F.col("src").alias(columns["src"]),
                 F.col("dst").alias(columns["dst"]),

@@ -203,7 +203,7 @@ class GraphSession:
             edges = []
             for e in self.graph.edges:
                 if e.type in bound.types:
-                    keyed = NodeTable(e.type, e.df.withColumn("id", F.concat(F.lit(e.type + ":"), F.col("edge_id").cast("string"))))
+                    keyed = NodeTable(e.type, e.df.withColumn("id", e.key()))
                     one = writes.set_property(replace(self.graph, nodes={e.type: keyed}), e.type, ids, prop, "_new")
                     e = replace(e, df=one.nodes[e.type].df.drop("id"))
                 edges.append(e)
@@ -220,7 +220,7 @@ class GraphSession:
                 self.graph = writes.delete_nodes(self.graph, label, ids)
         elif isinstance(bound, RelVar):
             for t in dict.fromkeys(bound.types):
-                ids = rows.df.where(F.col(bound.columns["type"]) == t).select(F.substring_index(F.col(bound.columns["edge_id"]), ":", -1).alias("edge_id"))
+                ids = rows.df.where(F.col(bound.columns["type"]) == t).select(F.col(bound.columns["edge_id"]).alias("key"))
                 self.graph = writes.delete_edges(self.graph, t, ids)
         else:
             raise QueryError(f"DELETE needs a node or relationship, not {var}")
