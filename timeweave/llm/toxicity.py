@@ -62,23 +62,31 @@ def _heads(features: Iterable[str]) -> frozenset[str]:
     return frozenset(f.rstrip("*")[:4] for f in features)
 
 
-def mine(documents: Sequence[set[str]], toxic: np.ndarray, least: float = 15.0, most: int = 4000) -> list[str]:
-    """Features that speak for the toxic class, strongest first: log-likelihood ratio of at least ``least``."""
+def mine(texts: Sequence[str | None], toxic: np.ndarray, least: float = 15.0, most: int = 4000) -> list[str]:
+    """Features that speak for the toxic class, strongest first: log-likelihood ratio of at least ``least``.
+
+    Toxic texts are read twice: a table of counts by hash first, so that only features which may
+    occur in two of them are ever held by name.
+    """
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     if not n1 or not n0:
         return []
+    size = 1 << 22
+    seen = np.zeros(size, np.uint16)
+    for text in (t for t, y in zip(texts, toxic, strict=True) if y):
+        slots = np.unique(np.fromiter((hash(f) % size for f in features_of(words_of(text))), np.int64))
+        seen[slots] += 1
     in1: Counter[str] = Counter()
+    for text in (t for t, y in zip(texts, toxic, strict=True) if y):
+        in1.update(f for f in features_of(words_of(text)) if seen[hash(f) % size] > 1)
+    in1 = Counter({f: n for f, n in in1.items() if n > 1})
     in0: Counter[str] = Counter()
-    for words, t in zip(documents, toxic, strict=True):
-        if t:
-            in1.update(features_of(words))
-    for words, t in zip(documents, toxic, strict=True):
-        if not t:
-            in0.update(f for f in features_of(words) if f in in1)
+    for text in (t for t, y in zip(texts, toxic, strict=True) if not y):
+        in0.update(f for f in features_of(words_of(text)) if f in in1)
     found = []
     for f, a in in1.items():
         b = in0[f]
-        if a < 2 or a / n1 <= 3 * b / n0:
+        if a / n1 <= 3 * b / n0:
             continue
         share = (a + b) / (n1 + n0)
         g = 2 * (a * np.log(a / (n1 * share)) + (b * np.log(b / (n0 * share)) if b else 0))
@@ -182,17 +190,17 @@ class LinearModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train_linear(documents: Sequence[set[str]], target: np.ndarray, importance: np.ndarray, features: Sequence[str], rounds: int = 400, decay: float = 0.02) -> LinearModel:
+def train_linear(texts: Sequence[str | None], target: np.ndarray, importance: np.ndarray, features: Sequence[str], rounds: int = 400, decay: float = 0.02) -> LinearModel:
     """Logistic regression on soft labels, weights at or above zero, by AdaGrad over the whole sample."""
     place = {f: i for i, f in enumerate(features)}
     heads = _heads(features)
-    pairs = [(i, place[f]) for i, words in enumerate(documents) for f in sorted(_known(words, heads, place))]
+    pairs = [(i, place[f]) for i, text in enumerate(texts) for f in sorted(_known(words_of(text), heads, place))]
     row, col = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
     w, bias = np.zeros(len(features)), -2.0
     past_w, past_b = np.full(len(features), 1e-8), 1e-8
     total = importance.sum()
     for _ in range(rounds):
-        z = bias + np.bincount(row, w[col], minlength=len(documents))
+        z = bias + np.bincount(row, w[col], minlength=len(texts))
         r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * importance / total
         grad = np.bincount(col, r[row], minlength=len(features)) + decay / total * w
         past_w, past_b = past_w + grad**2, past_b + r.sum() ** 2
@@ -227,8 +235,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
     texts, toxic, share = _sample(rows, marks, modulus, remainder, per_class)
-    documents = [words_of(t) for t in texts]
-    mined = mine(documents, toxic)
+    mined = mine(texts, toxic)
     voters = make_voters(mined)
     anchors = vote(voters, texts)
 
@@ -242,12 +249,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder
     tally = open_rows.mapInArrow(ballots, "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n")).collect()
     tally.sort(key=lambda r: r["bits"])
     model = fit_label_model(np.array([r["bits"] for r in tally], np.int64), np.array([r["n"] for r in tally], float), anchors, toxic, len(voters), share)
-    if not documents:
+    if not texts:
         return LinearModel(-3.0, dict.fromkeys(INSULTS, 4.0))
     target = model.posterior(anchors, toxic)
     each = np.where(toxic, share / max(toxic.sum(), 1), (1 - share) / max((~toxic).sum(), 1)) * len(toxic)
     fixed = [w for w in INSULTS + THREATS + ABROAD if w not in set(mined)]
-    return train_linear(documents, target, each, [*mined, *fixed])
+    return train_linear(texts, target, each, [*mined, *fixed])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, threshold: float = 0.3, per_class: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
