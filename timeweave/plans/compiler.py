@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -150,7 +151,7 @@ class Compiler:
 
     def fresh(self, name: str) -> str:
         self.n += 1
-        return f"{name}__{self.n}"
+        return f"{re.sub(r'\W', '_', name)}__{self.n}"
 
     def subquery(self, c: ast.Subquery, rows: Rows | None) -> Rows:
         """An inner query that starts with WITH over outer variables runs for each row; any other is crossed."""
