@@ -216,3 +216,62 @@ def test_bad_durations(text):
 def test_timestamps():
     assert parse_timestamp("2024-01-01T02:00:00+02:00") == dt.datetime(2024, 1, 1)
     assert parse_timestamp("2024-01-01 00:00:00.5") == dt.datetime(2024, 1, 1, 0, 0, 0, 500000)
+
+
+def test_ordered_stream_waits_for_gaps(spark, tmp_path):
+    first, second = [record(1, 3, 103, 1, 3), record(1, 1, 101, 1, 1), record(2, 2, 2, 9, 9)], [record(1, 2, 102, 1, 2), record(1, 1, 101, 1, 1)]
+    for rows in (first, second):
+        spark.createDataFrame(rows, cdc.SCHEMA).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/log")
+    stream = spark.readStream.schema(cdc.SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/log")
+    q = cdc.ordered_stream(stream).writeStream.format("memory").queryName("ordered").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert ids(spark.table("ordered"), "partition_id", "offset", "target_id") == [(1, 1, 1), (1, 2, 2), (1, 3, 3)]
+
+
+def test_resume():
+    assert cdc.resume(2, 2, 10, 11) == "TAIL" and cdc.resume(2, 2, 10, 12) == "SNAPSHOT" and cdc.resume(2, 1, 10, 1) == "SNAPSHOT" and cdc.resume(2, None, None, 1) == "SNAPSHOT"
+
+
+def test_replace_partition(spark, tmp_path):
+    make = lambda *r: spark.createDataFrame(list(r), cdc.SCHEMA)
+    view = cdc.EdgeView(spark, f"file://{tmp_path}/v")
+    view.apply(make(record(1, 1, 5, 1, 2), record(2, 1, 5, 3, 4)), 0)
+    view.replace_partition(1, make(record(1, 7, 9, 1, 8)), 1)
+    assert ids(view.edges(), "partition_id", "target_id") == [(1, 8), (2, 4)]
+
+
+def test_store(spark):
+    from timeweave.operators.store import Store
+
+    cell = lambda *r: spark.createDataFrame(list(r), "entity_id long, column string, ts timestamp_ntz, value string")
+    s = Store.empty(spark).put(cell((1, "a", T(1), "x"), (1, "a", T(5), "y"), (2, "a", T(1), "z"))).put(cell((1, "a", T(5), "w")))
+    s = s.put_static(spark.createDataFrame([(1, "name", "n")], "entity_id long, column string, value string"))
+    assert ids(s.get(T(1)), "entity_id", "column", "value") == [(1, "a", "x"), (1, "name", "n"), (2, "a", "z")]
+    assert ids(s.get(T(9)), "entity_id", "column", "value") == [(1, "a", "w"), (1, "name", "n"), (2, "a", "z")]
+    gone = s.delete(spark.createDataFrame([(1, "a", T(6))], "entity_id long, column string, ts timestamp_ntz"))
+    assert ids(gone.get(T(9)), "entity_id", "column") == [(1, "name"), (2, "a")]
+    assert ids(s.compact(T(5)).get(T(9)), "value") == ids(s.get(T(9)), "value") and s.compact(T(5)).cells.count() < s.cells.count()
+    assert [r.ts for r in s.scan(T(0), T(9)).where("entity_id = 1").collect()] == [T(5), T(5), T(1)]
+    edge = lambda t, ty="e": spark.createDataFrame([(1, 2, ty, T(t))], "src long, dst long, type string, ts timestamp_ntz")
+    s = s.put_edges(edge(1)).delete_edges(edge(3)).put_edges(edge(2, "f"))
+    assert ids(s.neighbors(T(2), 1), "type") == [("e",), ("f",)] and ids(s.neighbors(T(4), 2, "in"), "type") == [("f",)]
+    mark = lambda t: spark.createDataFrame([(1, T(t))], "entity_id long, ts timestamp_ntz")
+    s = s.mark(mark(1), "Created").mark(mark(4), "Deleted")
+    assert ids(s.alive(T(2)), "entity_id") == [(1,)] and ids(s.alive(T(4)), "entity_id") == []
+
+
+def test_portion_of_splits(spark):
+    df = spark.createDataFrame([(1, T(0), T(10), 5), (2, T(3), None, 5), (3, T(8), T(9), 5)], "k long, valid_from timestamp_ntz, valid_to timestamp_ntz, v long")
+    out = fold.portion_of(df, T(2), T(6), {"v": F.lit(9)})
+    got = sorted(((r.k, r.valid_from, r.valid_to, r.v) for r in out.collect()), key=str)
+    assert got == sorted([(1, T(0), T(2), 5), (1, T(2), T(6), 9), (1, T(6), T(10), 5), (2, T(3), T(6), 9), (2, T(6), None, 5), (3, T(8), T(9), 5)], key=str)
+
+
+def test_write_partitioned_prunes(spark, tmp_path):
+    from timeweave.operators import partitioning
+
+    df = spark.createDataFrame([(i, T(i * 10)) for i in range(20)], "id long, ts timestamp_ntz")
+    partitioning.write_partitioned(df, f"file://{tmp_path}/p", "id", 4, "ts")
+    back = spark.read.parquet(f"file://{tmp_path}/p")
+    assert back.count() == 20 and len(back.where("part = 1 AND day = DATE '2024-01-01'").inputFiles()) >= 1
+    assert "PartitionFilters: [isnotnull(part" in back.where("part = 1")._jdf.queryExecution().toString()

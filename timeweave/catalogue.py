@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from timeweave.functions.aggregates import temporal_avg
 from timeweave.functions.temporal import at, format_iso8601, micros, parse_duration
-from timeweave.operators import fold, intervals, traverse, writes
+from timeweave.operators import fold, intervals, partitioning, scans, traverse, writes
 from timeweave.session import GraphSession
 from timeweave.sources.tables import event_log, lifecycle, link_edges, shop_graph, table, user_history
 from timeweave.streaming import cdc, windows
@@ -673,3 +673,78 @@ def merge_sorted_page(spark, sf_dir):
 def partition_by_time(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("hour", F.expr("unix_micros(cast(ts AS TIMESTAMP)) div 3600000000")).withColumn("part", (F.col("user_id") % 8).cast("int"))
     return e.groupBy("hour", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+# the storage-level scans
+
+
+@registered("predicate_scan", f"SELECT event_id, user_id, value FROM events WHERE value >= 50 AND event_type IN ('click', 'view') AND contains(props, '7') AND ts BETWEEN {T0} AND {T1}")
+def predicate_scan(spark, sf_dir):
+    p = scans.Predicate([("value", ">=", 50), ("event_type", "in", ["click", "view"]), ("props", "like", "7")], (MOMENT, LATER), ["event_id", "user_id", "value"])
+    return scans.scan(table(spark, sf_dir, "events"), p)
+
+
+@registered("predicate_aggregate", "SELECT count(*) AS n, min(value) AS low, max(value) AS high FROM events WHERE event_type <> 'error'")
+def predicate_aggregate(spark, sf_dir):
+    p = scans.Predicate([("event_type", "<>", "error")], aggregate=[F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")])
+    return scans.scan(table(spark, sf_dir, "events"), p)
+
+
+@registered("scan_ids_limit", "SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_orderkey BETWEEN 50 AND 5000 ORDER BY 1 LIMIT 25")
+def scan_ids_limit(spark, sf_dir):
+    return scans.scan_ids(table(spark, sf_dir, "orders"), 50, 5000, 25, key="o_orderkey").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+
+
+@registered("batch_get_table", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 490000)")
+def batch_get_table(spark, sf_dir):
+    wanted = table(spark, sf_dir, "orders").where("o_totalprice > 490000").select("o_custkey")
+    return scans.batch_get(table(spark, sf_dir, "customer"), wanted, "c_custkey").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+
+
+@registered("get_node_snapshot", f"WITH {LIFE} SELECT user_id, max(ts) AS ts, max_by(value, ts) AS value FROM events WHERE user_id = 7 AND ts <= {T0} AND (SELECT max_by(event, ts) FROM life WHERE entity_id = 7 AND ts <= {T0}) <> 'Deleted' GROUP BY 1")
+def get_node_snapshot(spark, sf_dir):
+    return scans.get_node(user_history(spark, sf_dir), lifecycle(spark, sf_dir), 7, MOMENT, ("user_id",))
+
+
+@registered("snapshot_edges_live_ends", f"WITH {ELOG}, {LIFE}, f AS (SELECT user_id AS src, item AS dst FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item ORDER BY ts DESC, seq DESC) AS n FROM elog WHERE ts <= {T0}) WHERE n = 1 AND op <> 'DELETE'), gone AS (SELECT entity_id FROM life WHERE ts <= {T0} GROUP BY 1 HAVING max_by(event, ts) = 'Deleted') SELECT src, dst FROM f WHERE src NOT IN (SELECT entity_id FROM gone) AND dst NOT IN (SELECT entity_id FROM gone)")
+def snapshot_edges_live_ends(spark, sf_dir):
+    log = event_log(spark, sf_dir).withColumnsRenamed({"user_id": "src", "item": "dst"})
+    return scans.snapshot_edges(log, lifecycle(spark, sf_dir), MOMENT).select("src", "dst")
+
+
+@registered("temporal_query_changes", f"SELECT user_id, ts, value FROM events WHERE ts >= {T0} AND ts < {T1}")
+def temporal_query_changes(spark, sf_dir):
+    return scans.temporal_query(user_history(spark, sf_dir), ["user_id"], "changes_in_range", "value", MOMENT, LATER)
+
+
+@registered("temporal_query_latest", "SELECT user_id, max(ts) AS ts, max_by(value, ts) AS value FROM events GROUP BY 1")
+def temporal_query_latest(spark, sf_dir):
+    return scans.temporal_query(user_history(spark, sf_dir), ["user_id"], "latest", "value")
+
+
+@registered("portion_of", f"WITH {HIST}, h AS (SELECT user_id, version, value, valid_from, coalesce(valid_to, TIMESTAMP '9999-12-31') AS t FROM hist), cut AS (SELECT user_id, version, value, valid_from AS s, least(t, {T0}) AS e FROM h UNION ALL SELECT user_id, version, -1.0, greatest(valid_from, {T0}), least(t, {T1}) FROM h UNION ALL SELECT user_id, version, value, greatest(valid_from, {T1}), t FROM h) SELECT user_id, version, value, s AS valid_from, nullif(e, TIMESTAMP '9999-12-31') AS valid_to FROM cut WHERE s < e")
+def portion_of(spark, sf_dir):
+    h = user_history(spark, sf_dir).select("user_id", "version", "value", "valid_from", "valid_to")
+    return fold.portion_of(h, MOMENT, LATER, {"value": F.lit(-1.0)})
+
+
+@registered("commit_path", "SELECT user_id AS txn_id, CASE WHEN count(DISTINCT item % 4) = 1 THEN 'single-partition' WHEN count(DISTINCT epoch_us(ts) // 86400000000) = 1 THEN 'same-window' ELSE 'cross-window' END AS path FROM (SELECT event_id // 3 AS user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item, ts FROM events) GROUP BY 1")
+def commit_path(spark, sf_dir):
+    log = event_log(spark, sf_dir).select(F.expr("seq div 3").alias("txn_id"), F.col("item").alias("key"), micros(F.col("ts")).alias("at"))
+    return partitioning.commit_path(log, 4, parse_duration("1d"))
+
+
+@registered("affinity_placement", f"WITH {LINKS}, placed AS (SELECT DISTINCT dst AS id, (dst % 3)::INT AS part FROM links), b AS (SELECT src, dst, ts FROM links UNION ALL SELECT dst, src, ts FROM links), n AS (SELECT src AS id, part, count(*) AS n FROM b JOIN placed ON dst = placed.id GROUP BY 1, 2), l AS (SELECT part, count(*) / (SELECT count(*) FROM placed)::DOUBLE AS share FROM placed GROUP BY 1), s AS (SELECT id, n.part, n / sum(n) OVER (PARTITION BY id) - 0.5 * share AS score FROM n JOIN l ON n.part = l.part) SELECT id, part FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, part) AS k FROM s) WHERE k = 1 AND score = score")
+def affinity_placement(spark, sf_dir):
+    links = link_edges(spark, sf_dir)
+    placed = links.select(F.col("dst").alias("id"), (F.col("dst") % 3).cast("int").alias("part")).distinct()
+    scored = partitioning.affinity_scores(links, placed, at(LATER), parse_duration("1d"), temporal=0.0)
+    best = scored.groupBy("id").agg(F.max(F.struct(F.round("score", 9).alias("s"), (-F.col("part")).alias("p"))).alias("b"))
+    return best.select("id", (-F.col("b.p")).alias("part"))
+
+
+@registered("txn_neighbors", f"WITH {ELOG} SELECT user_id AS src, item AS dst FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item ORDER BY ts DESC, seq DESC) AS n FROM elog WHERE seq < 500) WHERE n = 1 AND op <> 'DELETE' AND user_id IN (3, 7)")
+def txn_neighbors(spark, sf_dir):
+    """Neighbours as a transaction that began before record 500 reads them."""
+    log = event_log(spark, sf_dir).where("seq < 500 AND user_id IN (3, 7)")
+    return fold.fold(log, ["user_id", "item"]).select(F.col("user_id").alias("src"), F.col("item").alias("dst"))

@@ -106,3 +106,22 @@ def entity_exists_at(events: DataFrame, when, entity: str = "entity_id", ts: str
 
 def active_entities(events: DataFrame, when, entity: str = "entity_id", ts: str = "ts", event: str = "event") -> DataFrame:
     return entity_exists_at(events, when, entity, ts, event).where("alive").select(entity)
+
+
+def portion_of(table: DataFrame, start, end, changes: dict[str, Column], lo: str = "valid_from", hi: str = "valid_to") -> DataFrame:
+    """``changes`` applied to [start, end) only: rows that reach beyond are split at its ends."""
+    s, e = _when(start), _when(end)
+    meets = (F.col(lo) < e) & (F.col(hi).isNull() | (F.col(hi) > s))
+    ends = F.coalesce(F.col(hi), F.lit("9999-12-31").cast("timestamp_ntz"))
+    whole = lambda c: F.when(c == F.lit("9999-12-31").cast("timestamp_ntz"), F.lit(None)).otherwise(c)
+    pieces = F.array(
+        F.struct(F.col(lo).alias("lo"), F.least(s, ends).alias("hi"), F.lit(False).alias("now")),
+        F.struct(F.greatest(F.col(lo), s).alias("lo"), F.least(ends, e).alias("hi"), F.lit(True).alias("now")),
+        F.struct(F.greatest(F.col(lo), e).alias("lo"), ends.alias("hi"), F.lit(False).alias("now")),
+    )
+    pieces = F.when(meets, F.filter(pieces, lambda p: p["lo"] < p["hi"])).otherwise(F.array(F.struct(F.col(lo).alias("lo"), ends.alias("hi"), F.lit(False).alias("now"))))
+    cut = table.withColumn("_p", F.explode(pieces))
+    out = {c: F.col(c) for c in table.columns}
+    out |= {c: F.when(F.col("_p.now"), v).otherwise(F.col(c) if c in table.columns else F.lit(None)) for c, v in changes.items()}
+    out |= {lo: F.col("_p.lo"), hi: whole(F.col("_p.hi"))}
+    return cut.select(*[v.alias(c) for c, v in out.items()])

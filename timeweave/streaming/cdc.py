@@ -133,6 +133,12 @@ class EdgeView:
         self.batch = batch
         self.version = self.read().agg(F.max("commit_version")).first()[0]
 
+    def replace_partition(self, partition: int, records: DataFrame, batch: int) -> None:
+        """The next version of the view, with ``partition`` as in ``records`` (a snapshot) and all others as they were."""
+        rows = self.read().where(F.col("partition_id") != partition).unionByName(snapshot(records).select(*SCHEMA.fieldNames()))
+        rows.write.mode("overwrite").parquet(f"{self.path}/v{batch}")
+        self.batch = batch
+
     def run(self, source: str, checkpoint: str, files_per_batch: int = 1) -> None:
         """Apply all record files that are in ``source`` now, then stop."""
         stream = self.spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(source)
@@ -143,3 +149,37 @@ class EdgeView:
 def reorder(records: DataFrame, start: int = 1) -> DataFrame:
     """Records in commit order per partition whatever order they came in; what follows a gap waits."""
     return applicable(records, start).sortWithinPartitions("partition_id", "commit_version", "offset")
+
+
+def resume(epoch: int, saved_epoch: int | None, applied: int | None, earliest: int) -> str:
+    """TAIL from a checkpoint of the same epoch whose next record is still in the log; otherwise SNAPSHOT first."""
+    usable = saved_epoch == epoch and applied is not None and applied + 1 >= earliest
+    return "TAIL" if usable else "SNAPSHOT"
+
+
+def ordered_stream(records: DataFrame, start: int = 1) -> DataFrame:
+    """A stream's records in offset order within each partition, each once.
+
+    Records that come early wait in the partition's state until those before them are there; what
+    was handed on before is dropped.  The state holds what lies beyond a gap, nothing else.
+    """
+    import pandas as pd
+
+    columns = SCHEMA.fieldNames()
+    kinds = {f.name: "object" if isinstance(f.dataType, T.StringType) else "Int64" for f in SCHEMA}
+
+    def step(key, batches, state):
+        import io
+
+        following, waiting = state.get if state.exists else (start, "[]")
+        held = pd.read_json(io.StringIO(waiting), orient="records") if waiting != "[]" else pd.DataFrame(columns=columns)
+        arrived = [b[columns] for b in batches]
+        new = pd.concat(arrived) if arrived else pd.DataFrame(columns=columns)
+        rows = pd.concat([x for x in (held, new) if len(x)]) if len(held) or len(new) else new
+        rows = rows[rows["offset"] >= following].drop_duplicates("offset").sort_values("offset").reset_index(drop=True)
+        ready = int((rows["offset"].to_numpy() == following + rows.index.to_numpy()).cumprod().sum()) if len(rows) else 0
+        rest = rows.iloc[ready:]
+        state.update((following + ready, rest.to_json(orient="records") if len(rest) else "[]"))
+        yield rows.iloc[:ready][columns].astype(kinds)
+
+    return records.select(*columns).groupBy("partition_id").applyInPandasWithState(step, SCHEMA, "following long, waiting string", "append", "NoTimeout")
