@@ -66,6 +66,10 @@ TEMPLATES: dict[str, str] = {
 }
 
 
+#: Words so frequent in any text that they are key words last.
+FREQUENT = frozenset("a an and any at be by for from if in is it of on or that the this to with you https www".split())
+
+
 def words_of(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
 
@@ -82,7 +86,7 @@ def key_words(templates: Mapping[str, str], threshold: float) -> list[str]:
         left = bigrams_of(text)
         may_miss = len(left) * (1 - threshold / (2 - threshold))
         missed = {b for b in left if not chosen & set(b.split())}
-        for word in sorted({w for b in left for w in b.split()}, key=lambda w: (-len(w), w)):  # long words are rare ones
+        for word in sorted({w for b in left for w in b.split()}, key=lambda w: (w in FREQUENT, -len(w), w)):  # long words are rare ones
             if len(missed) < len(left) - may_miss - 1e-9:
                 break
             if any(word in b.split() for b in missed):
@@ -92,7 +96,8 @@ def key_words(templates: Mapping[str, str], threshold: float) -> list[str]:
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
+    """Words of lower-case text."""
+    return F.array_remove(F.split(text, "[^a-z0-9]+"), "")
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,8 +110,12 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, thr
     """
     grams = {name: sorted(bigrams_of(text)) for name, text in sorted(templates.items())}
     keys = key_words(templates, threshold)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__tw_text"))
-    rows = rows.where(F.arrays_overlap(_words(F.col("__tw_text")), F.array(*[F.lit(k) for k in keys])))
+    # through a generator, so that lower() runs once and not again for each key word
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(F.lower(F.col(text_col)))).alias("__tw_text"))
+    holds = F.lit(False)
+    for k in keys:  # a plain search first: most documents need not be split into words
+        holds = holds | F.contains("__tw_text", F.lit(k))
+    rows = rows.where(holds).where(F.arrays_overlap(_words(F.col("__tw_text")), F.array(*[F.lit(k) for k in keys])))
     text = F.regexp_replace(F.col("__tw_text"), "\r\n?", "\n")
     rows = rows.select("doc_id", text.alias("__tw_text"))
     lines, paragraphs = F.split("__tw_text", "\n"), F.split("__tw_text", "\n[ \t]*\n")
@@ -117,7 +126,9 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, thr
     fewest = min(len(g) for g in grams.values()) * threshold / (2 - threshold)
     units = units.where((F.size("__tw_w") - 1 >= F.lit(fewest)) & F.arrays_overlap("__tw_w", F.array(*[F.lit(k) for k in keys])))
     pairs = F.zip_with(F.slice("__tw_w", F.lit(1), F.greatest(F.size("__tw_w") - 1, F.lit(0))), F.slice("__tw_w", F.lit(2), F.greatest(F.size("__tw_w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    units = units.select("doc_id", "unit", "unit_no", F.array_distinct(pairs).alias("__tw_g")).withColumn("bigrams", F.size("__tw_g").cast("long"))
+    # through a generator, so that the bigrams are made once and not again for each template
+    units = units.select("doc_id", "unit", "unit_no", F.explode(F.array(F.array_distinct(pairs))).alias("__tw_g"))
+    units = units.select("doc_id", "unit", "unit_no", "__tw_g", F.explode(F.array(F.size("__tw_g").cast("long"))).alias("bigrams"))
 
     def score(name: str, own: list[str]) -> Column:
         n = len(own)
