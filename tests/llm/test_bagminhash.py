@@ -112,3 +112,11 @@ def test_signature_does_not_depend_on_the_batch():
     for i, t in enumerate(texts):
         assert (bmh.signatures(*bmh.shingles([t], 5), 1, 140)[0] == together[i]).all()
     assert (together[0] == together[3]).all() and not together[1].any()
+
+
+def test_one_id_of_several_texts(docs):
+    rng = random.Random(6)
+    one, two = ([f"{c}{i}" for i in range(100)] for c in "ab")
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (5, " ".join(one)), (6, " ".join(edited(rng, one, 0.01))), (7, " ".join(edited(rng, two, 0.01))), (8, "something else altogether, five words")]
+    got = bmh.near_groups(docs(rows)).collect()
+    assert sorted(((r["doc_id"], r["class_id"], r["class_size"]) for r in got), key=str) == brute_classes(rows)

@@ -188,7 +188,10 @@ def sketch(docs: DataFrame, m: int, rows: int, words: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(node, items): the multiset as a set, the k-th occurrence of a shingle being an item of its own."""
+    """(node, items) of rows of (node, text): the multiset as a set, the k-th occurrence of a shingle being an item of its own.
+
+    A row whose text is not the node's (its id is that of several texts) is left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +202,9 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                 k = np.arange(len(which)) - np.repeat(np.cumsum(weight) - weight, weight)
                 items = (sh[which] + k.astype(U) * U(GOLDEN)).astype(np.int64)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[which], minlength=n))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(items))], names=["node", "items"])
+                nodes = batch.column(0).slice(at, n)
+                own = [x.as_py() == y.tobytes() for x, y in zip(nodes, multiset_hash(doc, sh, weight, n), strict=True)]
+                yield pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(pa.array(offsets), pa.array(items))], names=["node", "items"]).filter(pa.array(own))
 
     return docs.mapInArrow(run, "node binary, items array<long>")
 
@@ -331,7 +336,8 @@ class _Links:
         left, right = self.sets.select(F.col("node").alias("a"), F.col("items").alias("x")), self.sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
         common = F.size(F.array_intersect("x", "y"))
         near = (common >= t * (F.size("x") + F.size("y") - common) - 1e-9).alias("near")
-        checked = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", near), "near-checked")
+        # distinct: a document that is there twice gives its set twice
+        checked = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", near).distinct(), "near-checked")
         found, seen = checked.where("near").select("a", "b"), checked.select("a", "b")
         self.tested = seen if self.tested is None else self.tested.union(seen)
         self.links = found if self.links is None else self.links.union(found)

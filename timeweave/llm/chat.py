@@ -56,8 +56,8 @@ def maximal_conversations(hashes: DataFrame) -> DataFrame:
     lengths = materialise(lengths, "chat-ends")
     # a prefix hash that is not a conversation's last turn means that someone goes on from there
     continued = hashes.join(lengths.select("conv_id", "pos"), ["conv_id", "pos"], "left_anti").select("pos", "h1", "h2").distinct()
-    alive = lengths.join(continued, ["pos", "h1", "h2"], "left_anti")
-    return alive.groupBy("pos", "h1", "h2").agg(F.min("conv_id").alias("conv_id")).select("conv_id", F.col("pos").alias("n_turns"))
+    first = lengths.groupBy("pos", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))  # of equal conversations
+    return first.join(continued, ["pos", "h1", "h2"], "left_anti").select("conv_id", F.col("pos").alias("n_turns"))
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", start: str = "<|im_start|>", end: str = "<|im_end|>", part_turns: int = 1024) -> DataFrame:
