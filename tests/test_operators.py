@@ -54,13 +54,6 @@ def test_lifecycle(spark):
     assert alive(15) == [(1,)] and alive(25) == [] and alive(35) == [(1,)] and alive(1) == []
 
 
-def _classify(a1, a2, b1, b2):
-    from timeweave.operators.intervals import ALLEN
-
-    cols = {n: r for n, r in ALLEN.items()}
-    return cols
-
-
 def test_allen_relations_partition(spark):
     pts = range(4)
     pairs = [(a1, a2, b1, b2) for a1 in pts for a2 in pts for b1 in pts for b2 in pts if a1 < a2 and b1 < b2]
@@ -78,6 +71,14 @@ def test_overlap_join_is_the_plain_join(spark, a, b, width):
     assert got == want
 
 
+def test_allen_join_by_buckets_is_the_plain_join(spark):
+    rows = [(i, 1, T(s), T(s + n)) for i, (s, n) in enumerate([(0, 4), (0, 9), (2, 2), (4, 3), (2, 5), (7, 2), (1, 1)])]
+    df = spark.createDataFrame(rows, "i long, k long, valid_from timestamp_ntz, valid_to timestamp_ntz")
+    for relation in intervals.ALLEN:
+        pairs = lambda width: sorted((r.i, r.i_r) for r in intervals.allen_join(df, df, ["k"], relation, width_us=width).collect())
+        assert pairs(None) == pairs(7_200_000_000)
+
+
 def test_asof_join(spark):
     left = spark.createDataFrame([(1, "a", T(5)), (1, "b", T(1)), (2, "c", T(9))], "k long, name string, at timestamp_ntz")
     right = spark.createDataFrame([(1, T(2), 20), (1, T(5), 50), (1, T(6), 60)], "k long, ts timestamp_ntz, v long")

@@ -351,7 +351,7 @@ def activity_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _allen(relation: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         b = activity_blocks(spark, sf_dir)
-        pairs = intervals.allen_join(b.where("kind = 'click'"), b.where("kind = 'view'"), ["user_id"], relation)
+        pairs = intervals.allen_join(b.where("kind = 'click'"), b.where("kind = 'view'"), ["user_id"], relation, width_us=parse_duration("5d"))
         return pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
     sql = f"WITH {BLOCKS} SELECT a.user_id, count(*) AS n FROM blocks a JOIN blocks b ON a.user_id = b.user_id WHERE a.kind = 'click' AND b.kind = 'view' AND {ALLEN_SQL[relation]} GROUP BY 1"

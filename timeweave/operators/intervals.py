@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from timeweave.functions.temporal import micros
 
@@ -29,32 +30,57 @@ ALLEN: dict[str, Relation] = {
 }
 
 
-def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], width_us: int, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
+def _us(df: DataFrame, column: str) -> Column:
+    """Microseconds of a timestamp column; a whole-number column counts as such already."""
+    return F.col(column) if isinstance(df.schema[column].dataType, T.LongType) else micros(F.col(column))
+
+
+def _suffixed(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{c}_r") for c in df.columns])
+
+
+def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], width_us: int, start: str = "valid_from", end: str = "valid_to", also: Column | None = None) -> DataFrame:
     """Pairs of rows with equal ``on`` whose [start, end) overlap; the right side's columns get the suffix ``_r``.
 
     Both sides are dealt into time buckets of ``width_us``, so that a key with many intervals is
-    split along time; a pair that shares several buckets is kept in the first of them only.
-    Choose a width near the typical interval: longer ones are copied into each bucket they touch.
+    split along time and only neighbours in time are compared; a pair that shares several buckets
+    is kept in the first of them only.  Choose a width near the typical interval: longer ones are
+    copied into each bucket they touch.  ``also`` is one more condition on the pair.
     """
-    lo, hi = lambda df, s="": micros(F.col(start + s)), lambda df, s="": micros(F.col(end + s))
-    right = right.select(*[F.col(c).alias(f"{c}_r") for c in right.columns])
-    dealt = lambda df, s, name: df.withColumn(name, F.explode(F.sequence(F.expr(f"unix_micros(cast({start}{s} AS TIMESTAMP)) div {width_us}"), F.expr(f"(unix_micros(cast({end}{s} AS TIMESTAMP)) - 1) div {width_us}"))))
-    a = dealt(left.where(F.col(start) < F.col(end)), "", "_bucket")
-    b = dealt(right.where(F.col(start + "_r") < F.col(end + "_r")), "_r", "_bucket_r")
-    cond = (F.col("_bucket") == F.col("_bucket_r")) & (F.col(start) < F.col(end + "_r")) & (F.col(start + "_r") < F.col(end))
+
+    def dealt(df: DataFrame, suffix: str) -> DataFrame:
+        lo, hi = _us(df, start + suffix), _us(df, end + suffix)
+        first, last = (F.floor(x / F.lit(width_us)) for x in (lo, hi - 1))
+        rows = df.where(lo < hi).withColumn(f"_first{suffix}", first)
+        return rows.withColumn(f"_bucket{suffix}", F.explode(F.sequence(first, last)))
+
+    a, b = dealt(left, ""), dealt(_suffixed(right), "_r")
+    cond = (F.col("_bucket") == F.col("_bucket_r")) & (F.col("_bucket") == F.greatest("_first", "_first_r"))
+    cond = cond & (F.col(start) < F.col(f"{end}_r")) & (F.col(f"{start}_r") < F.col(end))
     for c in on:
         cond = cond & (F.col(c) == F.col(f"{c}_r"))
-    first = F.greatest(F.expr(f"unix_micros(cast({start} AS TIMESTAMP)) div {width_us}"), F.expr(f"unix_micros(cast({start}_r AS TIMESTAMP)) div {width_us}"))
-    return a.join(b, cond).where(F.col("_bucket") == first).drop("_bucket", "_bucket_r")
+    if also is not None:
+        cond = cond & also
+    return a.join(b, cond).drop("_bucket", "_bucket_r", "_first", "_first_r")
+
+
+#: Relations whose intervals share time, so that buckets find them.
+SHARING = frozenset({"overlaps", "overlapped_by", "during", "contains", "starts", "started_by", "finishes", "finished_by", "equals"})
+
 
+def allen_join(left: DataFrame, right: DataFrame, on: Sequence[str], relation: str, start: str = "valid_from", end: str = "valid_to", width_us: int | None = None) -> DataFrame:
+    """Pairs with equal ``on`` whose intervals stand in ``relation``; the right side gets the suffix ``_r``.
 
-def allen_join(left: DataFrame, right: DataFrame, on: Sequence[str], relation: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
-    """Pairs with equal ``on`` whose intervals stand in ``relation``; the right side gets the suffix ``_r``."""
-    right = right.select(*[F.col(c).alias(f"{c}_r") for c in right.columns])
-    cond = ALLEN[relation](F.col(start), F.col(end), F.col(f"{start}_r"), F.col(f"{end}_r"))
+    With ``width_us``, relations that share time are found by buckets (see ``overlap_join``);
+    ``meets`` and ``met_by`` are equi-joins as they are.  ``before`` and ``after`` hold for most
+    pairs, so their result is that large.
+    """
+    holds = ALLEN[relation](F.col(start), F.col(end), F.col(f"{start}_r"), F.col(f"{end}_r"))
+    if width_us is not None and relation in SHARING:
+        return overlap_join(left, right, on, width_us, start, end, also=holds)
     for c in on:
-        cond = cond & (F.col(c) == F.col(f"{c}_r"))
-    return left.join(right, cond)
+        holds = holds & (F.col(c) == F.col(f"{c}_r"))
+    return left.join(_suffixed(right), holds)
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, values: Sequence[str], seq: str | None = None) -> DataFrame:
@@ -77,15 +103,12 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: s
     return seen.select(*keys, *[F.col(f"_left.{c}").alias(c) for c in l_cols], *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
-def transaction_conflicts(txns: DataFrame) -> DataFrame:
-    """(a, b, kind) of transactions (txn_id, start, end, key, mode R or W) whose windows overlap and that touch a key, one writing."""
-    pairs = allen_pairs(txns)
-    kind = F.when((F.col("mode") == "W") & (F.col("mode_r") == "W"), "write-write").otherwise("read-write")
-    return pairs.select(F.col("txn_id").alias("a"), F.col("txn_id_r").alias("b"), kind.alias("kind")).distinct()
-
+def transaction_conflicts(txns: DataFrame, width_us: int = 3_600_000_000) -> DataFrame:
+    """(a, b, kind) of transactions (txn_id, start, end, key, mode R or W) whose windows overlap and that touch a key, one writing.
 
-def allen_pairs(txns: DataFrame) -> DataFrame:
-    other = txns.select(*[F.col(c).alias(f"{c}_r") for c in txns.columns])
-    overlap = (F.col("start") < F.col("end_r")) & (F.col("start_r") < F.col("end"))
+    Windows that do not overlap never conflict, so a hot key is compared within time buckets of ``width_us`` only.
+    """
     writes = (F.col("mode") == "W") | (F.col("mode_r") == "W")
-    return txns.join(other, (F.col("key") == F.col("key_r")) & (F.col("txn_id") < F.col("txn_id_r")) & overlap & writes)
+    pairs = overlap_join(txns, txns, ["key"], width_us, "start", "end", also=(F.col("txn_id") < F.col("txn_id_r")) & writes)
+    kind = F.when((F.col("mode") == "W") & (F.col("mode_r") == "W"), "write-write").otherwise("read-write")
+    return pairs.select(F.col("txn_id").alias("a"), F.col("txn_id_r").alias("b"), kind.alias("kind")).distinct()

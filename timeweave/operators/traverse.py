@@ -7,6 +7,7 @@ with the edges; its result is written to the shared checkpoint folder, which cut
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -15,12 +16,21 @@ from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names; a temporary one only where that is unset."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="timeweave-"))
-    return df.checkpoint()
+    """``df`` written once, as Parquet in the folder that spark.checkpoint.dir names, and read back.
+
+    That cuts the lineage and survives lost executors.  Where the setting is unset, a temporary
+    folder is made and filled in.  The files go when the application ends.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="timeweave-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/timeweave-graph-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def simple(edges: DataFrame) -> DataFrame:
@@ -53,7 +63,7 @@ def degree_centrality(edges: DataFrame, vertices: DataFrame, direction: str = "o
 
 def bfs(edges: DataFrame, start: DataFrame, max_depth: int, direction: str = "out") -> DataFrame:
     """(id, depth): vertices within ``max_depth`` of any of ``start`` (id), at the depth they are first reached; the start has 0."""
-    step = simple(oriented(edges, direction))
+    step = checkpoint(simple(oriented(edges, direction)))
     seen = start.select("id").distinct().withColumn("depth", F.lit(0).cast("bigint"))
     front = seen
     for depth in range(1, max_depth + 1):
@@ -72,7 +82,7 @@ def khop(edges: DataFrame, start: DataFrame, k: int, direction: str = "out") ->
 
 def shortest_path(edges: DataFrame, source, target, max_depth: int = 10, direction: str = "out") -> DataFrame:
     """(source, target, distance): one row, or none if ``target`` is not within ``max_depth``.  Stops at the depth that reaches it."""
-    step = simple(oriented(edges, direction))
+    step = checkpoint(simple(oriented(edges, direction)))
     spark = edges.sparkSession
     seen = spark.range(1).select(F.lit(source).cast("bigint").alias("id"))
     front, distance = seen, 0 if source == target else None
@@ -120,10 +130,10 @@ def directed_components(edges: DataFrame, seeds: list, max_depth: int = 1000) ->
 
 def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
     """(id, rank) after a fixed number of rounds over different (src, dst); the rank of vertices without out-edges is lost."""
-    links = simple(edges)
+    links = checkpoint(simple(edges))
     degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     weighted = checkpoint(links.join(degree, "src").select("src", "dst", (F.lit(1.0) / F.col("n")).alias("w")))
-    vertices = checkpoint(links.select(F.col("src").alias("id")).union(links.select("dst")).distinct())
+    vertices = checkpoint(weighted.select(F.col("src").alias("id")).union(weighted.select("dst")).distinct())
     total = vertices.count()
     ranks = vertices.withColumn("rank", F.lit(1.0 / max(total, 1)))
     for i in range(iterations):
