@@ -164,6 +164,34 @@ def test_catalog(people):
         assert people.query(f"SHOW {name}").count() > 0
 
 
+def test_transactions(people):
+    people.begin()
+    people.query("MATCH (p:Person) DETACH DELETE p")
+    assert rows(people, "MATCH (p:Person) RETURN count(*) AS n") == [(0,)]
+    people.rollback()
+    assert rows(people, "MATCH (p:Person) RETURN count(*) AS n") == [(4,)]
+    people.begin()
+    people.query("CREATE (p:Person {id: 77})")
+    people.commit()
+    assert rows(people, "MATCH (p:Person) RETURN count(*) AS n") == [(5,)]
+    with pytest.raises(QueryError):
+        people.rollback()
+
+
+def test_bound_times(people):
+    assert rows(people, "AS OF '2024-01-02' RETURN valid_time() AS t") == [(DAY(2),)]
+    assert rows(people, "RETURN transaction_time() IS NOT NULL AS t") == [(True,)]
+
+
+@pytest.mark.parametrize("format", ["parquet", "csv", "json", "orc"])
+def test_read_table(spark, tmp_path, format):
+    from timeweave.sources.tables import read_table
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id long, name string")
+    df.write.format(format).option("header", True).save(f"file://{tmp_path}/t")
+    assert sorted(map(tuple, read_table(spark, f"file://{tmp_path}/t", format, "id long, name string", header=True).collect())) == [(1, "a"), (2, None)]
+
+
 def test_explain_profile_and_validity(people):
     text = "MATCH (a:Person)-[:KNOWS*1..2]->(b) WHERE a.age > 1 RETURN b.id AS id ORDER BY id LIMIT 3"
     plan = people.explain(text)

@@ -749,6 +749,8 @@ class Compiler:
         special = self.entity_call(name, bound)
         if special is not None:
             return special
+        if name in ("valid_time", "transaction_time") and not args:
+            return self.bound_time("valid" if name == "valid_time" else "system")
         if name == "duration" and len(args) == 1 and isinstance(args[0], ast.Lit):
             return F.lit(parse_duration(args[0].value)).cast("bigint")
         if name in ("timestamp", "datetime") and len(args) == 1 and isinstance(args[0], (ast.Lit, ast.Param)):
@@ -772,6 +774,11 @@ class Compiler:
             return SCALARS[name](*values)
         raise QueryError(f"unknown function {name}")
 
+    def bound_time(self, axis: str) -> Column:
+        """The moment that an AS OF before the query names on this axis; without one, now."""
+        t = self.prefix
+        return self.moment(t.args[0]) if t is not None and t.kind == "as_of" and t.axis == axis else SCALARS["now"]()
+
     def entity_call(self, name: str, bound: Any) -> Column | None:
         if isinstance(bound, NodeVar):
             if name == "id":

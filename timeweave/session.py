@@ -28,6 +28,7 @@ class GraphSession:
         self.spark, self.max_hops = spark, max_hops
         self.spaces: dict[str, TemporalGraph] = {graph.name: graph}
         self.current = graph.name
+        self.before: dict[str, TemporalGraph] | None = None
 
     @property
     def graph(self) -> TemporalGraph:
@@ -40,6 +41,21 @@ class GraphSession:
     def add_space(self, name: str, graph: TemporalGraph) -> None:
         self.spaces[name] = replace(graph, name=name)
 
+    # transactions: graphs never change, so a transaction is a note of which ones there were
+
+    def begin(self) -> None:
+        if self.before is not None:
+            raise QueryError("a transaction is open")
+        self.before = dict(self.spaces)
+
+    def commit(self) -> None:
+        self.before = None
+
+    def rollback(self) -> None:
+        if self.before is None:
+            raise QueryError("no transaction is open")
+        self.spaces, self.before = self.before, None
+
     def register_function(self, name: str, builder: Callable[..., Column]) -> None:
         scalar.register(name, builder)
 
