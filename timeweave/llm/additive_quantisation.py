@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timeweave.llm.common import materialise
+from timeweave.llm.common import bounded_batches, materialise
 
 
 def usable(vector: Column) -> Column:
@@ -108,7 +108,7 @@ def build_index(vectors: DataFrame, dim: int, table: np.ndarray, beam: int, id_c
                 norm = np.einsum("ij,ij->i", made, made).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), batch.column(1)], names=["vec_id", "codes", "norm", "vector"])
 
-    return rows.mapInArrow(encode, schema)
+    return bounded_batches(rows).mapInArrow(encode, schema)
 
 
 def _search(index: DataFrame, query_ids: np.ndarray, queries: np.ndarray, table: np.ndarray, k: int, rerank: int) -> DataFrame:
@@ -154,7 +154,7 @@ def _search(index: DataFrame, query_ids: np.ndarray, queries: np.ndarray, table:
         found = np.isfinite(top_s)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, found.sum(1))), pa.array(top_v[found]), pa.array(top_s[found])], names=["query_id", "vec_id", "score"])
 
-    return index.mapInArrow(run, "query_id long, vec_id long, score double")
+    return bounded_batches(index).mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, books: int = 16, words: int = 256, beam: int = 4, rerank: int = 256, sample_rows: int = 8192, query_block: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timeweave.llm.common import discard, materialise, worker_cache
+from timeweave.llm.common import bounded_batches, discard, materialise, worker_cache
 
 U = np.uint64
 GOLDEN, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB  # of the public splitmix64 generator
@@ -184,7 +184,7 @@ def sketch(docs: DataFrame, m: int, rows: int, words: int) -> DataFrame:
                 offsets = pa.array(np.arange(n + 1, dtype=np.int32) * (m // rows))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), nodes, pa.array(items), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "node", "items", "bands"])
 
-    return narrow.mapInArrow(run, schema)
+    return bounded_batches(narrow).mapInArrow(run, schema)
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -206,7 +206,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                 own = [x.as_py() == y.tobytes() for x, y in zip(nodes, multiset_hash(doc, sh, weight, n), strict=True)]
                 yield pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(pa.array(offsets), pa.array(items))], names=["node", "items"]).filter(pa.array(own))
 
-    return docs.mapInArrow(run, "node binary, items array<long>")
+    return bounded_batches(docs).mapInArrow(run, "node binary, items array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:

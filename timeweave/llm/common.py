@@ -42,6 +42,17 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def bounded_batches(df: DataFrame, size: int = 8 << 20) -> DataFrame:
+    """``df``, after making sure that batches sent to Python are bounded by bytes, not by rows alone.
+
+    Ten thousand long texts would not fit a worker.  A session that sets its own bound keeps it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, None) is None:
+        df.sparkSession.conf.set(name, str(size))
+    return df
+
+
 def worker_cache() -> dict:
     """One dict for each Python worker process; it outlives a task."""
     return sys.__dict__.setdefault("_timeweave_cache", {})

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timeweave.llm.common import materialise
+from timeweave.llm.common import bounded_batches, materialise
 from timeweave.llm.tokens import make_encoder
 
 
@@ -65,7 +65,7 @@ def encode_pieces(docs: DataFrame, json_path: str, rank_path: str | None, max_le
                 arrays.append(pa.array(parts, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return narrow.mapInArrow(cut, schema)
+    return bounded_batches(narrow).mapInArrow(cut, schema)
 
 
 def pack_histogram(histogram: dict[int, int], max_len: int) -> list[tuple[int, tuple[int, ...]]]:

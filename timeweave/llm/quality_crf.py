@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import held_out
+from timeweave.llm.common import bounded_batches, held_out
 from timeweave.llm.toxicity import _sample
 
 STEPS = (0.02, 0.1, 0.3, 0.6)
@@ -189,5 +189,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainde
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chain.score(batch.column(1).to_pylist()))], names=["doc_id", "score"])
 
-    scored = rows.mapInArrow(run, schema)
+    scored = bounded_batches(rows).mapInArrow(run, schema)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import materialise, worker_cache
+from timeweave.llm.common import bounded_batches, materialise, worker_cache
 
 
 def make_encoder(json_path: str, rank_path: str | None = None) -> Callable[[str], Sequence[int]]:
@@ -72,7 +72,7 @@ def encoded_lengths(docs: DataFrame, json_path: str, rank_path: str | None = Non
             lengths = np.fromiter((len(encode(t)) if (t := x.as_py()) else 0 for x in texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lengths)], names=[*names, "n_tokens"])
 
-    return narrow.mapInArrow(count, schema)
+    return bounded_batches(narrow).mapInArrow(count, schema)
 
 
 def token_histogram(docs: DataFrame, json_path: str, rank_path: str | None = None, text_col: str = "text", by: Sequence[str] = ()) -> DataFrame:

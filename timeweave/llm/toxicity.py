@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import held_out
+from timeweave.llm.common import bounded_batches, held_out
 
 #: Everyday insults, threats and hostile words.
 INSULTS = "airhead bastard clown coward creep crybaby dimwit disgusting dumb fool freak garbage idiot imbecile jerk loser moron pathetic pig scum stupid trash ugly vermin weirdo worthless".split()
@@ -246,7 +246,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder
 
     # at most 2 ** (number of voters) patterns, whatever the corpus
     open_rows = rows.where(~held_out(F.col("doc_id"), modulus, remainder)).select("text")
-    tally = open_rows.mapInArrow(ballots, "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n")).collect()
+    tally = bounded_batches(open_rows).mapInArrow(ballots, "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n")).collect()
     tally.sort(key=lambda r: r["bits"])
     model = fit_label_model(np.array([r["bits"] for r in tally], np.int64), np.array([r["n"] for r in tally], float), anchors, toxic, len(voters), share)
     if not texts:
@@ -271,7 +271,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, remaind
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(linear.score(batch.column(1).to_pylist()))], names=["doc_id", "score"])
 
-    scored = rows.mapInArrow(run, schema)
+    scored = bounded_batches(rows).mapInArrow(run, schema)
     return scored.select("doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -287,4 +287,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, tex
 
         return pd.Series(linear.score(texts.tolist()))
 
-    return docs.where(F.pandas_udf(score, "double")(F.col(text_col)) < F.lit(threshold))
+    return bounded_batches(docs).where(F.pandas_udf(score, "double")(F.col(text_col)) < F.lit(threshold))
