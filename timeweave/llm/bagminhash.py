@@ -282,13 +282,13 @@ def _centres(named: DataFrame, turn: int, few: int) -> DataFrame:
     In the first turn every bucket has one centre, the member that meets most others over all
     its buckets: what a group's members were copied from, rather than one of them.  Later,
     members outside their bucket's largest component are centres: about ``few`` of them by hash,
-    twice as many each turn, or all if there are no more.  What is left after them has one label.
+    four times as many each turn, or all if there are no more.  What is left after them has one label.
     """
     per_label = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("met")).alias("o"), "node", "items", "place")).alias("first"))
     per_key = per_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.min(F.struct("first", "label")).alias("first")).where("labels > 1")
     if turn == 0:
         return per_key.select("key", F.col("first.first.node").alias("centre"), F.col("first.first.items").alias("centre_items"), F.col("first.first.place").alias("centre_place"), F.col("first.label").alias("centre_label"))
-    chance = F.lit(float(few << (turn - 1))) / (F.col("n") - F.col("top.n"))
+    chance = F.lit(float(few << 2 * (turn - 1))) / (F.col("n") - F.col("top.n"))
     per_key = per_key.select("key", F.col("top.label").alias("__tw_top"), chance.alias("__tw_chance"))
     drawn = F.pmod(F.xxhash64("node", F.col("key"), F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return named.join(per_key, "key").where((F.col("label") != F.col("__tw_top")) & (drawn < F.col("__tw_chance"))).select("key", F.col("node").alias("centre"), F.col("items").alias("centre_items"), F.col("place").alias("centre_place"), F.col("label").alias("centre_label"))
@@ -354,7 +354,7 @@ class _Links:
         return named.join(keys, "key", "left_semi").select("node").distinct()
 
 
-def verified_links(rows_in: DataFrame, sketched: DataFrame, members: DataFrame, threshold: float, words: int, few: int = 32) -> tuple[DataFrame, DataFrame] | None:
+def verified_links(rows_in: DataFrame, sketched: DataFrame, members: DataFrame, threshold: float, words: int, few: int = 256) -> tuple[DataFrame, DataFrame] | None:
     """(links, labels of all members) over all buckets; None if no bucket has two members.
 
     First every band bucket compares its members with one centre, unless they are connected
