@@ -174,7 +174,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainde
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
-    texts, good, share = _sample(rows, marks, modulus, remainder, per_class)
+    texts, good, share = _sample(rows, marks, modulus, remainder, (per_class, per_class))
     held = held_out(F.col("doc_id"), modulus, remainder)
     some = [bool(t and t.strip()) for t in texts]
     texts, good = [t for t, s in zip(texts, some, strict=True) if s], good[np.array(some, bool)]

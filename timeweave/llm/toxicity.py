@@ -62,17 +62,15 @@ def _heads(features: Iterable[str]) -> frozenset[str]:
     return frozenset(f.rstrip("*")[:4] for f in features)
 
 
-def mine(texts: Sequence[str | None], toxic: np.ndarray, least: float = 15.0, strong: float = 30.0, most: int = 4000) -> tuple[list[str], frozenset[str]]:
+def mine(texts: Sequence[str | None], toxic: np.ndarray, least: float = 15.0, most: int = 4000) -> list[str]:
     """Features that speak for the toxic class, strongest first: log-likelihood ratio of at least ``least``.
 
-    Second, those of them with a ratio of ``strong`` at least that no clean text of the sample holds.
-
     Toxic texts are read twice: a table of counts by hash first, so that only features which may
     occur in two of them are ever held by name.
     """
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     if not n1 or not n0:
-        return [], frozenset()
+        return []
     size = 1 << 22
     seen = np.zeros(size, np.uint16)
     for text in (t for t, y in zip(texts, toxic, strict=True) if y):
@@ -94,8 +92,7 @@ def mine(texts: Sequence[str | None], toxic: np.ndarray, least: float = 15.0, st
         g = 2 * (a * np.log(a / (n1 * share)) + (b * np.log(b / (n0 * share)) if b else 0))
         if g >= least:
             found.append((g, f))
-    best = sorted(found, key=lambda x: (-x[0], x[1]))[:most]
-    return [f for _, f in best], frozenset(f for g, f in best if g >= strong and not in0[f])
+    return [f for _, f in sorted(found, key=lambda x: (-x[0], x[1]))[:most]]
 
 
 def make_voters(mined: Sequence[str], lexicons: int = 6, stems: int = 3) -> Voters:
@@ -181,58 +178,45 @@ def fit_label_model(bits: np.ndarray, counts: np.ndarray, anchors: np.ndarray, t
 
 @dataclass
 class LinearModel:
-    """Weights of words and stems; ``any_strong`` counts once if a text holds any feature of ``strong``."""
-
     bias: float
     weights: dict[str, float]
-    strong: frozenset[str] = frozenset()
-    any_strong: float = 0.0
 
     def score(self, texts: Sequence[str | None]) -> np.ndarray:
         heads, known = _heads(self.weights), self.weights
         z = np.full(len(texts), self.bias)
         for i, text in enumerate(texts):
             if text:
-                here = _known(words_of(text), heads, known)
-                z[i] += sum(known[f] for f in sorted(here)) + self.any_strong * (not here.isdisjoint(self.strong))
+                z[i] += sum(known[f] for f in sorted(_known(words_of(text), heads, known)))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train_linear(texts: Sequence[str | None], target: np.ndarray, importance: np.ndarray, features: Sequence[str], strong: frozenset[str] = frozenset(), rounds: int = 400, decay: float = 0.02) -> LinearModel:
-    """Logistic regression on soft labels, weights at or above zero, by AdaGrad over the whole sample.
-
-    Toxic texts mostly hold several features, which share the credit; the feature "any strong
-    one" is what lets a text with a single one be recognised.
-    """
+def train_linear(texts: Sequence[str | None], target: np.ndarray, importance: np.ndarray, features: Sequence[str], rounds: int = 400, decay: float = 0.02) -> LinearModel:
+    """Logistic regression on soft labels, weights at or above zero, by AdaGrad over the whole sample."""
     place = {f: i for i, f in enumerate(features)}
-    heads, extra = _heads(features), len(features)
-    pairs = []
-    for i, text in enumerate(texts):
-        here = _known(words_of(text), heads, place)
-        pairs += [(i, place[f]) for f in sorted(here)] + [(i, extra)] * (not here.isdisjoint(strong))
+    heads = _heads(features)
+    pairs = [(i, place[f]) for i, text in enumerate(texts) for f in sorted(_known(words_of(text), heads, place))]
     row, col = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-    w, bias = np.zeros(extra + 1), -2.0
-    past_w, past_b = np.full(extra + 1, 1e-8), 1e-8
+    w, bias = np.zeros(len(features)), -2.0
+    past_w, past_b = np.full(len(features), 1e-8), 1e-8
     total = importance.sum()
     for _ in range(rounds):
         z = bias + np.bincount(row, w[col], minlength=len(texts))
         r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * importance / total
-        grad = np.bincount(col, r[row], minlength=extra + 1) + decay / total * w
+        grad = np.bincount(col, r[row], minlength=len(features)) + decay / total * w
         past_w, past_b = past_w + grad**2, past_b + r.sum() ** 2
         w = np.maximum(w - 0.3 * grad / np.sqrt(past_w), 0)
         bias -= 0.3 * r.sum() / np.sqrt(past_b)
-    kept = {f: float(x) for f, x in zip(features, w, strict=False) if x > 1e-6 or f in strong}
-    return LinearModel(float(bias), kept, strong, float(w[extra]))
+    return LinearModel(float(bias), {f: float(x) for f, x in zip(features, w, strict=True) if x > 1e-6})
 
 
-def _sample(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, per_class: int) -> tuple[list[str | None], np.ndarray, float]:
-    """Texts and labels of at most ``per_class`` rows of each class, first by hash; the share of label 1 in all of them."""
+def _sample(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, most: tuple[int, int]) -> tuple[list[str | None], np.ndarray, float]:
+    """Texts and labels of at most ``most`` rows of label 0 and of label 1, first by hash; the share of label 1 in all of them."""
     usable = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"), modulus, remainder))
     usable = usable.groupBy("doc_id").agg(F.max("label").alias("label"))
     shares = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = None
     for y in (0, 1):
-        part = usable.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        part = usable.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[y])
         chosen = part if chosen is None else chosen.union(part)
     rows = docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "__tw_id")), F.col("doc_id") == F.col("__tw_id")).select("doc_id", "label", "text").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
@@ -240,18 +224,18 @@ def _sample(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, pe
     return [r["text"] for r in rows], np.array([r["label"] == 1 for r in rows], bool), shares.get(1, 0) / known if known else 0.05
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, per_class: int = 2500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> LinearModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, most: tuple[int, int] = (6000, 3000), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> LinearModel:
     """The trained classifier.
 
     Labels come only from rows whose crc32(id as text) mod ``modulus`` is not ``remainder``, and
-    of those at most ``per_class`` of each class (first by hashed id) are used; a document with
+    of those at most ``most`` (clean, toxic; first by hashed id) are used; a document with
     contradicting labels counts as toxic.  Vote patterns are counted over all documents that are
     not held out.  With no labels at all the fixed lexicons alone make the model.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
-    texts, toxic, share = _sample(rows, marks, modulus, remainder, per_class)
-    mined, strong = mine(texts, toxic)
+    texts, toxic, share = _sample(rows, marks, modulus, remainder, most)
+    mined = mine(texts, toxic)
     voters = make_voters(mined)
     anchors = vote(voters, texts)
 
@@ -270,16 +254,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder
     target = model.posterior(anchors, toxic)
     each = np.where(toxic, share / max(toxic.sum(), 1), (1 - share) / max((~toxic).sum(), 1)) * len(toxic)
     fixed = [w for w in INSULTS + THREATS + ABROAD if w not in set(mined)]
-    return train_linear(texts, target, each, [*mined, *fixed], strong)
+    return train_linear(texts, target, each, [*mined, *fixed])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, threshold: float = 0.3, per_class: int = 2500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, threshold: float = 0.3, most: tuple[int, int] = (6000, 3000), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted (1: toxic).
 
     See ``fit_toxicity``.  Null and empty texts get the score of a text without any known
     feature.  Repeated rows are scored each; an empty table gives no rows.
     """
-    linear = fit_toxicity(docs, labels, modulus, remainder, per_class, id_col, text_col, label_col)
+    linear = fit_toxicity(docs, labels, modulus, remainder, most, id_col, text_col, label_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = rows.select("doc_id").schema.add("score", "double", False)
 
