@@ -209,15 +209,18 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return bounded_batches(docs).mapInArrow(run, "node binary, items array<long>")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label): each linked node's smallest reachable node, by neighbour minima and pointer jumping."""
-    both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "near-labels")
+def components(links: DataFrame, most: int) -> DataFrame:
+    """(node, label): each linked node's smallest reachable node, by neighbour minima and pointer jumping.
+
+    ``most``: a bound of the number of links.
+    """
+    both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-edges", 2 * most)
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "near-labels", 2 * most)
     while True:
         around = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("near"))
         step = labels.join(around, F.col("node") == F.col("n")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("j"), F.col("label").alias("far"))
-        new = materialise(step.join(jump, F.col("mid") == F.col("j")).select("node", F.least("mid", "far").alias("label"), (F.least("mid", "far") != F.col("old")).alias("moved")), "near-labels")
+        new = materialise(step.join(jump, F.col("mid") == F.col("j")).select("node", F.least("mid", "far").alias("label"), (F.least("mid", "far") != F.col("old")).alias("moved")), "near-labels", 2 * most)
         done = new.where("moved").isEmpty()
         discard(labels)
         labels = new
@@ -253,9 +256,8 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, words: int = 5, m: int
     else:
         links, labels = linked
         degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("links"))
-        known = materialise(degree.join(labels, F.col("node") == F.col("a")).select(F.col("node").alias("__tw_n"), "label", F.coalesce("links", F.lit(0)).alias("links")), "near-known")
+        known = degree.join(labels, F.col("node") == F.col("a")).select(F.col("node").alias("__tw_n"), "label", "links")
         grouped = sketched.join(known, F.col("node") == F.col("__tw_n"), "left").select("doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
-    grouped = materialise(grouped, "near-grouped")
     if linked is None:
         of_nodes = nodes.select("n", "low", F.col("node").alias("label"))
     else:
@@ -265,13 +267,13 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, words: int = 5, m: int
     return out.select("doc_id", F.when(F.col("__tw_l").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "links", F.coalesce("texts", F.lit(1)).alias("texts"))
 
 
-def _relabel(labels: DataFrame, found: DataFrame) -> DataFrame:
+def _relabel(labels: DataFrame, found: DataFrame, members: int) -> DataFrame:
     """``labels`` (of every member) after new links: components of the graph of labels, which is small."""
     one = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
     two = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
     between = found.join(one, "a").join(two, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct()
-    merged = components(between).select(F.col("node").alias("__tw_old"), F.col("label").alias("__tw_new"))
-    new = materialise(labels.join(merged, F.col("label") == F.col("__tw_old"), "left").select("node", F.coalesce("__tw_new", "label").alias("label")), "near-member-labels")
+    merged = components(between, found.count()).select(F.col("node").alias("__tw_old"), F.col("label").alias("__tw_new"))
+    new = materialise(labels.join(merged, F.col("label") == F.col("__tw_old"), "left").select("node", F.coalesce("__tw_new", "label").alias("label")), "near-member-labels", members)
     discard(labels)
     return new
 
@@ -316,14 +318,16 @@ class _Links:
 
     def __init__(self, sets: DataFrame, labels: DataFrame, threshold: float):
         self.sets, self.labels, self.threshold = sets, labels, threshold
+        self.nodes = labels.count()
         self.links: DataFrame | None = None
         self.tested: DataFrame | None = None
 
     def turn(self, members: DataFrame, number: int, few: int) -> DataFrame | None:
         """Compare the centres of unsettled buckets with their other members; the members that are left, or None."""
         t = F.lit(self.threshold)
+        rows = members.count()
         named = members.join(self.labels, "node")
-        centres = materialise(_centres(named, number, few), "near-centres")
+        centres = materialise(_centres(named, number, few), "near-centres", rows)
         if centres.isEmpty():
             return None
         # no item before the first shared one is shared, so what may be is bounded by what comes after it
@@ -337,14 +341,14 @@ class _Links:
         common = F.size(F.array_intersect("x", "y"))
         near = (common >= t * (F.size("x") + F.size("y") - common) - 1e-9).alias("near")
         # distinct: a document that is there twice gives its set twice
-        checked = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", near).distinct(), "near-checked")
+        checked = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", near).distinct(), "near-checked", rows, 5_000)
         found, seen = checked.where("near").select("a", "b"), checked.select("a", "b")
         self.tested = seen if self.tested is None else self.tested.union(seen)
         self.links = found if self.links is None else self.links.union(found)
         here = members.join(centres.select("key").distinct(), "key", "left_semi")
-        here = materialise(here.join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti"), "near-members")
+        here = materialise(here.join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti"), "near-members", rows)
         if not found.isEmpty():
-            self.labels = _relabel(self.labels, found)
+            self.labels = _relabel(self.labels, found, self.nodes)
         return here
 
     def unsettled(self, members: DataFrame) -> DataFrame:
@@ -377,8 +381,7 @@ def verified_links(rows_in: DataFrame, sketched: DataFrame, members: DataFrame,
     members = members.drop("met").join(met, "node").withColumn("place", F.lit(1).cast("long"))
     left = state.turn(members, 0, few)
     if left is not None:
-        rest = materialise(state.unsettled(left), "near-unsettled")
-        left = materialise(prefix_buckets(sets.join(rest, "node", "left_semi"), threshold), "near-members")
+        left = materialise(prefix_buckets(sets.join(state.unsettled(left), "node", "left_semi"), threshold), "near-members")
         number = 0
         while left is not None:
             left = state.turn(left, number, few)

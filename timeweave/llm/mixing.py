@@ -73,7 +73,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = 3
     )
     rows = materialise(rows, "mix-sizes")
     targets = materialise(source_targets(rows, weights, max_epochs, share), "mix-targets")
-    totals = targets.agg(F.max("docs").alias("most"), F.sum("target").alias("budget")).first()
+    totals = targets.agg(F.max("docs").alias("most"), F.sum("target").alias("budget"), F.sum("docs").alias("docs")).first()
     blocks = 1
     while blocks < 1 << 20 and (totals["most"] or 0) > blocks * block_rows:
         blocks *= 2
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = 3
     in_time = sum(((c <= F.col("target")) & (F.col("size") > 0)).cast("long") for c in copies)
     late = [(c > F.col("target")) & (c - F.col("size") < F.col("target")) & (F.col("size") > 0) for c in copies]
     finish = F.coalesce(*[F.when(x, c / F.col("target")) for x, c in zip(late, copies, strict=True)])
-    placed = materialise(placed.select("doc_id", "source", "size", "source_size", "target", "cum", "key", in_time.alias("__tw_times"), finish.alias("__tw_finish")), "mix-placed")
+    placed = materialise(placed.select("doc_id", "source", "size", "source_size", "target", "cum", "key", in_time.alias("__tw_times"), finish.alias("__tw_finish")), "mix-placed", totals["docs"] or 0, 20_000)
     # at most one late row for each source
     left = (totals["budget"] or 0.0) - (placed.agg(F.sum(F.col("size") * F.col("__tw_times")).alias("n")).first()["n"] or 0)
     late_rows = placed.where("__tw_finish IS NOT NULL").select(F.col("source").alias("__tw_s"), F.col("cum").alias("__tw_c"), "size", "__tw_finish")
