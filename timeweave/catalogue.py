@@ -161,6 +161,11 @@ def connected_components(spark, sf_dir):
     return traverse.connected_components(sparse)
 
 
+@registered("connected_components_whole", f"WITH RECURSIVE {LINKS}, both_ways AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links), reach(id, other) AS (SELECT src, src FROM both_ways UNION SELECT r.id, b.dst FROM reach r JOIN both_ways b ON b.src = r.other) SELECT id, min(other) AS component FROM reach GROUP BY 1")
+def connected_components_whole(spark, sf_dir):
+    return traverse.connected_components(link_edges(spark, sf_dir))
+
+
 @registered("directed_components", f"WITH {LINKS}, {_reach(3, 3)}, a AS (SELECT id FROM d0 UNION SELECT id FROM d1 UNION SELECT id FROM d2 UNION SELECT id FROM d3), {_reach(3, 140).replace('d0', 'e0').replace('d1', 'e1').replace('d2', 'e2').replace('d3', 'e3')}, b AS (SELECT id FROM e0 UNION SELECT id FROM e1 UNION SELECT id FROM e2 UNION SELECT id FROM e3) SELECT id, 3::BIGINT AS seed FROM a UNION ALL SELECT id, 140 FROM b WHERE id NOT IN (SELECT id FROM a)")
 def directed_components(spark, sf_dir):
     return traverse.directed_components(link_edges(spark, sf_dir), [3, 140], max_depth=3)
