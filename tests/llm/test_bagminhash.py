@@ -120,3 +120,18 @@ def test_one_id_of_several_texts(docs):
     rows = [(5, " ".join(one)), (5, " ".join(two)), (5, " ".join(one)), (6, " ".join(edited(rng, one, 0.01))), (7, " ".join(edited(rng, two, 0.01))), (8, "something else altogether, five words")]
     got = bmh.near_groups(docs(rows)).collect()
     assert sorted(((r["doc_id"], r["class_id"], r["class_size"]) for r in got), key=str) == brute_classes(rows)
+
+
+def test_repeated_rows_in_a_bucket_of_several_components(spark):
+    one = [f"a{i}" for i in range(104)]
+    two = one[:97] + [f"b{i}" for i in range(7)]
+    other = [[f"{c}{i}" for i in range(104)] for c in "cd"]
+    rows = [(1, one)] * 3 + [(2, two)] * 3 + [(3, other[0]), (4, other[1])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    sketched = bmh.sketch(df, 140, 5, 5).cache()
+    nodes = {r["doc_id"]: bytes(r["node"]) for r in sketched.collect()}
+    met = [(1, i, 4) for i in nodes] + [(2, 3, 2), (2, 4, 2)]
+    # 3 meets most others and is the first centre, so 1 and 2 are left to the prefix filter
+    members = spark.createDataFrame([(k, bytearray(nodes[i]), 100, n + 9 * (i == 3)) for k, i, n in met], "key long, node binary, items long, met long")
+    links, _ = bmh.verified_links(df, sketched, members, 0.8, 5)
+    assert [{bytes(r["a"]), bytes(r["b"])} for r in links.collect()] == [{nodes[1], nodes[2]}]

@@ -340,8 +340,7 @@ class _Links:
         left, right = self.sets.select(F.col("node").alias("a"), F.col("items").alias("x")), self.sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
         common = F.size(F.array_intersect("x", "y"))
         near = (common >= t * (F.size("x") + F.size("y") - common) - 1e-9).alias("near")
-        # distinct: a document that is there twice gives its set twice
-        checked = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", near).distinct(), "near-checked", rows, 5_000)
+        checked = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", near), "near-checked", rows, 5_000)
         found, seen = checked.where("near").select("a", "b"), checked.select("a", "b")
         self.tested = seen if self.tested is None else self.tested.union(seen)
         self.links = found if self.links is None else self.links.union(found)
@@ -376,6 +375,9 @@ def verified_links(rows_in: DataFrame, sketched: DataFrame, members: DataFrame,
     chosen = chosen.select(F.col("node").alias("__tw_node"), "__tw_id").where("__tw_id IS NOT NULL")
     texts = rows_in.join(chosen, F.col("doc_id") == F.col("__tw_id")).select(F.col("__tw_node").alias("node"), "text")
     sets = materialise(shingle_sets(texts, words), "near-sets")
+    # a row that is there several times would count each of the node's items as often
+    if not sets.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        sets = materialise(sets.dropDuplicates(["node"]), "near-sets")
     state = _Links(sets, labels, threshold)
     met = members.groupBy("node").agg(F.sum("met").alias("met"))
     members = members.drop("met").join(met, "node").withColumn("place", F.lit(1).cast("long"))
