@@ -1,6 +1,8 @@
 """Queries that take a whole table, against brute force or counts of that table."""
 
+import datetime as dt
 import os
+from collections import Counter
 
 import pytest
 
@@ -24,3 +26,12 @@ def test_components_over_all_links(spark):
             label[a] = label[b] = low
     got = catalogue.QUERIES["connected_components_whole"](spark, DATA).collect()
     assert sorted((r.id, r.component) for r in got) == sorted(label.items())
+
+
+def test_pairwise_paths_of_all_starts(spark):
+    edges = catalogue.temporal_edges(spark, DATA).select("src", "dst", "valid_from", "valid_to").collect()
+    low, high = (dt.datetime.fromisoformat(x) for x in (catalogue.MOMENT, catalogue.LATER))
+    ok = [(e.src, e.dst, e.valid_from, e.valid_to or dt.datetime.max) for e in edges if e.valid_from < high and (e.valid_to is None or e.valid_to > low)]
+    want = Counter((a, b, d) for a, b, f, t in ok for c, d, g, u in ok if b == c and t > g and u > f)
+    got = catalogue.QUERIES["temporal_path_pairwise_whole"](spark, DATA).collect()
+    assert {(r.a, r.b, r.c): r.n for r in got} == dict(want) and len({r.a for r in got}) > 1

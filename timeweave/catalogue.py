@@ -483,6 +483,12 @@ def temporal_path_pairwise(spark, sf_dir):
     return p.groupBy(F.get("path", F.lit(0)).alias("a"), F.get("path", F.lit(1)).alias("b"), F.get("path", F.lit(2)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@registered("temporal_path_pairwise_whole", f"WITH {TEDGES} SELECT a.src AS a, a.dst AS b, b.dst AS c, count(*) AS n FROM te a JOIN te b ON b.src = a.dst WHERE a.t > b.f AND b.t > a.f GROUP BY 1, 2, 3")
+def temporal_path_pairwise_whole(spark, sf_dir):
+    p = traverse.temporal_paths(temporal_edges(spark, sf_dir), MOMENT, LATER, 2, "pairwise")
+    return p.groupBy(F.get("path", F.lit(0)).alias("a"), F.get("path", F.lit(1)).alias("b"), F.get("path", F.lit(2)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # writes
 
 
