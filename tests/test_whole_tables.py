@@ -35,3 +35,11 @@ def test_pairwise_paths_of_all_starts(spark):
     want = Counter((a, b, d) for a, b, f, t in ok for c, d, g, u in ok if b == c and t > g and u > f)
     got = catalogue.QUERIES["temporal_path_pairwise_whole"](spark, DATA).collect()
     assert {(r.a, r.b, r.c): r.n for r in got} == dict(want) and len({r.a for r in got}) > 1
+
+
+def test_sort_goes_on_behind_the_nulls(spark):
+    got = [(r.id, r.b) for r in catalogue.QUERIES["sort_nulls_whole"](spark, "/root/testdata/sf0.1").collect()]
+    values = [(-b, i) for i, b in got if b is not None]
+    nulls = [i for i, b in got if b is None]
+    assert [b for _, b in got[: len(nulls)]] == [None] * len(nulls) and nulls == sorted(nulls)
+    assert len(got) == 15_000 and len(values) == 7_500 and values == sorted(values)

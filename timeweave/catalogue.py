@@ -220,6 +220,7 @@ def agg_rollup(spark, sf_dir):
 # sort, limit, distinct, set operations
 
 text_query("sort_nulls", "MATCH (c:Customer) WITH c.id AS id, CASE WHEN c.id % 2 = 0 THEN c.c_acctbal END AS b RETURN id, b ORDER BY b DESC, id LIMIT 800", "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS b FROM customer ORDER BY b DESC NULLS FIRST, id LIMIT 800")
+text_query("sort_nulls_whole", "MATCH (c:Customer) WITH c.id AS id, CASE WHEN c.id % 2 = 0 THEN c.c_acctbal END AS b RETURN id, b ORDER BY b DESC, id", "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS b FROM customer ORDER BY b DESC NULLS FIRST, id")
 text_query("topk", "MATCH (o:Order) RETURN o.id AS id, o.o_totalprice AS price ORDER BY o.o_totalprice DESC, o.id LIMIT 10", "SELECT o_orderkey AS id, o_totalprice AS price FROM orders ORDER BY price DESC, id LIMIT 10")
 text_query("skip_limit", "MATCH (c:Customer) RETURN c.id AS id ORDER BY c.c_name SKIP 20 LIMIT 10", "SELECT c_custkey AS id FROM customer ORDER BY c_name LIMIT 10 OFFSET 20")
 text_query("limit_zero", "MATCH (c:Customer) RETURN c.id AS id LIMIT 0", "SELECT c_custkey AS id FROM customer LIMIT 0")
