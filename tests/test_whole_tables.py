@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from timeweave import catalogue
-from timeweave.sources.tables import link_edges
+from timeweave.sources.tables import link_edges, table
 
 DATA = "/root/testdata/sf0.001"
 
@@ -43,3 +43,22 @@ def test_sort_goes_on_behind_the_nulls(spark):
     nulls = [i for i, b in got if b is None]
     assert [b for _, b in got[: len(nulls)]] == [None] * len(nulls) and nulls == sorted(nulls)
     assert len(got) == 15_000 and len(values) == 7_500 and values == sorted(values)
+
+
+def test_dates_of_all_orders(spark):
+    got = {r.id: (r.later, r.us) for r in catalogue.QUERIES["fn_temporal_whole"](spark, DATA).collect()}
+    orders = table(spark, DATA, "orders").select("o_orderkey", "o_orderdate").collect()
+    epoch = dt.datetime(1970, 1, 1)
+    assert max(got) >= 50 and got == {o: (d + dt.timedelta(hours=26), (d - epoch) // dt.timedelta(microseconds=1)) for o, d in orders}
+
+
+def test_iso8601_of_whole_seconds(spark, tmp_path):
+    times = [dt.datetime(2024, 1, 1, 2, 3, 4), dt.datetime(2024, 1, 1, 2, 3, 4, 50)]
+    spark.createDataFrame(list(enumerate(times)), "event_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalogue.QUERIES["fn_format_iso8601_whole"](spark, str(tmp_path)).collect()
+    want = [(0, "2024-01-01T02:03:04Z"), (1, "2024-01-01T02:03:04.000050Z")]
+    assert sorted((r.id, r.text) for r in got) == want
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert sorted(c.sql(catalogue.ORACLE_SQL["fn_format_iso8601_whole"]).fetchall()) == want

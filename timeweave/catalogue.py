@@ -240,6 +240,8 @@ text_query("fn_math", "MATCH (c:Customer) RETURN c.id AS id, abs(c.c_acctbal) AS
 text_query("fn_list", "UNWIND [[1, 2, 3], [4]] AS xs RETURN size(xs) AS n, head(xs) AS first, last(xs) AS final, xs[1] AS second, element_at(xs, 7) AS none, coalesce(xs[1], -1) AS filled", "SELECT * FROM (VALUES (3::INT, 1::BIGINT, 3::BIGINT, 2::BIGINT, CAST(NULL AS BIGINT), 2::BIGINT), (1, 4, 4, NULL, NULL, -1)) t(n, first, final, second, none, filled)")
 text_query("fn_temporal", "MATCH (o:Order) WHERE o.id < 50 RETURN o.id AS id, o.o_orderdate + duration('1d2h') AS later, o.o_orderdate - duration('P1D') AS sooner, o.o_orderdate - datetime('1995-01-01') AS since, micros(o.o_orderdate) AS us",
     "SELECT o_orderkey AS id, o_orderdate + INTERVAL 26 HOUR AS later, o_orderdate - INTERVAL 1 DAY AS sooner, epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1995-01-01') AS since, epoch_us(o_orderdate) AS us FROM orders WHERE o_orderkey < 50")
+text_query("fn_temporal_whole", "MATCH (o:Order) RETURN o.id AS id, o.o_orderdate + duration('1d2h') AS later, o.o_orderdate - duration('P1D') AS sooner, o.o_orderdate - datetime('1995-01-01') AS since, micros(o.o_orderdate) AS us",
+    "SELECT o_orderkey AS id, o_orderdate + INTERVAL 26 HOUR AS later, o_orderdate - INTERVAL 1 DAY AS sooner, epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1995-01-01') AS since, epoch_us(o_orderdate) AS us FROM orders")
 text_query("fn_json", "MATCH (s:State) RETURN s.kind AS kind, count(*) AS n, max(json('{\"k\": 7}', '$.k')) AS k", "SELECT event_type AS kind, count(*) AS n, '7' AS k FROM events GROUP BY 1")
 
 
@@ -255,6 +257,11 @@ def fn_format_iso8601(spark, sf_dir):
     return e.select(F.col("event_id").alias("id"), format_iso8601(F.col("ts")).alias("text"))
 
 
+@registered("fn_format_iso8601_whole", "SELECT event_id AS id, CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END || 'Z' AS text FROM events")
+def fn_format_iso8601_whole(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), format_iso8601(F.col("ts")).alias("text"))
+
+
 # time travel
 
 T0, T1 = f"TIMESTAMP '{MOMENT}'", f"TIMESTAMP '{LATER}'"
