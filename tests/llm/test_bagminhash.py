@@ -135,3 +135,13 @@ def test_repeated_rows_in_a_bucket_of_several_components(spark):
     members = spark.createDataFrame([(k, bytearray(nodes[i]), 100, n + 9 * (i == 3)) for k, i, n in met], "key long, node binary, items long, met long")
     links, _ = bmh.verified_links(df, sketched, members, 0.8, 5)
     assert [{bytes(r["a"]), bytes(r["b"])} for r in links.collect()] == [{nodes[1], nodes[2]}]
+
+
+def test_texts_of_null_and_reused_ids(docs):
+    rng = random.Random(8)
+    one, two = ([f"{c}{i}" for i in range(100)] for c in "ab")
+    rows = [(1, " ".join(one)), (5, " ".join(one[:99]) + " end"), (5, "a unique text that no other row is like"), (None, " ".join(two)), (None, " ".join(edited(rng, two, 0.01)))]
+    got = bmh.near_groups(docs(rows)).collect()
+    assert sorted(((r["doc_id"], r["class_id"], r["class_size"]) for r in got), key=str) == brute_classes(rows)
+    kept = {(r["doc_id"], r["text"]) for r in bmh.near_dedup(docs(rows)).collect()}
+    assert kept == {rows[0], *rows[2:]}

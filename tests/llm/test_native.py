@@ -115,6 +115,12 @@ def test_mixed_documents_repeat_and_keep_columns(docs):
     assert dict(counted) == {k: v for k, v in plan.items() if v}
 
 
+def test_mixed_documents_keep_texts_of_null_and_reused_ids(docs):
+    rows = [(5, "a b c"), (5, "d e f"), (None, "g h i"), (None, "j k l")]
+    out = mixing.mixed_documents(docs(rows)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in out), key=str) == sorted(rows, key=str)
+
+
 def test_mix_of_nothing(docs):
     assert mixing.mix(docs([])).collect() == [] and mixing.mixed_documents(docs([])).collect() == []
     assert [r["taken"] for r in mixing.mix(docs([(1, None, None), (2, " ", "a")])).collect()] == [0, 0]

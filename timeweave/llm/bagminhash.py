@@ -164,9 +164,9 @@ def _batches(texts: list[str | None], limit: int = 1 << 20, most: int = 4096) ->
 
 
 def sketch(docs: DataFrame, m: int, rows: int, words: int) -> DataFrame:
-    """(doc_id, node, items, bands): ``node`` names the multiset (16 bytes; null without words), ``items`` is its size, ``bands`` a 64-bit key for each band."""
-    narrow = docs.select("doc_id", "text")
-    schema = narrow.select("doc_id").schema.add("node", "binary").add("items", "long").add("bands", T.ArrayType(T.LongType()))
+    """(doc_id, text_key, node, items, bands): ``text_key`` hashes the text, ``node`` names the multiset (16 bytes; null without words), ``items`` is its size, ``bands`` a 64-bit key for each band."""
+    narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    schema = narrow.select("doc_id", "text_key").schema.add("node", "binary").add("items", "long").add("bands", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(m // rows, dtype=U) * U(GOLDEN)
@@ -182,7 +182,7 @@ def sketch(docs: DataFrame, m: int, rows: int, words: int) -> DataFrame:
                 nodes = pa.array([None if no else x.tobytes() for no, x in zip(items == 0, name, strict=True)], pa.binary())
                 flat = pa.array(keys.astype(np.int64).reshape(-1))
                 offsets = pa.array(np.arange(n + 1, dtype=np.int32) * (m // rows))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), nodes, pa.array(items), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "node", "items", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(2).slice(at, n), nodes, pa.array(items), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "text_key", "node", "items", "bands"])
 
     return bounded_batches(narrow).mapInArrow(run, schema)
 
@@ -190,7 +190,7 @@ def sketch(docs: DataFrame, m: int, rows: int, words: int) -> DataFrame:
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """(node, items) of rows of (node, text): the multiset as a set, the k-th occurrence of a shingle being an item of its own.
 
-    A row whose text is not the node's (its id is that of several texts) is left out.
+    A row whose text is not the node's is left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,6 +242,11 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, words: int = 5, m: int
     than a shingle is one shingle.  Repeated rows are in one class.  A null id counts in
     ``class_size``; a class of null ids only has a null class_id.  An empty table gives no rows.
     """
+    return _keyed_groups(docs, threshold, words, m, rows, id_col, text_col).drop("text_key")
+
+
+def _keyed_groups(docs: DataFrame, threshold: float = 0.8, words: int = 5, m: int = 140, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``near_groups`` with the hash of each row's text, ``text_key``."""
     rows_in = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketched = materialise(sketch(rows_in, m, rows, words), "near-sketch")
     nodes = sketched.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.first("items").alias("items"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"))
@@ -252,19 +257,19 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, words: int = 5, m: int
     linked = verified_links(rows_in, sketched, members, threshold, words)
     if linked is None or linked[0] is None:
         linked = None
-        grouped = sketched.select("doc_id", F.col("node").alias("label"), F.lit(0).cast("long").alias("links"))
+        grouped = sketched.select("doc_id", "text_key", F.col("node").alias("label"), F.lit(0).cast("long").alias("links"))
     else:
         links, labels = linked
         degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("links"))
         known = degree.join(labels, F.col("node") == F.col("a")).select(F.col("node").alias("__tw_n"), "label", "links")
-        grouped = sketched.join(known, F.col("node") == F.col("__tw_n"), "left").select("doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+        grouped = sketched.join(known, F.col("node") == F.col("__tw_n"), "left").select("doc_id", "text_key", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     if linked is None:
         of_nodes = nodes.select("n", "low", F.col("node").alias("label"))
     else:
         of_nodes = nodes.join(known, F.col("node") == F.col("__tw_n"), "left").select("n", "low", F.coalesce("label", "node").alias("label"))
     classes = of_nodes.groupBy(F.col("label").alias("__tw_l")).agg(F.sum("n").alias("class_size"), F.min("low").alias("class_id"), F.count(F.lit(1)).alias("texts")).where("class_size > 1")
     out = grouped.join(classes, F.col("label") == F.col("__tw_l"), "left")
-    return out.select("doc_id", F.when(F.col("__tw_l").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "links", F.coalesce("texts", F.lit(1)).alias("texts"))
+    return out.select("doc_id", "text_key", F.when(F.col("__tw_l").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "links", F.coalesce("texts", F.lit(1)).alias("texts"))
 
 
 def _relabel(labels: DataFrame, found: DataFrame, members: int) -> DataFrame:
@@ -370,10 +375,12 @@ def verified_links(rows_in: DataFrame, sketched: DataFrame, members: DataFrame,
     labels = materialise(members.select("node").distinct().select("node", F.col("node").alias("label")), "near-member-labels")
     if labels.isEmpty():
         return None
-    # one document of each node
-    chosen = sketched.join(labels.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("__tw_id"))
-    chosen = chosen.select(F.col("node").alias("__tw_node"), "__tw_id").where("__tw_id IS NOT NULL")
-    texts = rows_in.join(chosen, F.col("doc_id") == F.col("__tw_id")).select(F.col("__tw_node").alias("node"), "text")
+    # one document of each node, of a null id only if it has no other
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")).alias("low")
+    chosen = sketched.join(labels.select("node"), "node", "left_semi").groupBy("node").agg(low)
+    chosen = chosen.select(F.col("node").alias("__tw_node"), F.col("low.doc_id").alias("__tw_id"), F.col("low.text_key").alias("__tw_key"))
+    own = (F.xxhash64("text") == F.col("__tw_key")) & F.col("doc_id").eqNullSafe(F.col("__tw_id"))
+    texts = rows_in.join(chosen, own).select(F.col("__tw_node").alias("node"), "text")
     sets = materialise(shingle_sets(texts, words), "near-sets")
     # a row that is there several times would count each of the node's items as often
     if not sets.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
@@ -394,8 +401,9 @@ def verified_links(rows_in: DataFrame, sketched: DataFrame, members: DataFrame,
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each class, that of the smallest id, all columns kept.
 
-    Rows of other ids in a class go by an anti-join on the id; rows with a null id stay.
+    Rows of other ids in a class go by an anti-join on the id and the text's hash; rows with a
+    null id stay, and so do all rows of the smallest id.
     """
-    groups = near_groups(docs, id_col=id_col, text_col=text_col, **options)
-    gone = groups.where("doc_id <> class_id").select(F.col("doc_id").alias("__tw_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__tw_gone"), "left_anti")
+    groups = _keyed_groups(docs, id_col=id_col, text_col=text_col, **options)
+    gone = groups.where("doc_id <> class_id").select(F.col("doc_id").alias("__tw_gone"), F.col("text_key").alias("__tw_key")).distinct()
+    return docs.join(gone, (F.col(id_col) == F.col("__tw_gone")) & (F.xxhash64(F.col(text_col)) == F.col("__tw_key")), "left_anti")

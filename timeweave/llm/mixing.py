@@ -53,7 +53,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_epo
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = 3, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", block_rows: int = 4096) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, cum, taken, times.
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, cum, key, text_key, taken, times.
 
     ``cum`` is the document's own place in its source's shuffled order, in words; ``times`` how
     often the mix takes it (0 to max_epochs) and ``taken`` the words of that.  Copy e of a document
@@ -69,6 +69,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = 3
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         word_count(text).alias("size"),
+        F.xxhash64(text).alias("text_key"),
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")).alias("key"),
     )
     rows = materialise(rows, "mix-sizes")
@@ -82,14 +83,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = 3
     earlier = W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("__tw_s"), F.col("block").alias("__tw_b"), F.coalesce(F.sum("__tw_sum").over(earlier), F.lit(0)).alias("__tw_before"))
     sums = sums.join(targets.withColumnRenamed("source", "__tw_t"), F.col("__tw_s").eqNullSafe(F.col("__tw_t"))).drop("__tw_t", "docs")
-    inside = W.partitionBy("source", "block").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("source", "block").orderBy("key", "doc_id", "size", "text_key").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = rows.withColumn("__tw_in", F.sum("size").over(inside)).join(sums, F.col("source").eqNullSafe(F.col("__tw_s")) & (F.col("block") == F.col("__tw_b")))
     placed = placed.withColumn("cum", F.col("__tw_in") + F.col("__tw_before"))
     copies = [F.col("cum") + F.col("source_size") * e for e in range(max_epochs)]
     in_time = sum(((c <= F.col("target")) & (F.col("size") > 0)).cast("long") for c in copies)
     late = [(c > F.col("target")) & (c - F.col("size") < F.col("target")) & (F.col("size") > 0) for c in copies]
     finish = F.coalesce(*[F.when(x, c / F.col("target")) for x, c in zip(late, copies, strict=True)])
-    placed = materialise(placed.select("doc_id", "source", "size", "source_size", "target", "cum", "key", in_time.alias("__tw_times"), finish.alias("__tw_finish")), "mix-placed", totals["docs"] or 0, 20_000)
+    placed = materialise(placed.select("doc_id", "source", "size", "source_size", "target", "cum", "key", "text_key", in_time.alias("__tw_times"), finish.alias("__tw_finish")), "mix-placed", totals["docs"] or 0, 20_000)
     # at most one late row for each source
     left = (totals["budget"] or 0.0) - (placed.agg(F.sum(F.col("size") * F.col("__tw_times")).alias("n")).first()["n"] or 0)
     late_rows = placed.where("__tw_finish IS NOT NULL").select(F.col("source").alias("__tw_s"), F.col("cum").alias("__tw_c"), "size", "__tw_finish")
@@ -97,26 +98,26 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = 3
     also = late_rows.withColumn("__tw_run", F.sum("size").over(queue)).where(F.col("__tw_run") <= F.lit(float(left))).select("__tw_s", "__tw_c", F.lit(1).cast("long").alias("__tw_also"))
     full = placed.join(also, F.col("source").eqNullSafe(F.col("__tw_s")) & (F.col("cum") == F.col("__tw_c")) & F.col("__tw_finish").isNotNull(), "left")
     times = F.col("__tw_times") + F.coalesce("__tw_also", F.lit(0))
-    return full.select("doc_id", "source", "size", "source_size", "target", "cum", "key", (times * F.col("size")).alias("taken"), times.alias("times"))
+    return full.select("doc_id", "source", "size", "source_size", "target", "cum", "key", "text_key", (times * F.col("size")).alias("taken"), times.alias("times"))
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = 3, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of the mix with all columns of ``docs``, range-sorted by virtual finish time.
 
     A document that the mix takes twice is there twice.  Rows whose id is repeated are matched by
-    id, source and size, each as often as the mix took it.
+    id, source and the text's hash, each as often as the mix took it.
     """
     plan = mix(docs, weights, max_epochs, share, id_col, text_col, source_col).where("times > 0")
-    plan = plan.groupBy("doc_id", "source", "size").agg(
+    plan = plan.groupBy("doc_id", "source", "text_key").agg(
         F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0).cast("long"), F.col("times") - 1), lambda e: (F.col("cum") + e * F.col("source_size")) / F.col("target")))).alias("__tw_at")
     )
-    plan = plan.select(F.col("doc_id").alias("__tw_id"), F.col("source").alias("__tw_src"), F.col("size").alias("__tw_size"), "__tw_at")
-    alike = F.col(id_col).eqNullSafe(F.col("__tw_id")) & F.col(source_col).eqNullSafe(F.col("__tw_src")) & (word_count(F.col(text_col)) == F.col("__tw_size"))
+    plan = plan.select(F.col("doc_id").alias("__tw_id"), F.col("source").alias("__tw_src"), F.col("text_key").alias("__tw_text"), "__tw_at")
+    alike = F.col(id_col).eqNullSafe(F.col("__tw_id")) & F.col(source_col).eqNullSafe(F.col("__tw_src")) & (F.xxhash64(F.col(text_col)) == F.col("__tw_text"))
     # of repeated rows the first stands for all: the plan's list already holds a time for each
     numbered = docs.join(plan, alike)
-    same = numbered.groupBy("__tw_id", "__tw_src", "__tw_size").agg(F.count(F.lit(1)).alias("__tw_n")).where("__tw_n > 1")
+    same = numbered.groupBy("__tw_id", "__tw_src", "__tw_text").agg(F.count(F.lit(1)).alias("__tw_n")).where("__tw_n > 1")
     if not same.isEmpty():
-        one = W.partitionBy("__tw_id", "__tw_src", "__tw_size").orderBy(F.xxhash64(F.col(text_col)))
+        one = W.partitionBy("__tw_id", "__tw_src", "__tw_text").orderBy(F.xxhash64(F.col(text_col)))
         numbered = numbered.withColumn("__tw_k", F.row_number().over(one)).where("__tw_k = 1").drop("__tw_k")
     out = numbered.withColumn("__tw_v", F.explode("__tw_at"))
     return out.repartitionByRange("__tw_v", id_col).sortWithinPartitions("__tw_v", id_col).select(*[F.col(c) for c in docs.columns])
