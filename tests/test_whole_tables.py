@@ -62,3 +62,19 @@ def test_iso8601_of_whole_seconds(spark, tmp_path):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
     assert sorted(c.sql(catalogue.ORACLE_SQL["fn_format_iso8601_whole"]).fetchall()) == want
+
+
+def test_directed_components_follow_a_long_chain(spark, monkeypatch):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(3, 9)] + [(140, 141), (141, 3)], "src long, dst long")
+    monkeypatch.setattr(catalogue, "link_edges", lambda spark, sf_dir: chain)
+    got = catalogue.QUERIES["directed_components"](spark, DATA).collect()
+    assert sorted((r.id, r.seed) for r in got) == [(i, 3) for i in range(3, 10)] + [(140, 140), (141, 140)]
+
+
+def test_paths_over_all_neighbours(spark):
+    out = {}
+    for r in link_edges(spark, DATA).collect():
+        out.setdefault(r.src, set()).add(r.dst)
+    want = [f"3>{a}>{b}>{c}" for a in out.get(3, ()) for b in out.get(a, ()) for c in out.get(b, ()) if len({3, a, b, c}) == 4]
+    got = [r.path for r in catalogue.QUERIES["path_enumeration_whole"](spark, DATA).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 5**3

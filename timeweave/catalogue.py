@@ -168,7 +168,7 @@ def connected_components_whole(spark, sf_dir):
 
 @registered("directed_components", f"WITH {LINKS}, {_reach(3, 3)}, a AS (SELECT id FROM d0 UNION SELECT id FROM d1 UNION SELECT id FROM d2 UNION SELECT id FROM d3), {_reach(3, 140).replace('d0', 'e0').replace('d1', 'e1').replace('d2', 'e2').replace('d3', 'e3')}, b AS (SELECT id FROM e0 UNION SELECT id FROM e1 UNION SELECT id FROM e2 UNION SELECT id FROM e3) SELECT id, 3::BIGINT AS seed FROM a UNION ALL SELECT id, 140 FROM b WHERE id NOT IN (SELECT id FROM a)")
 def directed_components(spark, sf_dir):
-    return traverse.directed_components(link_edges(spark, sf_dir), [3, 140], max_depth=3)
+    return traverse.directed_components(link_edges(spark, sf_dir), [3, 140])
 
 
 @registered("shortest_path", f"WITH {LINKS}, {_reach(4, 3)} SELECT 3::BIGINT AS source, 60::BIGINT AS target, min(d)::BIGINT AS distance FROM (SELECT id, 0 AS d FROM d0 UNION ALL SELECT id, 1 FROM d1 UNION ALL SELECT id, 2 FROM d2 UNION ALL SELECT id, 3 FROM d3 UNION ALL SELECT id, 4 FROM d4) WHERE id = 60 HAVING min(d) IS NOT NULL")
@@ -193,6 +193,11 @@ def path_enumeration(spark, sf_dir):
     return traverse.paths(link_edges(spark, sf_dir), _seed(spark, 3), 3, branch=5).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
+@registered("path_enumeration_whole", f"WITH {LINKS} SELECT concat_ws('>', 3, a.dst, b.dst, c.dst) AS path FROM links a JOIN links b ON b.src = a.dst JOIN links c ON c.src = b.dst WHERE a.src = 3 AND b.dst <> 3 AND c.dst <> 3 AND c.dst <> a.dst")
+def path_enumeration_whole(spark, sf_dir):
+    return traverse.paths(link_edges(spark, sf_dir), _seed(spark, 3), 3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
 @registered("triangle_in_window", f"WITH {ELOG}, e AS (SELECT DISTINCT user_id AS src, item AS dst FROM elog WHERE user_id <> item AND ts >= TIMESTAMP '{MOMENT}' AND ts < TIMESTAMP '{LATER}') SELECT x.src AS a, y.src AS b, z.src AS c FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = y.dst AND z.dst = x.src WHERE x.src < y.src AND x.src < z.src")
 def triangle_in_window(spark, sf_dir):
     edges = event_log(spark, sf_dir).where("item IS NOT NULL").select(F.col("user_id").alias("src"), F.col("item").alias("dst"), "ts")

@@ -6,6 +6,7 @@ with the edges; its result is written to the shared checkpoint folder, which cut
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -61,12 +62,12 @@ def degree_centrality(edges: DataFrame, vertices: DataFrame, direction: str = "o
     return vertices.select("id").join(counts, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def bfs(edges: DataFrame, start: DataFrame, max_depth: int, direction: str = "out") -> DataFrame:
-    """(id, depth): vertices within ``max_depth`` of any of ``start`` (id), at the depth they are first reached; the start has 0."""
+def bfs(edges: DataFrame, start: DataFrame, max_depth: int | None, direction: str = "out") -> DataFrame:
+    """(id, depth): vertices within ``max_depth`` (None: any number) of any of ``start`` (id), at the depth they are first reached; the start has 0."""
     step = checkpoint(simple(oriented(edges, direction)))
     seen = start.select("id").distinct().withColumn("depth", F.lit(0).cast("bigint"))
     front = seen
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         reached = front.join(step, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
         front = checkpoint(reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth).cast("bigint")))
         if front.isEmpty():
@@ -118,7 +119,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def directed_components(edges: DataFrame, seeds: list, max_depth: int = 1000) -> DataFrame:
+def directed_components(edges: DataFrame, seeds: list, max_depth: int | None = None) -> DataFrame:
     """(id, seed): what each seed in turn reaches along edges that no earlier one reached."""
     taken = None
     for seed in seeds:
