@@ -72,7 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _OP4 = r"""
 WITH rows AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
 weighed AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT + 1]::DOUBLE AS weight, (3 * source_size)::DOUBLE AS cap FROM per),
 ranked AS (SELECT *, cap / weight AS reach, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS k, sum(source_size) OVER ()::DOUBLE AS budget,
