@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timeweave.llm.common import bounded_batches, discard, materialise, worker_cache
+from timeweave.llm.common import bounded_batches, discard, materialise, small, temporary_tables, worker_cache
 
 U = np.uint64
 GOLDEN, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB  # of the public splitmix64 generator
@@ -242,18 +242,21 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, words: int = 5, m: int
     than a shingle is one shingle.  Repeated rows are in one class.  A null id counts in
     ``class_size``; a class of null ids only has a null class_id.  An empty table gives no rows.
     """
-    return _keyed_groups(docs, threshold, words, m, rows, id_col, text_col).drop("text_key")
+    return _keyed_groups(docs, threshold, words, m, rows, id_col, text_col).drop("text_key", "label")
 
 
 def _keyed_groups(docs: DataFrame, threshold: float = 0.8, words: int = 5, m: int = 140, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``near_groups`` with the hash of each row's text, ``text_key``."""
+    """``near_groups`` with the hash of each row's text, ``text_key``, and the node that names its class, ``label``."""
     rows_in = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketched = materialise(sketch(rows_in, m, rows, words), "near-sketch")
     nodes = sketched.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.first("items").alias("items"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"))
-    nodes = materialise(nodes, "near-nodes")
+    n, bands = sketched.count(), m // rows
+    nodes = materialise(nodes, "near-nodes", n)
     banded = nodes.select("node", "items", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
-    members = materialise(banded.join(shared, "key"), "near-members")
+    shared = materialise(shared, "near-shared", n * bands, 500_000)
+    members = materialise(banded.join(small(shared, shared.count(), 1_000_000), "key"), "near-members", n * bands, 500_000)
+    discard(shared)
     linked = verified_links(rows_in, sketched, members, threshold, words)
     if linked is None or linked[0] is None:
         linked = None
@@ -269,7 +272,7 @@ def _keyed_groups(docs: DataFrame, threshold: float = 0.8, words: int = 5, m: in
         of_nodes = nodes.join(known, F.col("node") == F.col("__tw_n"), "left").select("n", "low", F.coalesce("label", "node").alias("label"))
     classes = of_nodes.groupBy(F.col("label").alias("__tw_l")).agg(F.sum("n").alias("class_size"), F.min("low").alias("class_id"), F.count(F.lit(1)).alias("texts")).where("class_size > 1")
     out = grouped.join(classes, F.col("label") == F.col("__tw_l"), "left")
-    return out.select("doc_id", "text_key", F.when(F.col("__tw_l").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "links", F.coalesce("texts", F.lit(1)).alias("texts"))
+    return out.select("doc_id", "text_key", "label", F.when(F.col("__tw_l").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "links", F.coalesce("texts", F.lit(1)).alias("texts"))
 
 
 def _relabel(labels: DataFrame, found: DataFrame, members: int) -> DataFrame:
@@ -345,7 +348,7 @@ class _Links:
         left, right = self.sets.select(F.col("node").alias("a"), F.col("items").alias("x")), self.sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
         common = F.size(F.array_intersect("x", "y"))
         near = (common >= t * (F.size("x") + F.size("y") - common) - 1e-9).alias("near")
-        checked = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", near), "near-checked", rows, 5_000)
+        checked = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", near), "near-checked", rows, 20_000)
         found, seen = checked.where("near").select("a", "b"), checked.select("a", "b")
         self.tested = seen if self.tested is None else self.tested.union(seen)
         self.links = found if self.links is None else self.links.union(found)
@@ -372,15 +375,17 @@ def verified_links(rows_in: DataFrame, sketched: DataFrame, members: DataFrame,
     met the others.  Pairs that were compared before, or whose sizes or places of the shared item
     rule the threshold out, are not compared.
     """
-    labels = materialise(members.select("node").distinct().select("node", F.col("node").alias("label")), "near-member-labels")
+    labels = materialise(members.select("node").distinct().select("node", F.col("node").alias("label")), "near-member-labels", members.count())
     if labels.isEmpty():
         return None
     # one document of each node, of a null id only if it has no other
     low = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")).alias("low")
     chosen = sketched.join(labels.select("node"), "node", "left_semi").groupBy("node").agg(low)
     chosen = chosen.select(F.col("node").alias("__tw_node"), F.col("low.doc_id").alias("__tw_id"), F.col("low.text_key").alias("__tw_key"))
+    chosen = materialise(chosen, "near-chosen")
     own = (F.xxhash64("text") == F.col("__tw_key")) & F.col("doc_id").eqNullSafe(F.col("__tw_id"))
-    texts = rows_in.join(chosen, own).select(F.col("__tw_node").alias("node"), "text")
+    # broadcast up to a size, so that only the texts wanted leave the scan
+    texts = rows_in.join(small(chosen, chosen.count(), 1_000_000), own).select(F.col("__tw_node").alias("node"), "text")
     sets = materialise(shingle_sets(texts, words), "near-sets")
     # a row that is there several times would count each of the node's items as often
     if not sets.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
@@ -399,11 +404,25 @@ def verified_links(rows_in: DataFrame, sketched: DataFrame, members: DataFrame,
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class, that of the smallest id, all columns kept.
+    """``docs`` with one row of each class, all columns kept: that of the smallest id.
 
-    Rows of other ids in a class go by an anti-join on the id and the text's hash; rows with a
-    null id stay, and so do all rows of the smallest id.
+    Of rows of that id whose texts differ, the text with the smallest hash stays, of equal rows
+    any; a null id comes after all others.  Texts without words are classes of their own and stay,
+    each row of them.  Rows go by an anti-join on the id and the text's hash, for which the texts
+    are shuffled only if those that go are too many to broadcast.  An empty table gives no rows.
     """
-    groups = _keyed_groups(docs, id_col=id_col, text_col=text_col, **options)
-    gone = groups.where("doc_id <> class_id").select(F.col("doc_id").alias("__tw_gone"), F.col("text_key").alias("__tw_key")).distinct()
-    return docs.join(gone, (F.col(id_col) == F.col("__tw_gone")) & (F.xxhash64(F.col(text_col)) == F.col("__tw_key")), "left_anti")
+    mine = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")
+    with temporary_tables(docs.sparkSession):
+        classes = _keyed_groups(docs, id_col=id_col, text_col=text_col, **options).where("class_size > 1")
+        rows = materialise(classes.groupBy("label", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")), "near-classes")
+        first = rows.groupBy(F.col("label").alias("__tw_l")).agg(F.min(mine).alias("__tw_first"))
+        kept = F.col("__tw_first") == mine
+        gone = rows.join(small(first, rows.count()), F.col("label") == F.col("__tw_l"))  # no more classes than rows.where(~kept | (F.col("n") > 1))
+        gone = materialise(gone.select(F.col("doc_id").alias("__tw_id"), F.col("text_key").alias("__tw_key"), kept.alias("__tw_kept")), "near-gone", keep=True)
+    few = gone.count()
+    alike = F.col(id_col).eqNullSafe(F.col("__tw_id")) & (F.xxhash64(F.col(text_col)) == F.col("__tw_key"))
+    rest = docs.join(small(gone, few), alike, "left_anti")
+    again = gone.where("__tw_kept")
+    if again.isEmpty():
+        return rest
+    return rest.unionByName(docs.join(small(again, few), alike).dropDuplicates(["__tw_id", "__tw_key"]).select(*docs.columns))
