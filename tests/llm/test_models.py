@@ -79,8 +79,13 @@ def test_label_model_finds_rates_and_correlation():
     values, counts = np.unique(bits, return_counts=True)
     some = slice(0, 300)
     model = toxicity.fit_label_model(values, counts.astype(float), bits[some], y[some], 4, 0.2)
-    assert abs(model.rates[1][0] - 0.8) < 0.08 and abs(model.rates[0][1] - 0.05) < 0.03
-    assert model.weight[2] < 0.6 < model.weight[0] and model.weight[3] < 0.6
+    assert abs(model.given[1][0][0] - 0.8) < 0.08 and abs(model.given[0][0][1] - 0.05) < 0.03
+    assert (model.parent >= 0).sum() == 1 and (model.parent[2] == 3 or model.parent[3] == 2)
+    below = int(np.flatnonzero(model.parent >= 0)[0])
+    assert (model.given[:, 1, below] > 0.97).all() and (model.given[:, 0, below] < 0.02).all()
+    # the repeated voter adds next to nothing to what the third says alone
+    once = toxicity.fit_label_model(*(lambda u: (u[0], u[1].astype(float)))(np.unique(bits & 7, return_counts=True)), bits[some] & 7, y[some], 3, 0.2)
+    assert np.abs(model.posterior(bits) - once.posterior(bits & 7)).max() < 0.1
     assert ((model.posterior(bits) > 0.5) == y).mean() > 0.95
 
 

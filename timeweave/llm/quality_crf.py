@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timeweave.llm.common import bounded_batches, held_out
-from timeweave.llm.toxicity import _sample
+from timeweave.llm.toxicity import labelled_sample
 
 STEPS = (0.02, 0.1, 0.3, 0.6)
 KINDS = {
@@ -112,6 +112,16 @@ def marginals(doc: np.ndarray, unary: np.ndarray, step: np.ndarray) -> tuple[np.
     return good, pairs, float(whole[begin].sum())
 
 
+def _runs(texts: Sequence[str | None], limit: int) -> Iterator[tuple[int, Sequence[str | None]]]:
+    """Runs of texts of about ``limit`` characters, with the place of the first."""
+    at, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= limit or i == len(texts) - 1:
+            yield at, texts[at : i + 1]
+            at, size = i + 1, 0
+
+
 @dataclass
 class Chain:
     centre: np.ndarray
@@ -121,12 +131,8 @@ class Chain:
 
     def score(self, texts: Sequence[str | None], limit: int = 1 << 20) -> np.ndarray:
         out = np.zeros(len(texts))
-        at, size = 0, 0
-        for i, text in enumerate(texts):
-            size += len(text or "")
-            if size >= limit or i == len(texts) - 1:
-                out[at : i + 1] = self._some(texts[at : i + 1])
-                at, size = i + 1, 0
+        for at, part in _runs(texts, limit):
+            out[at : at + len(part)] = self._some(part)
         return out
 
     def _some(self, texts: Sequence[str | None]) -> np.ndarray:
@@ -139,11 +145,22 @@ class Chain:
 
 
 def train_chain(texts: Sequence[str | None], good: np.ndarray, share: float, rounds: int = 150, decay: float = 1.0) -> Chain:
-    """Maximum likelihood with L2 decay by Adam over the whole sample; classes weigh as in all labels."""
-    doc, _, x = line_features(texts)
-    centre, scale = x.mean(0), x.std(0) + 1e-3
+    """Maximum likelihood with L2 decay by Adam over the whole sample; classes weigh as in all labels.
+
+    Features are made of a megabyte of text at a time and kept in single precision: about half a
+    kilobyte a line.
+    """
+    docs, parts = [], []
+    for at, part in _runs(texts, 1 << 20):
+        of, _, own = line_features(part)
+        docs.append(of + at)
+        parts.append(own.astype(np.float32))
+    doc, x = np.concatenate(docs), np.concatenate(parts)
+    del parts
+    centre, scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-3
     centre[-1], scale[-1] = 0, 1
-    x = (x - centre) / scale
+    x -= centre.astype(np.float32)
+    x /= scale.astype(np.float32)
     y = good[doc].astype(float)
     first = np.concatenate([[True], doc[1:] != doc[:-1]])
     inner = np.flatnonzero(~first)
@@ -154,8 +171,8 @@ def train_chain(texts: Sequence[str | None], good: np.ndarray, share: float, rou
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
         weights, step = theta[:-4], theta[-4:].reshape(2, 2)
-        p, pairs, _ = marginals(doc, x @ weights, step)
-        grad = np.concatenate([x.T @ (y - p), (seen - pairs).ravel()]) - decay * theta
+        p, pairs, _ = marginals(doc, (x @ weights.astype(np.float32)).astype(np.float64), step)
+        grad = np.concatenate([x.T @ (y - p).astype(np.float32), (seen - pairs).ravel()]) - decay * theta
         m, v = 0.9 * m + 0.1 * grad / lines, 0.99 * v + 0.01 * (grad / lines) ** 2
         theta = theta + 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     weights = theta[:-4].copy()
@@ -164,17 +181,18 @@ def train_chain(texts: Sequence[str | None], good: np.ndarray, share: float, rou
     return Chain(centre, scale, weights, theta[-4:].reshape(2, 2))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, threshold: float = 0.3, per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, threshold: float = 0.3, per_class: int = 3000, most_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted (1: good).
 
     Labels come only from rows whose crc32(id as text) mod ``modulus`` is not ``remainder``; at
-    most ``per_class`` of each class, first by hashed id, train the chain.  Texts without a line
+    most ``per_class`` of each class with ``most_bytes`` of text in all, first by hashed id, train
+    the chain (see ``toxicity.labelled_sample``).  Texts without a line
     that is not blank, null ones too, score 0.  Without labels of both classes every other text
-    scores 0.5.  Repeated rows are scored each.
+    scores 0.5.  Repeated rows are scored each; a null id is not held out; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
-    texts, good, share = _sample(rows, marks, modulus, remainder, (per_class, per_class))
+    texts, good, share = labelled_sample(rows, marks, modulus, remainder, (per_class, per_class), most_bytes)
     held = held_out(F.col("doc_id"), modulus, remainder)
     some = [bool(t and t.strip()) for t in texts]
     texts, good = [t for t, s in zip(texts, some, strict=True) if s], good[np.array(some, bool)]
