@@ -192,7 +192,7 @@ def test_search_recall_and_few_candidates(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     df = vectors(spark, rows).coalesce(2)
     got = {}
-    for r in aq.search(df, df.where("vec_id % 20 = 0"), k=20, rerank=200, query_block=200).collect():
+    for r in aq.search(df, df.where("vec_id % 20 = 0"), k=20, query_block=200).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     y = x.astype(np.float32).astype(float)
     hits = 0
@@ -207,6 +207,33 @@ def test_search_recall_and_few_candidates(spark):
     assert aq.search(none, none).collect() == [] and aq.search(none, few).collect() == []
 
 
+def found_by(df, queries, **options):
+    return sorted(map(tuple, aq.search(df, queries, **options).collect()))
+
+
+def test_search_does_not_depend_on_the_layout_and_finds_unstructured_vectors(spark):
+    x = np.random.default_rng(11).normal(size=(5000, 48)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = vectors(spark, rows)
+    one, many = (found_by(d, d.where("vec_id % 20 = 0"), sample_rows=2048) for d in (df.coalesce(1), df.repartition(7)))
+    assert one == many
+    want = brute(rows, 20)
+    hits = sum(v in {i for i, _ in want[q]} for q, _, v, _ in one)
+    assert hits / sum(map(len, want.values())) >= 0.9
+
+
+def test_search_takes_every_row_but_the_query_itself(spark):
+    a, b = [1.0, 2.0, 0.0], [0.0, 1.0, 1.0]
+    rows = [(20, a), (20, a), (20, b), (21, a), (40, b)]
+    df = vectors(spark, rows)
+    got = found_by(df, df.where("vec_id = 20"), k=10, words=2, books=2)
+    want = []
+    for n, (_, q) in enumerate(rows[:3]):
+        others = [(-sum(x * y for x, y in zip(q, v, strict=True)), i) for m, (i, v) in enumerate(rows) if m != n]
+        want += [(20, r + 1, i, -s) for r, (s, i) in enumerate(sorted(others))]
+    assert got == sorted(want)
+
+
 def test_codes_get_better_with_beam_and_books():
     x = np.random.default_rng(5).normal(size=(1500, 16)).astype(np.float32)
     left = lambda t, b: ((x - t[np.arange(len(t)), aq.beam_encode(x, t, b)].sum(1)) ** 2).sum(1).mean()

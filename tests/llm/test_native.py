@@ -53,6 +53,13 @@ def test_license_scan_equals_brute_force(docs):
     assert sum(r.doc_id == 1 for r in got) == 2 and licenses.scan_licenses(docs([])).collect() == []
 
 
+def test_whole_licences_are_named(docs):
+    names = [n for n in licenses.TEMPLATES if n.endswith("-text")]
+    rows = [(i, "Copyright (c) 2020 someone\n" + licenses.TEMPLATES[n].replace(". ", ".\n")) for i, n in enumerate(names)]
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(docs(rows)).where("unit = 'document'").collect()}
+    assert got == dict(enumerate(names)) and "bsd-3-clause-text" in names
+
+
 def test_key_words_lose_no_match():
     keys = set(licenses.key_words(licenses.TEMPLATES, 0.7))
     for name, text in licenses.TEMPLATES.items():

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from timeweave.llm.common import bounded_batches, materialise, worker_cache
 
 
+REPORT = frozenset("n_tokens docs tokens docs_at_least tokens_at_least quantile truncated_total dropped_tokens".split())
+
+
 def make_encoder(json_path: str, rank_path: str | None = None) -> Callable[[str], Sequence[int]]:
     """text -> ids, special strings as ordinary text, none added.
 
@@ -139,5 +142,14 @@ def truncated_totals(histogram: DataFrame, limits: Sequence[int]) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, json_path: str, rank_path: str | None = None, text_col: str = "text", by: Sequence[str] = ()) -> DataFrame:
-    """The length report of ``docs``.  Texts are encoded once; the histogram is written before its sums."""
+    """The length report of ``docs``, see ``length_report``; a row for each length that occurs.
+
+    Texts are encoded once, whole; the histogram is written before its sums.  Null and empty texts
+    have length 0; each of repeated rows counts; an empty table gives no rows.  ``by`` names
+    columns of ``docs`` to report apart, null being a value of its own; one that has the name of
+    one of the report's columns is an error.  Other columns are ignored, whatever their names.
+    """
+    clash = sorted(set(by) & REPORT)
+    if clash:
+        raise ValueError(f"rename the column first, the report has one of that name: {', '.join(clash)}")
     return length_report(materialise(token_histogram(docs, json_path, rank_path, text_col, by), "token-histogram"), by)
