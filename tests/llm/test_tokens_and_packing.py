@@ -116,3 +116,11 @@ def test_pieces_round_trip(docs, library):
             assert offset == at
             at += length
         assert at <= 1024
+
+
+def test_a_column_named_like_the_reports_is_an_error(docs):
+    df = docs([(1, "a b")])
+    for name in ("docs", "tokens", "n_tokens"):
+        with pytest.raises(ValueError, match=name):
+            tokens.token_counts(df.withColumnRenamed("lang", name), JSON, RANKS, by=[name])
+    assert tokens.token_counts(df.withColumnRenamed("key", "docs"), JSON, RANKS, by=["lang"]).count() == 1
