@@ -237,10 +237,71 @@ def test_replace_partition(spark, tmp_path):
     make = lambda *r: spark.createDataFrame(list(r), cdc.SCHEMA)
     view = cdc.EdgeView(spark, f"file://{tmp_path}/v")
     view.apply(make(record(1, 1, 5, 1, 2), record(2, 1, 5, 3, 4)), 0)
-    view.replace_partition(1, make(record(1, 7, 9, 1, 8)), 1)
+    view.replace_partition(1, make(record(1, 7, 9, 1, 8)), offset=7, version=9)
     assert ids(view.edges(), "partition_id", "target_id") == [(1, 8), (2, 4)]
 
 
+def test_a_view_goes_on_after_a_restart_and_a_replaced_partition(spark, tmp_path):
+    make = lambda *r: spark.createDataFrame(list(r), cdc.SCHEMA)
+    log, cp, path = f"file://{tmp_path}/log", f"file://{tmp_path}/cp", f"file://{tmp_path}/view"
+    add = lambda *r: make(*r).coalesce(1).write.mode("append").parquet(log)
+    add(record(1, 1, 11, 1, 1))
+    add(record(1, 3, 13, 1, 3), record(2, 1, 5, 4, 4))
+    cdc.EdgeView(spark, path).run(log, cp)
+    view = cdc.EdgeView(spark, path)
+    assert ids(view.edges(), "partition_id", "target_id") == [(1, 1), (2, 4)] and ids(view.waiting(), "offset") == [(3,)] and view.version == 11
+    view.replace_partition(2, make(record(2, 9, 20, 4, 6)), offset=9, version=20)
+    add(record(1, 2, 12, 1, 2), record(2, 9, 20, 4, 9))
+    add(record(2, 10, 21, 4, 7))
+    view.run(log, cp)
+    want = [(1, 1), (1, 2), (1, 3), (2, 6), (2, 7)]
+    assert ids(view.edges(), "partition_id", "target_id") == want == ids(cdc.EdgeView(spark, path).edges(), "partition_id", "target_id")
+    assert ids(view.progress(), "partition_id", "applied_offset", "applied_version") == [(1, 3, 13), (2, 10, 21)]
+
+
+def test_a_view_follows_one_epoch_and_compacts(spark, tmp_path):
+    make = lambda *r: spark.createDataFrame(list(r), cdc.SCHEMA)
+    later = lambda r: tuple(2 if f == "partition_epoch" else v for f, v in zip(cdc.SCHEMA.fieldNames(), r, strict=True))
+    view = cdc.EdgeView(spark, f"file://{tmp_path}/v", compact_every=3)
+    for i in range(1, 6):
+        view.apply(make(record(1, i, i, 1, i % 2)), i)
+    assert ids(view.edges(), "target_id", "commit_version") == [(0, 4), (1, 5)] and len(view.parts) <= 3
+    view.apply(make(later(record(1, 1, 9, 1, 8))), 6)
+    assert ids(view.edges(), "target_id") == [(0,), (1,)] and view.waiting().count() == 1
+    tail = lambda: (_ for _ in ()).throw(AssertionError)
+    assert view.catch_up(1, 1, 6, tail) == "TAIL"
+    assert view.catch_up(1, 2, 1, lambda: (make(), 0, 0)) == "SNAPSHOT"
+    view.apply(make(), 7)
+    assert ids(view.edges(), "target_id") == [(8,)]
+    with pytest.raises(cdc.BadRecord):
+        view.apply(make(record(1, 9, 9, 1, 1, i=2, n=2)), 8)
+
+
+def test_applicable_in_blocks(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [record(p, o, o, 1, o) for p in (1, 2, 3) for o in range(1, 60) if not (p == 2 and o == 31) and not (p == 3 and o < 3)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows + rows[:20], cdc.SCHEMA)
+    start = spark.createDataFrame([(3, 3)], "partition_id int, start long")
+    for block in (4, 7, 1000):
+        got = cdc.applicable(df, start, block).groupBy("partition_id").agg(F.count(F.lit(1)).alias("n"), F.max("offset").alias("top"))
+        assert ids(got, "partition_id", "n", "top") == [(1, 59, 59), (2, 30, 30), (3, 57, 59)]
+
+
+def test_stream_in_order_of_commit_versions(spark, tmp_path):
+    big = (1 << 60) + 1
+    rows = [record(1, 5, 3, big, 5), record(1, 2, 2, big, 2, i=1, n=2), record(1, 1, 2, big, 1, i=0, n=2), record(1, 1, 2, big, 1, i=0, n=2), record(1, 9, 1, big, 9), record(1, 7, 5, big, 7)]
+    for r in rows:
+        spark.createDataFrame([r], cdc.SCHEMA).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/log")
+    stream = spark.readStream.schema(cdc.SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/log")
+    q = cdc.ordered_stream(stream, by="commit_version").writeStream.format("memory").queryName("by_version").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = [(r["commit_version"], r["target_id"]) for r in spark.table("by_version").where(F.col("entity_id") == big).collect()]
+    assert got == [(1, 9), (2, 1), (2, 2), (3, 5)]
+
+
 def test_store(spark):
     from timeweave.operators.store import Store
 

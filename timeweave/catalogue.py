@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from timeweave.functions.aggregates import temporal_avg
 from timeweave.functions.temporal import at, format_iso8601, micros, parse_duration
 from timeweave.operators import fold, intervals, partitioning, scans, traverse, writes
+from timeweave.operators.traverse import shared_folder
 from timeweave.session import GraphSession
 from timeweave.sources.tables import event_log, lifecycle, link_edges, shop_graph, table, user_history
 from timeweave.streaming import cdc, windows
@@ -616,11 +617,50 @@ def cdc_stream_equals_batch(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; a temporary one only where that is unset."""
-    import tempfile
+    return f"{shared_folder(spark)}/timeweave-catalogue"
+
+
+@registered("cdc_resume", f"WITH {CDC} " + FOLDED.format(where=""))
+def cdc_resume(spark, sf_dir):
+    """Half of the log, then the rest by a view that is opened anew."""
+    base, log = f"{_scratch(spark)}/{uuid.uuid4().hex}", change_log(spark, sf_dir)
+    early = F.col("seq_half")
+    halves = log.withColumn("seq_half", F.col("commit_version") % 1000 < 500)
+    for rows in (halves.where(early), halves.where(~early)):
+        rows.drop("seq_half").coalesce(2).write.mode("append").parquet(f"{base}/log")
+        cdc.EdgeView(spark, f"{base}/view").run(f"{base}/log", f"{base}/checkpoint", 2)
+    return cdc.EdgeView(spark, f"{base}/view").edges().select(F.col("entity_id").alias("src"), F.col("target_id").alias("dst"), F.col("commit_version").alias("version"))
+
+
+@registered("cdc_replace_partition", f"WITH {CDC} " + FOLDED.format(where=""))
+def cdc_replace_partition(spark, sf_dir):
+    """Partition 2 has lost its first records and comes from a snapshot; then all are followed."""
+    base, log = f"{_scratch(spark)}/{uuid.uuid4().hex}", change_log(spark, sf_dir)
+    log.where("NOT (partition_id = 2 AND offset < 40)").repartitionByRange(3, "commit_version").write.parquet(f"{base}/log")
+    view = cdc.EdgeView(spark, f"{base}/view")
+    old = log.where("partition_id = 2 AND offset <= 60")
+    view.catch_up(2, 1, 40, lambda: (old, 60, old.agg(F.max("commit_version")).first()[0]))
+    view.run(f"{base}/log", f"{base}/checkpoint")
+    return view.edges().select(F.col("entity_id").alias("src"), F.col("target_id").alias("dst"), F.col("commit_version").alias("version"))
+
+
+@registered("cdc_unordered", f"WITH {CDC} SELECT e AS src, t AS dst, o AS version FROM (SELECT *, row_number() OVER (PARTITION BY p, e, t ORDER BY o DESC) AS n FROM cdc) WHERE n = 1 AND op <> 'DELETE'")
+def cdc_unordered(spark, sf_dir):
+    """Files from the newest to the oldest, put in order of commit versions by the stream."""
+    base = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    change_log(spark, sf_dir).withColumn("commit_version", F.col("offset")).repartitionByRange(4, F.col("offset").desc()).write.parquet(f"{base}/log")
+    view = cdc.EdgeView(spark, f"{base}/view")
+    view.run(f"{base}/log", f"{base}/checkpoint", unordered=True)
+    return view.edges().select(F.col("entity_id").alias("src"), F.col("target_id").alias("dst"), F.col("commit_version").alias("version"))
+
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return base.rstrip("/") if base else "file://" + tempfile.mkdtemp(prefix="timeweave-")
+@registered("cdc_version_gate", "SELECT * FROM (VALUES ('before', 'NOT_READY'), ('held', 'READY'), ('ahead', 'VERSION_LAG')) t(asked, answer)")
+def cdc_version_gate(spark, sf_dir):
+    view = cdc.EdgeView(spark, f"{_scratch(spark)}/{uuid.uuid4().hex}")
+    first = cdc.ready(view.version, 1)
+    view.apply(change_log(spark, sf_dir), 0)
+    held = view.version
+    return spark.createDataFrame([("before", first), ("held", cdc.ready(view.version, held)), ("ahead", cdc.ready(view.version, held + 1))], "asked string, answer string")
 
 
 @registered("cdc_read_after", f"WITH {CDC} SELECT p AS partition_id, o AS \"offset\" FROM cdc WHERE o > 10 AND o <= 15")

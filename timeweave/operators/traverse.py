@@ -11,23 +11,33 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written once, as Parquet in the folder that spark.checkpoint.dir names, and read back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.
 
-    That cuts the lineage and survives lost executors.  Where the setting is unset, a temporary
-    folder is made and filled in.  The files go when the application ends.
+    Where that is unset on a local master a temporary folder is made and filled in; on a cluster
+    an unset folder is an error, for executors share no other.
     """
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="timeweave-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/timeweave-graph-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` written once, as Parquet in the shared folder, and read back.
+
+    That cuts the lineage and survives lost executors.  The files go when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/timeweave-graph-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -7,7 +7,8 @@ edge_type, op (CREATE, UPDATE, DELETE), valid_from and valid_to.  Applying is id
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -39,12 +40,30 @@ def once(records: DataFrame) -> DataFrame:
     return records.dropDuplicates(["partition_id", "offset"])
 
 
-def applicable(records: DataFrame, start: int = 1) -> DataFrame:
-    """The gapless prefix from offset ``start`` of each partition, less a last transaction that is incomplete."""
-    by = W.partitionBy("partition_id").orderBy("offset")
-    rows = once(records.where(F.col("offset") >= start)).withColumn("_n", F.row_number().over(by) + start - 1).where(F.col("offset") == F.col("_n")).drop("_n")
-    whole = F.max(F.when(F.col("batch_index") == F.col("batch_size") - 1, F.col("offset"))).over(W.partitionBy("partition_id"))
-    return rows.withColumn("_w", whole).where(F.col("offset") <= F.col("_w")).drop("_w")
+def applicable(records: DataFrame, start: int | DataFrame = 1, block: int = 65_536) -> DataFrame:
+    """The gapless prefix of each partition from its first offset on, less a last transaction that is incomplete.
+
+    ``start`` is that first offset, or a table of it (partition_id, start); partitions that the
+    table does not have start at 1.  Offsets are looked at in blocks of ``block``: a partition's
+    blocks before its first incomplete one are there whole, and only that one is looked at row by
+    row, so that a hot partition's log is not the work of one task.
+    """
+    rows = once(records)
+    if isinstance(start, DataFrame):
+        known = start.select(F.col("partition_id").alias("_p"), F.col("start").alias("_from"))
+        rows = rows.join(known, F.col("partition_id") == F.col("_p"), "left").withColumn("_s", F.coalesce("_from", F.lit(1))).drop("_p", "_from")
+    else:
+        rows = rows.withColumn("_s", F.lit(start))
+    rows = rows.where("offset >= _s").withColumn("_at", F.col("offset") - F.col("_s")).withColumn("_b", F.expr(f"_at div {block}"))
+    counts = rows.groupBy(F.col("partition_id").alias("_p"), F.col("_b").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    order = W.partitionBy("_p").orderBy("_c")
+    whole = (F.col("_n") == block) & (F.col("_c") == F.row_number().over(order) - 1)
+    counts = counts.withColumn("_w", whole).withColumn("_ok", F.min(F.col("_w")).over(order.rowsBetween(W.unboundedPreceding, -1)))
+    counts = counts.where("coalesce(_ok, true)").select("_p", "_c")
+    inside = F.row_number().over(W.partitionBy("partition_id", "_b").orderBy("offset"))
+    prefix = rows.join(counts, (F.col("partition_id") == F.col("_p")) & (F.col("_b") == F.col("_c"))).withColumn("_k", inside + F.col("_b") * block - 1).where("_k = _at")
+    last = prefix.where("batch_index = batch_size - 1").groupBy(F.col("partition_id").alias("_q")).agg(F.max("offset").alias("_last"))
+    return prefix.join(last, (F.col("partition_id") == F.col("_q")) & (F.col("offset") <= F.col("_last"))).select(*records.columns)
 
 
 def progress(records: DataFrame, start: int = 1) -> DataFrame:
@@ -102,50 +121,168 @@ def ready(served_version: int | None, required_version: int) -> str:
     return "NOT_READY" if served_version is None else "READY" if served_version >= required_version else "VERSION_LAG"
 
 
+class BadRecord(ValueError):
+    """A change record whose batch metadata cannot be."""
+
+
+PROGRESS = T.StructType(
+    [
+        T.StructField("partition_id", T.IntegerType()),
+        T.StructField("partition_epoch", T.LongType()),
+        T.StructField("applied_offset", T.LongType()),
+        T.StructField("applied_version", T.LongType()),
+    ]
+)
+
+
 class EdgeView:
     """A materialised edge view: the change stream folded, batch by batch, into a table.
 
-    ``foreachBatch`` folds a micro-batch into the newest record of each key and writes the next
-    version of the view; a batch id that was applied before is skipped, so replays are harmless.
+    Each micro-batch adds a folder of its own: the newest record of each key that it touched, the
+    records that wait behind a gap, and where each partition stands.  The last of these is written
+    last, and a folder without it does not count, so a view that is opened again on its path goes
+    on where the newest complete folder ends.  Every ``compact_every`` folders the whole view is
+    written and older folders go.  Reading folds what was written since.
+
+    A batch that was applied before is skipped, and so is a record at or below its partition's
+    applied offset: replays are harmless.  A partition is applied up to its first gap, whole
+    transactions only.  It follows one epoch: records of older ones are dropped, those of a newer
+    one wait until ``replace_partition`` moves the partition there.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self.version: int | None = None
-        self.batch = -1
+    def __init__(self, spark: SparkSession, path: str, compact_every: int = 8):
+        self.spark, self.path, self.compact_every = spark, path.rstrip("/"), compact_every
+        self.number, self.batch, self.parts = 0, -1, []
+        for name in sorted(self._folders(), key=self._number_of):
+            if self._exists(f"{name}/progress/_SUCCESS"):
+                self._opened(name)
+
+    @property
+    def version(self) -> int | None:
+        """The newest version that any partition has applied; None before the first."""
+        return self.progress().agg(F.max("applied_version")).first()[0]
+
+    # folders are called v<number>-b<batch>, those that hold the whole view v<number>-b<batch>-whole
+
+    @staticmethod
+    def _number_of(name: str) -> int:
+        return int(name.split("-")[0][1:])
+
+    def _hadoop(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
+    def _exists(self, name: str) -> bool:
+        fs, where = self._hadoop(f"{self.path}/{name}")
+        return fs.exists(where)
+
+    def _folders(self) -> list[str]:
+        fs, where = self._hadoop(self.path)
+        found = [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
+        return [n for n in found if re.fullmatch(r"v\d+-b-?\d+(-whole)?", n)]
+
+    def _opened(self, name: str) -> None:
+        self.number, self.batch = self._number_of(name), int(re.search(r"-b(-?\d+)", name)[1])
+        self.parts = [name] if name.endswith("-whole") else [*self.parts, name]
+
+    def _table(self, kind: str, schema: T.StructType, names: Sequence[str]) -> DataFrame:
+        if not names:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{n}/{kind}" for n in names])
+
+    def _write(self, batch: int, records: DataFrame, waiting: DataFrame, progress: DataFrame, whole: bool) -> None:
+        name = f"v{self.number + 1}-b{batch}" + ("-whole" if whole else "")
+        for kind, rows in (("records", records), ("waiting", waiting), ("progress", progress.coalesce(1))):
+            rows.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.path}/{name}/{kind}")
+        self._opened(name)
+        if whole:
+            for old in self._folders():
+                if self._number_of(old) < self.number:
+                    fs, where = self._hadoop(f"{self.path}/{old}")
+                    fs.delete(where, True)
+
+    def progress(self) -> DataFrame:
+        """(partition_id, partition_epoch, applied_offset, applied_version)."""
+        return self._table("progress", PROGRESS, self.parts[-1:])
+
+    def waiting(self) -> DataFrame:
+        """Records that are there but not applied: behind a gap, of an incomplete transaction or of an epoch to come."""
+        return self._table("waiting", SCHEMA, self.parts[-1:])
 
     def read(self) -> DataFrame:
         """The newest record of each key, deletes too."""
-        if self.batch < 0:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v{self.batch}")
+        rows = self._table("records", SCHEMA, self.parts)
+        return _newest(rows) if len(self.parts) > 1 else rows
 
     def edges(self) -> DataFrame:
         return self.read().where("op <> 'DELETE'")
 
     def apply(self, records: DataFrame, batch: int) -> None:
+        """The next folder of the view, with what of ``records`` and of the waiting ones can be applied."""
+        from timeweave.operators.traverse import checkpoint
+
         if batch <= self.batch:
             return
-        rows = self.read().unionByName(records.select(*SCHEMA.fieldNames()))
-        rest = [c for c in SCHEMA.fieldNames() if c not in KEYS]
-        newest = once(rows).groupBy(*KEYS).agg(F.max_by(F.struct(*rest), F.struct("commit_version", "offset")).alias("_r"))
-        newest.select(*[F.col(c) if c in KEYS else F.col(f"_r.{c}").alias(c) for c in SCHEMA.fieldNames()]).write.mode("overwrite").parquet(f"{self.path}/v{batch}")
-        self.batch = batch
-        self.version = self.read().agg(F.max("commit_version")).first()[0]
-
-    def replace_partition(self, partition: int, records: DataFrame, batch: int) -> None:
-        """The next version of the view, with ``partition`` as in ``records`` (a snapshot) and all others as they were."""
+        if not records.where("batch_size IS NULL OR batch_index IS NULL OR batch_index < 0 OR batch_index >= batch_size").isEmpty():
+            raise BadRecord("a change record has an impossible batch_index or batch_size")
+        there = records.select(*SCHEMA.fieldNames()).unionByName(self.waiting())
+        done = self.progress().select(F.col("partition_id").alias("_p"), F.col("partition_epoch").alias("_e"), F.col("applied_offset").alias("_o"))
+        first = there.groupBy(F.col("partition_id").alias("_n")).agg(F.min("partition_epoch").alias("_first"))
+        there = there.join(done, F.col("partition_id") == F.col("_p"), "left").join(first, F.col("partition_id") == F.col("_n"))
+        there = there.withColumn("_e", F.coalesce("_e", "_first")).where((F.col("partition_epoch") > F.col("_e")) | (F.col("partition_epoch") == F.col("_e")) & (F.col("offset") > F.coalesce("_o", F.lit(0))))
+        there = checkpoint(there.select(*SCHEMA.fieldNames(), (F.col("partition_epoch") == F.col("_e")).alias("_now")))
+        start = self.progress().select("partition_id", (F.col("applied_offset") + 1).alias("start"))
+        now = checkpoint(applicable(there.where("_now").drop("_now"), start))
+        moved = now.groupBy("partition_id").agg(F.max("partition_epoch").alias("partition_epoch"), F.max("offset").alias("applied_offset"), F.max("commit_version").alias("applied_version"))
+        stays = self.progress().join(moved.select(F.col("partition_id").alias("_p")), F.col("partition_id") == F.col("_p"), "left_anti")
+        progress = stays.unionByName(moved)
+        reached = moved.select(F.col("partition_id").alias("_p"), F.col("applied_offset").alias("_o"))
+        left = there.join(reached, F.col("partition_id") == F.col("_p"), "left").where(~F.col("_now") | (F.col("offset") > F.coalesce("_o", F.lit(0))))
+        left = left.select(*SCHEMA.fieldNames()).dropDuplicates(["partition_id", "partition_epoch", "offset"])
+        whole = len(self.parts) + 1 >= self.compact_every
+        self._write(batch, _newest(self.read().unionByName(now) if whole else now), left, progress, whole)
+
+    def replace_partition(self, partition: int, records: DataFrame, offset: int, version: int, epoch: int = 1) -> None:
+        """``partition`` as in ``records``, a snapshot of it at ``offset`` and ``version`` of ``epoch``; all others stay as they are.
+
+        The stream's batches are not touched: it goes on after the last that was applied, and
+        records up to ``offset`` are skipped.
+        """
         rows = self.read().where(F.col("partition_id") != partition).unionByName(snapshot(records).select(*SCHEMA.fieldNames()))
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{batch}")
-        self.batch = batch
-
-    def run(self, source: str, checkpoint: str, files_per_batch: int = 1) -> None:
-        """Apply all record files that are in ``source`` now, then stop."""
+        one = self.spark.createDataFrame([(partition, epoch, offset, version)], PROGRESS)
+        progress = self.progress().where(F.col("partition_id") != partition).unionByName(one)
+        past = (F.col("partition_epoch") < epoch) | (F.col("partition_epoch") == epoch) & (F.col("offset") <= offset)
+        self._write(self.batch, rows, self.waiting().where((F.col("partition_id") != partition) | ~past), progress, True)
+
+    def catch_up(self, partition: int, epoch: int, earliest: int, load: Callable[[], tuple[DataFrame, int, int]]) -> str:
+        """What must happen before the log of ``partition`` can be followed, done; says which it was.
+
+        TAIL if the view stands in the same epoch and the log still has the next record; otherwise
+        ``load`` gives the partition's snapshot with its offset and version, and that replaces it.
+        """
+        row = self.progress().where(F.col("partition_id") == partition).first()
+        how = resume(epoch, row and row["partition_epoch"], row and row["applied_offset"], earliest)
+        if how == "SNAPSHOT":
+            records, offset, version = load()
+            self.replace_partition(partition, records, offset, version, epoch)
+        return how
+
+    def run(self, source: str, checkpoint: str, files_per_batch: int = 1, unordered: bool = False) -> None:
+        """Apply all record files that are in ``source`` now, then stop; ``unordered`` sorts by commit version first."""
         stream = self.spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+        if unordered:
+            stream = ordered_stream(stream, by="commit_version")
         query = stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
 
 
+def _newest(records: DataFrame) -> DataFrame:
+    """The newest record of each key, deletes too."""
+    rest = [c for c in SCHEMA.fieldNames() if c not in KEYS]
+    newest = records.groupBy(*KEYS).agg(F.max_by(F.struct(*rest), F.struct("commit_version", "offset")).alias("_r"))
+    return newest.select(*[F.col(c) if c in KEYS else F.col(f"_r.{c}").alias(c) for c in SCHEMA.fieldNames()])
+
+
 def reorder(records: DataFrame, start: int = 1) -> DataFrame:
     """Records in commit order per partition whatever order they came in; what follows a gap waits."""
     return applicable(records, start).sortWithinPartitions("partition_id", "commit_version", "offset")
@@ -157,29 +294,46 @@ def resume(epoch: int, saved_epoch: int | None, applied: int | None, earliest: i
     return "TAIL" if usable else "SNAPSHOT"
 
 
-def ordered_stream(records: DataFrame, start: int = 1) -> DataFrame:
-    """A stream's records in offset order within each partition, each once.
+def ordered_stream(records: DataFrame, start: int = 1, by: str = "offset", most: int = 1_000_000) -> DataFrame:
+    """A stream's records in order of ``by`` within each partition, each once.
 
-    Records that come early wait in the partition's state until those before them are there; what
-    was handed on before is dropped.  The state holds what lies beyond a gap, nothing else.
+    By ``offset`` each record follows the one before; by ``commit_version`` each transaction (all
+    its ``batch_size`` records) follows the version before.  What comes early waits in the
+    partition's state, and what was handed on is dropped.  The state holds what lies beyond a gap,
+    as text, so that no number passes through a float; more than ``most`` waiting records fail the
+    batch, which is then not acknowledged: the source has to fill the gap first.
     """
     import pandas as pd
 
-    columns = SCHEMA.fieldNames()
-    kinds = {f.name: "object" if isinstance(f.dataType, T.StringType) else "Int64" for f in SCHEMA}
+    names = SCHEMA.fieldNames()
+    in_order = by == "offset"
+    one = F.lit(1).cast("int")
+    rows = records.select("partition_id", F.col(by).alias("_at"), (one - 1 if in_order else F.col("batch_index")).alias("_k"), (one if in_order else F.col("batch_size")).alias("_of"), F.to_json(F.struct(*names)).alias("_row"))
 
     def step(key, batches, state):
-        import io
+        import json
 
         following, waiting = state.get if state.exists else (start, "[]")
-        held = pd.read_json(io.StringIO(waiting), orient="records") if waiting != "[]" else pd.DataFrame(columns=columns)
-        arrived = [b[columns] for b in batches]
-        new = pd.concat(arrived) if arrived else pd.DataFrame(columns=columns)
-        rows = pd.concat([x for x in (held, new) if len(x)]) if len(held) or len(new) else new
-        rows = rows[rows["offset"] >= following].drop_duplicates("offset").sort_values("offset").reset_index(drop=True)
-        ready = int((rows["offset"].to_numpy() == following + rows.index.to_numpy()).cumprod().sum()) if len(rows) else 0
-        rest = rows.iloc[ready:]
-        state.update((following + ready, rest.to_json(orient="records") if len(rest) else "[]"))
-        yield rows.iloc[:ready][columns].astype(kinds)
-
-    return records.select(*columns).groupBy("partition_id").applyInPandasWithState(step, SCHEMA, "following long, waiting string", "append", "NoTimeout")
+        held = {(at, k): (of, row) for at, k, of, row in json.loads(waiting)}
+        for b in batches:
+            for at, k, of, row in zip(b["_at"].tolist(), b["_k"].tolist(), b["_of"].tolist(), b["_row"].tolist(), strict=True):
+                if at >= following:
+                    held.setdefault((at, k), (of, row))
+        there: dict[int, int] = {}
+        for at, _ in held:
+            there[at] = there.get(at, 0) + 1
+        out = []
+        while there.get(following):
+            parts = sorted(k for k in range(there[following] + 1) if (following, k) in held)
+            if not parts or len(parts) < held[(following, parts[0])][0]:
+                break
+            out += [held.pop((following, k))[1] for k in parts]
+            following += 1
+        if len(held) > most:
+            raise RuntimeError(f"{len(held)} records of partition {key[0]} wait for {by} {following}")
+        state.update((following, json.dumps([(at, k, of, row) for (at, k), (of, row) in sorted(held.items())])))
+        yield pd.DataFrame({"_row": pd.Series(out, dtype="object")})
+
+    usable = rows.where("_at IS NOT NULL AND _k IS NOT NULL AND _of IS NOT NULL")
+    out = usable.groupBy("partition_id").applyInPandasWithState(step, "_row string", "following long, waiting string", "append", "NoTimeout")
+    return out.select(F.from_json("_row", SCHEMA).alias("_r")).select("_r.*")
