@@ -241,6 +241,57 @@ def test_replace_partition(spark, tmp_path):
     assert ids(view.edges(), "partition_id", "target_id") == [(1, 8), (2, 4)]
 
 
+def test_open_and_long_intervals_meet(spark):
+    import random
+
+    rng = random.Random(5)
+    span = lambda: (a := rng.randrange(4000), rng.choice([None, a, a + 1, a + rng.randrange(1, 9), a + rng.randrange(1, 3000), a + 10**6]))
+    rows = [(rng.randrange(3), *span(), i) for i in range(300)] + [(1, None, 5, 300), (1, 10, None, 301), (1, 20, 30, 302)]
+    df = spark.createDataFrame(rows, "k long, valid_from long, valid_to long, n long")
+    inf = float("inf")
+    want = sorted((x[3], y[3]) for x in rows for y in rows if x[0] == y[0] and x[1] is not None and y[1] is not None and x[1] < (inf if x[2] is None else x[2]) and y[1] < (inf if y[2] is None else y[2]) and x[1] < (inf if y[2] is None else y[2]) and y[1] < (inf if x[2] is None else x[2]))
+    for width in (1, 7, 1000):
+        assert sorted(ids(intervals.overlap_join(df, df, ["k"], width), "n", "n_r")) == want
+    whole = df.where("valid_to IS NULL OR valid_from < valid_to")
+    for relation in intervals.ALLEN:
+        plain, cut = (sorted(ids(intervals.allen_join(whole, whole, ["k"], relation, width_us=w), "n", "n_r")) for w in (None, 7))
+        assert plain == cut
+    assert (301, 302) not in ids(intervals.allen_join(whole, whole, ["k"], "before"), "n", "n_r") and (301, 302) in ids(intervals.allen_join(whole, whole, ["k"], "contains", width_us=7), "n", "n_r")
+
+
+def test_asof_join_in_buckets(spark):
+    import random
+
+    rng = random.Random(6)
+    left = spark.createDataFrame([(rng.choice([1, 2, None]), rng.randrange(500), i) for i in range(200)], "k long, at long, i long")
+    right = spark.createDataFrame([(rng.choice([1, 2, None]), rng.randrange(500), rng.choice([None, i]), i) for i in range(60)], "k long, ts long, v long, seq long")
+    plain, cut = (ids(intervals.asof_join(left, right, ["k"], "at", "ts", ["v"], "seq", w), "i", "v") for w in (None, 13))
+    assert sorted(plain, key=str) == sorted(cut, key=str)
+
+
+def test_a_strict_batch(spark):
+    node = lambda *r: spark.createDataFrame([(i, T(h), "x") for i, h in r], "id long, valid_from timestamp_ntz, p string")
+    edge = lambda *r: spark.createDataFrame([(a, b, T(h)) for a, b, h in r], "src long, dst long, ts timestamp_ntz")
+    value = lambda *r: spark.createDataFrame(list(r), "id long, value string")
+    only = lambda *r: spark.createDataFrame([(i,) for i in r], "id long")
+    graph = writes.create_nodes(TemporalGraph(spark), "N", node((1, 0), (2, 5), (3, 0)))
+    batch = lambda level: writes.Update(graph, level).create_nodes("N", node((4, 1))).delete_nodes("N", only(3)).update_nodes("N", "p", value((1, "y"), (3, "y"), (9, "y"))).create_edges("E", "N", "N", edge((1, 2, 3), (1, 4, 3), (1, 3, 3)))
+    assert batch("permissive").violations() is None
+    assert ids(batch("check_exists").violations(), "src", "dst", "error") == [(1, 3, "DstNodeNotFound")]
+    want = sorted([(1, 3, None, "DstNodeNotFound"), (1, 2, None, "TemporalAnachronism"), (None, None, 3, "UpdateOnDeleted"), (None, None, 9, "UpdateOnDeleted")], key=str)
+    assert sorted(map(tuple, batch("strict_temporal").violations().collect()), key=str) == want
+    good = writes.Update(graph, "full_isolation").update_nodes("N", "p", value((1, "y"))).create_edges("E", "N", "N", edge((1, 3, 3))).delete_nodes("N", only(2))
+    done = good.apply()
+    assert ids(done.nodes["N"].df, "id", "p") == [(1, "y"), (3, "x")] and ids(done.edges_of("E"), "src", "dst") == [(1, 3)]
+    other = writes.set_property(graph, "N", value((2, "z")), "p", "value")
+    with pytest.raises(writes.UpdateRejected) as no:
+        good.apply(other)
+    assert ids(no.value.violations, "id", "error") == [(2, "WriteConflict")]
+    apart = writes.create_nodes(graph, "N", node((7, 0)))
+    assert good.apply(apart).nodes["N"].df.count() == 3
+    assert ids(writes.Update(done).delete_edges("E", edge((1, 3, 0)).select("src", "dst")).apply().edges_of("E"), "src") == []
+
+
 def test_a_view_goes_on_after_a_restart_and_a_replaced_partition(spark, tmp_path):
     make = lambda *r: spark.createDataFrame(list(r), cdc.SCHEMA)
     log, cp, path = f"file://{tmp_path}/log", f"file://{tmp_path}/cp", f"file://{tmp_path}/view"

@@ -24,7 +24,7 @@ def test_components_over_all_links(spark):
             low = min(label[a], label[b])
             changed = changed or label[a] != label[b]
             label[a] = label[b] = low
-    got = catalogue.QUERIES["connected_components_whole"](spark, DATA).collect()
+    got = catalogue.QUERIES["connected_components"](spark, DATA).collect()
     assert sorted((r.id, r.component) for r in got) == sorted(label.items())
 
 
@@ -33,12 +33,12 @@ def test_pairwise_paths_of_all_starts(spark):
     low, high = (dt.datetime.fromisoformat(x) for x in (catalogue.MOMENT, catalogue.LATER))
     ok = [(e.src, e.dst, e.valid_from, e.valid_to or dt.datetime.max) for e in edges if e.valid_from < high and (e.valid_to is None or e.valid_to > low)]
     want = Counter((a, b, d) for a, b, f, t in ok for c, d, g, u in ok if b == c and t > g and u > f)
-    got = catalogue.QUERIES["temporal_path_pairwise_whole"](spark, DATA).collect()
+    got = catalogue.QUERIES["temporal_path_pairwise"](spark, DATA).collect()
     assert {(r.a, r.b, r.c): r.n for r in got} == dict(want) and len({r.a for r in got}) > 1
 
 
 def test_sort_goes_on_behind_the_nulls(spark):
-    got = [(r.id, r.b) for r in catalogue.QUERIES["sort_nulls_whole"](spark, "/root/testdata/sf0.1").collect()]
+    got = [(r.id, r.b) for r in catalogue.QUERIES["sort_nulls"](spark, "/root/testdata/sf0.1").collect()]
     values = [(-b, i) for i, b in got if b is not None]
     nulls = [i for i, b in got if b is None]
     assert [b for _, b in got[: len(nulls)]] == [None] * len(nulls) and nulls == sorted(nulls)
@@ -46,7 +46,7 @@ def test_sort_goes_on_behind_the_nulls(spark):
 
 
 def test_dates_of_all_orders(spark):
-    got = {r.id: (r.later, r.us) for r in catalogue.QUERIES["fn_temporal_whole"](spark, DATA).collect()}
+    got = {r.id: (r.later, r.us) for r in catalogue.QUERIES["fn_temporal"](spark, DATA).collect()}
     orders = table(spark, DATA, "orders").select("o_orderkey", "o_orderdate").collect()
     epoch = dt.datetime(1970, 1, 1)
     assert max(got) >= 50 and got == {o: (d + dt.timedelta(hours=26), (d - epoch) // dt.timedelta(microseconds=1)) for o, d in orders}
@@ -55,13 +55,13 @@ def test_dates_of_all_orders(spark):
 def test_iso8601_of_whole_seconds(spark, tmp_path):
     times = [dt.datetime(2024, 1, 1, 2, 3, 4), dt.datetime(2024, 1, 1, 2, 3, 4, 50)]
     spark.createDataFrame(list(enumerate(times)), "event_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
-    got = catalogue.QUERIES["fn_format_iso8601_whole"](spark, str(tmp_path)).collect()
+    got = catalogue.QUERIES["fn_format_iso8601"](spark, str(tmp_path)).collect()
     want = [(0, "2024-01-01T02:03:04Z"), (1, "2024-01-01T02:03:04.000050Z")]
     assert sorted((r.id, r.text) for r in got) == want
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
     c.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
-    assert sorted(c.sql(catalogue.ORACLE_SQL["fn_format_iso8601_whole"]).fetchall()) == want
+    assert sorted(c.sql(catalogue.ORACLE_SQL["fn_format_iso8601"]).fetchall()) == want
 
 
 def test_directed_components_follow_a_long_chain(spark, monkeypatch):

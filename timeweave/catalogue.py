@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from timeweave.functions.aggregates import temporal_avg
 from timeweave.functions.temporal import at, format_iso8601, micros, parse_duration
+from timeweave.graph import TemporalGraph
 from timeweave.operators import fold, intervals, partitioning, scans, traverse, writes
 from timeweave.operators.traverse import shared_folder
 from timeweave.session import GraphSession
@@ -156,14 +157,8 @@ def batch_neighbors_limit(spark, sf_dir):
     return traverse.neighbors(link_edges(spark, sf_dir), [1, 2, 3], limit=4).select(F.col("src").alias("id"), F.col("dst").alias("neighbor"))
 
 
-@registered("connected_components", f"WITH RECURSIVE {LINKS}, sparse AS (SELECT src, dst FROM links WHERE (src * 7 + dst * 13) % 41 = 0), both_ways AS (SELECT src, dst FROM sparse UNION SELECT dst, src FROM sparse), reach(id, other) AS (SELECT src, src FROM both_ways UNION SELECT r.id, b.dst FROM reach r JOIN both_ways b ON b.src = r.other) SELECT id, min(other) AS component FROM reach GROUP BY 1")
+@registered("connected_components", f"WITH RECURSIVE {LINKS}, both_ways AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links), reach(id, other) AS (SELECT src, src FROM both_ways UNION SELECT r.id, b.dst FROM reach r JOIN both_ways b ON b.src = r.other) SELECT id, min(other) AS component FROM reach GROUP BY 1")
 def connected_components(spark, sf_dir):
-    sparse = link_edges(spark, sf_dir).where((F.col("src") * 7 + F.col("dst") * 13) % 41 == 0)
-    return traverse.connected_components(sparse)
-
-
-@registered("connected_components_whole", f"WITH RECURSIVE {LINKS}, both_ways AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links), reach(id, other) AS (SELECT src, src FROM both_ways UNION SELECT r.id, b.dst FROM reach r JOIN both_ways b ON b.src = r.other) SELECT id, min(other) AS component FROM reach GROUP BY 1")
-def connected_components_whole(spark, sf_dir):
     return traverse.connected_components(link_edges(spark, sf_dir))
 
 
@@ -225,8 +220,7 @@ def agg_rollup(spark, sf_dir):
 
 # sort, limit, distinct, set operations
 
-text_query("sort_nulls", "MATCH (c:Customer) WITH c.id AS id, CASE WHEN c.id % 2 = 0 THEN c.c_acctbal END AS b RETURN id, b ORDER BY b DESC, id LIMIT 800", "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS b FROM customer ORDER BY b DESC NULLS FIRST, id LIMIT 800")
-text_query("sort_nulls_whole", "MATCH (c:Customer) WITH c.id AS id, CASE WHEN c.id % 2 = 0 THEN c.c_acctbal END AS b RETURN id, b ORDER BY b DESC, id", "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS b FROM customer ORDER BY b DESC NULLS FIRST, id")
+text_query("sort_nulls", "MATCH (c:Customer) WITH c.id AS id, CASE WHEN c.id % 2 = 0 THEN c.c_acctbal END AS b RETURN id, b ORDER BY b DESC, id", "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS b FROM customer ORDER BY b DESC NULLS FIRST, id")
 text_query("topk", "MATCH (o:Order) RETURN o.id AS id, o.o_totalprice AS price ORDER BY o.o_totalprice DESC, o.id LIMIT 10", "SELECT o_orderkey AS id, o_totalprice AS price FROM orders ORDER BY price DESC, id LIMIT 10")
 text_query("skip_limit", "MATCH (c:Customer) RETURN c.id AS id ORDER BY c.c_name SKIP 20 LIMIT 10", "SELECT c_custkey AS id FROM customer ORDER BY c_name LIMIT 10 OFFSET 20")
 text_query("limit_zero", "MATCH (c:Customer) RETURN c.id AS id LIMIT 0", "SELECT c_custkey AS id FROM customer LIMIT 0")
@@ -244,9 +238,7 @@ text_query("fn_string", "MATCH (p:Part) RETURN p.id AS id, toUpper(p.p_name) AS
 text_query("fn_math", "MATCH (c:Customer) RETURN c.id AS id, abs(c.c_acctbal) AS a, round(c.c_acctbal) AS r, floor(c.c_acctbal) AS f, ceil(c.c_acctbal) AS ce, c.id / 0 AS z, c.id % 0 AS m, sign(c.c_acctbal) AS sg",
     "SELECT c_custkey AS id, abs(c_acctbal) AS a, round(c_acctbal)::BIGINT AS r, floor(c_acctbal)::BIGINT AS f, ceil(c_acctbal)::BIGINT AS ce, CAST(NULL AS BIGINT) AS z, CAST(NULL AS BIGINT) AS m, sign(c_acctbal)::DOUBLE AS sg FROM customer")
 text_query("fn_list", "UNWIND [[1, 2, 3], [4]] AS xs RETURN size(xs) AS n, head(xs) AS first, last(xs) AS final, xs[1] AS second, element_at(xs, 7) AS none, coalesce(xs[1], -1) AS filled", "SELECT * FROM (VALUES (3::INT, 1::BIGINT, 3::BIGINT, 2::BIGINT, CAST(NULL AS BIGINT), 2::BIGINT), (1, 4, 4, NULL, NULL, -1)) t(n, first, final, second, none, filled)")
-text_query("fn_temporal", "MATCH (o:Order) WHERE o.id < 50 RETURN o.id AS id, o.o_orderdate + duration('1d2h') AS later, o.o_orderdate - duration('P1D') AS sooner, o.o_orderdate - datetime('1995-01-01') AS since, micros(o.o_orderdate) AS us",
-    "SELECT o_orderkey AS id, o_orderdate + INTERVAL 26 HOUR AS later, o_orderdate - INTERVAL 1 DAY AS sooner, epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1995-01-01') AS since, epoch_us(o_orderdate) AS us FROM orders WHERE o_orderkey < 50")
-text_query("fn_temporal_whole", "MATCH (o:Order) RETURN o.id AS id, o.o_orderdate + duration('1d2h') AS later, o.o_orderdate - duration('P1D') AS sooner, o.o_orderdate - datetime('1995-01-01') AS since, micros(o.o_orderdate) AS us",
+text_query("fn_temporal", "MATCH (o:Order) RETURN o.id AS id, o.o_orderdate + duration('1d2h') AS later, o.o_orderdate - duration('P1D') AS sooner, o.o_orderdate - datetime('1995-01-01') AS since, micros(o.o_orderdate) AS us",
     "SELECT o_orderkey AS id, o_orderdate + INTERVAL 26 HOUR AS later, o_orderdate - INTERVAL 1 DAY AS sooner, epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1995-01-01') AS since, epoch_us(o_orderdate) AS us FROM orders")
 text_query("fn_json", "MATCH (s:State) RETURN s.kind AS kind, count(*) AS n, max(json('{\"k\": 7}', '$.k')) AS k", "SELECT event_type AS kind, count(*) AS n, '7' AS k FROM events GROUP BY 1")
 
@@ -257,14 +249,8 @@ def fn_duration(spark, sf_dir):
     return spark.createDataFrame([(t, parse_duration(t)) for t in texts], "text string, us long")
 
 
-@registered("fn_format_iso8601", "SELECT event_id AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS text FROM events WHERE epoch_us(ts) % 1000000 <> 0")
+@registered("fn_format_iso8601", "SELECT event_id AS id, CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END || 'Z' AS text FROM events")
 def fn_format_iso8601(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where(micros(F.col("ts")) % 1_000_000 != 0)
-    return e.select(F.col("event_id").alias("id"), format_iso8601(F.col("ts")).alias("text"))
-
-
-@registered("fn_format_iso8601_whole", "SELECT event_id AS id, CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END || 'Z' AS text FROM events")
-def fn_format_iso8601_whole(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), format_iso8601(F.col("ts")).alias("text"))
 
 
@@ -388,12 +374,38 @@ def interval_overlap_join(spark, sf_dir):
     return pairs.select("user_id", F.col("valid_from").alias("click_from"), F.col("valid_from_r").alias("view_from"))
 
 
+HISTORY_PAIRS = "WITH {hist}, a AS (SELECT * FROM hist WHERE kind = 'click'), b AS (SELECT * FROM hist WHERE kind <> 'view') SELECT a.user_id, a.version AS click, b.version AS other FROM a JOIN b ON a.user_id = b.user_id AND {condition}"
+FAR = "TIMESTAMP '9999-12-31'"
+
+
+def _history_pairs(spark: SparkSession, sf_dir: str, relation: str | None) -> DataFrame:
+    """A user's click states, made longer, against the same user's states but views; each user's last state has no end."""
+    h = user_history(spark, sf_dir).select("user_id", "kind", "version", "valid_from", "valid_to")
+    longer = h.withColumn("valid_to", F.when(F.col("valid_to").isNotNull(), F.col("valid_to") + F.expr("INTERVAL 20 DAYS")))
+    clicks, others = longer.where("kind = 'click'"), h.where("kind <> 'view'")
+    width = parse_duration("1d")
+    pairs = intervals.overlap_join(clicks, others, ["user_id"], width) if relation is None else intervals.allen_join(clicks, others, ["user_id"], relation, width_us=width)
+    return pairs.select("user_id", F.col("version").alias("click"), F.col("version_r").alias("other"))
+
+
+def _open_ends(name: str, relation: str | None, condition: str) -> None:
+    ends = condition.format(a1="a.valid_from", a2=f"coalesce(a.valid_to + INTERVAL 20 DAY, {FAR})", b1="b.valid_from", b2=f"coalesce(b.valid_to, {FAR})")
+    registered(name, HISTORY_PAIRS.format(hist=HIST, condition=ends))(lambda spark, sf_dir: _history_pairs(spark, sf_dir, relation))
+
+
+_open_ends("overlap_open_ends", None, "{a1} < {b2} AND {b1} < {a2}")
+_open_ends("allen_contains_open_ends", "contains", "{a1} < {b1} AND {a2} > {b2}")
+_open_ends("allen_equals_open_ends", "equals", "{a1} = {b1} AND {a2} = {b2}")
+_open_ends("allen_started_by_open_ends", "started_by", "{a1} = {b1} AND {a2} > {b2}")
+_open_ends("allen_overlaps_open_ends", "overlaps", "{a1} < {b1} AND {a2} > {b1} AND {a2} < {b2}")
+
+
 @registered("asof_join", "SELECT p.event_id, p.user_id, c.value AS last_click FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts")
 def asof_join(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     buys = e.where("event_type = 'purchase'").select("user_id", "event_id", F.col("ts").alias("bought"))
     clicks = e.where("event_type = 'click'").select("user_id", F.col("ts").alias("clicked"), F.col("value").alias("last_click"))
-    return intervals.asof_join(buys, clicks, ["user_id"], "bought", "clicked", ["last_click"]).select("event_id", "user_id", "last_click")
+    return intervals.asof_join(buys, clicks, ["user_id"], "bought", "clicked", ["last_click"], width_us=parse_duration("7d")).select("event_id", "user_id", "last_click")
 
 
 # temporal aggregates
@@ -491,14 +503,8 @@ def temporal_path_continuous(spark, sf_dir):
     return p.groupBy(F.get("path", F.lit(0)).alias("a"), F.get("path", F.lit(1)).alias("b"), F.get("path", F.lit(2)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@registered("temporal_path_pairwise", f"WITH {TEDGES} SELECT a.src AS a, a.dst AS b, b.dst AS c, count(*) AS n FROM te a JOIN te b ON b.src = a.dst WHERE a.t > b.f AND b.t > a.f AND a.src = 3 GROUP BY 1, 2, 3")
+@registered("temporal_path_pairwise", f"WITH {TEDGES} SELECT a.src AS a, a.dst AS b, b.dst AS c, count(*) AS n FROM te a JOIN te b ON b.src = a.dst WHERE a.t > b.f AND b.t > a.f GROUP BY 1, 2, 3")
 def temporal_path_pairwise(spark, sf_dir):
-    p = traverse.temporal_paths(temporal_edges(spark, sf_dir), MOMENT, LATER, 2, "pairwise").where(F.get("path", F.lit(0)) == 3)
-    return p.groupBy(F.get("path", F.lit(0)).alias("a"), F.get("path", F.lit(1)).alias("b"), F.get("path", F.lit(2)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@registered("temporal_path_pairwise_whole", f"WITH {TEDGES} SELECT a.src AS a, a.dst AS b, b.dst AS c, count(*) AS n FROM te a JOIN te b ON b.src = a.dst WHERE a.t > b.f AND b.t > a.f GROUP BY 1, 2, 3")
-def temporal_path_pairwise_whole(spark, sf_dir):
     p = traverse.temporal_paths(temporal_edges(spark, sf_dir), MOMENT, LATER, 2, "pairwise")
     return p.groupBy(F.get("path", F.lit(0)).alias("a"), F.get("path", F.lit(1)).alias("b"), F.get("path", F.lit(2)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -555,6 +561,34 @@ def strict_anachronism(spark, sf_dir):
     return writes.anachronisms(edges, born)
 
 
+@registered(
+    "strict_update_batch",
+    "WITH e AS (SELECT l_orderkey AS src, l_partkey AS dst, l_shipdate AS ts FROM lineitem), gone AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 50 = 0), born AS (SELECT o_orderkey AS id, o_orderdate + INTERVAL 10 DAY AS created FROM orders) "
+    "SELECT src, dst, NULL::BIGINT AS id, 'DstNodeNotFound' AS error FROM e WHERE dst IN (SELECT id FROM gone) "
+    "UNION ALL SELECT src, dst, NULL, 'TemporalAnachronism' FROM e JOIN born ON born.id = src WHERE ts < created "
+    "UNION ALL SELECT NULL, NULL, id, 'UpdateOnDeleted' FROM gone",
+)
+def strict_update_batch(spark, sf_dir):
+    """New edges from orders to parts, parts that go in the same batch, and a change of every part."""
+    g = shop_graph(spark, sf_dir)
+    born = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr("o_orderdate + INTERVAL 10 DAY").alias("valid_from"))
+    parts = g.nodes["Part"].df.select("id")
+    bare = writes.create_nodes(writes.create_nodes(TemporalGraph(spark), "Order", born), "Part", parts)
+    batch = writes.Update(bare, "strict_temporal").delete_nodes("Part", parts.where("id % 50 = 0")).update_nodes("Part", "checked", parts.select("id", F.lit("yes").alias("value")))
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_shipdate").alias("ts"))
+    return batch.create_edges("CONTAINS", "Order", "Part", edges).violations()
+
+
+@registered("strict_write_conflict", "SELECT c_custkey AS id, 'WriteConflict' AS error FROM customer WHERE c_nationkey = 3 AND c_acctbal > 0")
+def strict_write_conflict(spark, sf_dir):
+    """Customers that a batch changes, some of whom someone else has changed since."""
+    g = shop_graph(spark, sf_dir)
+    people = g.nodes["Customer"].df
+    now = writes.set_property(g, "Customer", people.where("c_nationkey = 3").select("id", F.lit("VIP").alias("value")), "c_mktsegment", "value")
+    batch = writes.Update(g, "full_isolation").update_nodes("Customer", "c_mktsegment", people.where("c_acctbal > 0").select("id", F.lit("X").alias("value")))
+    return batch.violations(now).select("id", "error")
+
+
 @registered("strict_update_on_deleted", f"WITH {LIFE} SELECT u.user_id AS id, u.ts, 'UpdateOnDeleted' AS error FROM (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'view') u JOIN life ON entity_id = user_id AND life.ts <= u.ts GROUP BY 1, 2 HAVING max_by(event, life.ts) = 'Deleted'")
 def strict_update_on_deleted(spark, sf_dir):
     views = table(spark, sf_dir, "events").where("event_type = 'view'").select(F.col("user_id").alias("id"), "ts").distinct()

@@ -89,9 +89,14 @@ def scan_limit(history: DataFrame, keys: Sequence[str], n: int, ts: str = "ts",
 ALIVE = ("Created", "Recreated")
 
 
+def _moment(events: DataFrame, ts: str) -> list[str]:
+    """What orders an entity's events: the time and, where the log has one, its sequence."""
+    return [ts, "seq"] if "seq" in events.columns else [ts]
+
+
 def alive_periods(events: DataFrame, entity: str = "entity_id", ts: str = "ts", event: str = "event") -> DataFrame:
-    """(entity, start, end): runs in which an entity exists; ``end`` is null while it does."""
-    by = W.partitionBy(entity).orderBy(ts)
+    """(entity, start, end): runs in which an entity exists; ``end`` is null while it does.  Events of one time follow in order of ``seq``."""
+    by = W.partitionBy(entity).orderBy(*_moment(events, ts))
     alive = F.col(event).isin(*ALIVE)
     edges = events.withColumn("_a", alive).withColumn("_p", F.lag("_a").over(by)).where(F.col("_p").isNull() & F.col("_a") | (F.col("_p") != F.col("_a")))
     ends = edges.withColumn("end", F.lead(ts).over(by)).where("_a")
@@ -100,7 +105,7 @@ def alive_periods(events: DataFrame, entity: str = "entity_id", ts: str = "ts",
 
 def entity_exists_at(events: DataFrame, when, entity: str = "entity_id", ts: str = "ts", event: str = "event") -> DataFrame:
     """(entity, state, alive) by the newest event at ``when``; entities without one are not there."""
-    newest = events.where(F.col(ts) <= _when(when)).groupBy(entity).agg(F.max_by(event, ts).alias("state"))
+    newest = events.where(F.col(ts) <= _when(when)).groupBy(entity).agg(F.max_by(event, F.struct(*_moment(events, ts))).alias("state"))
     return newest.withColumn("alive", F.col("state").isin(*ALIVE))
 
 

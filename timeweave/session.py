@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from timeweave.functions import scalar
 from timeweave.graph import NodeTable, TemporalGraph
 from timeweave.operators import writes
+from timeweave.operators.traverse import checkpoint
 from timeweave.plans import ast
 from timeweave.plans.compiler import Compiler, NodeVar, QueryError, RelVar, Rows, ValueVar
 from timeweave.plans.explain import logical_tree
@@ -170,6 +171,8 @@ class GraphSession:
                 top = None if old is None else old.df.agg(F.max("id")).first()[0]
                 made[columns["id"]] = F.lit(0 if top is None else top + 1).cast("bigint") + F.monotonically_increasing_id()
             df = df.withColumns(made)
+            if "id" not in given:  # written once, or nodes and edges might see different ids
+                df = checkpoint(df)
             scope[node.var] = NodeVar((label,), columns)
             new = df.select(*[F.col(c).alias(k) for k, c in columns.items() if k != "label"])
             self.graph = writes.create_nodes(self.graph, label, new)
