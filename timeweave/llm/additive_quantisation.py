@@ -166,9 +166,10 @@ def _search(index: DataFrame, numbers: np.ndarray, ids: np.ndarray, queries: np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, ids, wide, least, books = sent.value
-        lut = np.ascontiguousarray(np.einsum("qd,mwd->mqw", wide.astype(np.float32), books.astype(np.float32)))
+        # (book, word, query): a row's score is a sum of whole table rows, for many queries at once
+        lut = (books.reshape(-1, dim).astype(np.float32) @ wide.T.astype(np.float32)).reshape(m, words, len(ids))
         # no row of a cell scores more than the cell's word and the best word of each other book
-        cells = lut[0] + lut[1:].max(axis=2).sum(axis=0)[:, None] * np.float32(1 + 1e-5) >= least[:, None].astype(np.float32) - np.float32(1e-5)
+        cells = lut[0].T + lut[1:].max(axis=1).sum(axis=0)[:, None] * np.float32(1 + 1e-5) >= least[:, None].astype(np.float32) - np.float32(1e-5)
         best = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64, bool))
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
@@ -180,10 +181,10 @@ def _search(index: DataFrame, numbers: np.ndarray, ids: np.ndarray, queries: np.
                 found = [best]
                 for q0 in range(0, len(asked), 128):
                     some = asked[q0 : q0 + 128]
-                    score = lut[0, some][:, codes[:, 0]]
+                    score = np.take(lut[0][:, some], codes[:, 0], axis=0)
                     for j in range(1, m):
-                        score += lut[j, some][:, codes[:, j]]
-                    q, row = np.nonzero(score >= least[some, None])
+                        score += np.take(lut[j][:, some], codes[:, j], axis=0)
+                    row, q = np.nonzero(score >= least[some])
                     q = some[q]
                     exact = np.concatenate([np.einsum("pd,pd->p", own[row[i : i + 32768]], wide[q[i : i + 32768]]) for i in range(0, len(q), 32768)] or [np.zeros(0)])
                     same = vec[row] == ids[q]
@@ -226,7 +227,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, books: int = 16,
     fit, rest = (x, x) if len(x) < 64 else (x[: len(x) * 3 // 4], x[len(x) * 3 // 4 :])
     table = fit_codebooks(fit, books, words, beam)
     coded = table[np.arange(books), beam_encode(rest, table, beam)].sum(axis=1).astype(np.float64)
-    index = build_index(vectors, dim, table, beam, id_col, vector_col).repartitionByRange("cell", F.xxhash64("vec_id")).sortWithinPartitions("cell")
+    index = build_index(vectors, dim, table, beam, id_col, vector_col).sortWithinPartitions("cell")
     index = materialise(index, "aq-index")
     asked = _usable_rows(queries, id_col, vector_col).where(F.size("vector") == dim)
     blocks = max(1, -(-asked.count() // query_block))
