@@ -198,7 +198,12 @@ def test_explain_profile_and_validity(people):
     for word in ("VariableLengthExpand", "NodeScan(a:Person)", "Filter", "Sort", "Limit", "Physical Plan"):
         assert word in plan
     assert people.query(f"EXPLAIN {text}").count() > 5
-    assert people.profile("MATCH (p:Person) RETURN p.id AS id")[1] == {"rows": 4}
+    text = "MATCH (p:Person) WHERE p.age > 0 RETURN p.age AS age, count(*) AS n"
+    for found in (people.profile(text), people.query(f"PROFILE {text}")):
+        ops = found.collect()
+        assert ops[0]["operator"] == "Query" and ops[0]["rows"] == len(rows(people, text))
+        kept = rows(people, "MATCH (p:Person) WHERE p.age > 0 RETURN count(*) AS n")[0][0]
+        assert [o["rows"] for o in ops if o["operator"] == "Filter"] == [kept] and any(o["operator"] == "HashAggregate" and o["rows"] == ops[0]["rows"] for o in ops)
     assert people.is_valid(text) and not people.is_valid("MATCH (a RETURN")
 
 
@@ -217,6 +222,19 @@ def test_bad_queries_raise(people, text):
 def test_registered_function(people):
     people.register_function("twice", lambda c: c * 2)
     assert rows(people, "RETURN twice(4) AS x") == [(8,)]
+    with pytest.raises(QueryError):
+        GraphSession(people.spark, people.graph).query("RETURN twice(4) AS x")
+
+
+def test_hotspots_and_long_runs_of_writes(people):
+    people.query("MATCH (p:Person {id: 1})-[:KNOWS]->(q:Person) RETURN q.id AS id")
+    people.query("MATCH (p:Person) RETURN p.id AS id")
+    got = [tuple(r)[:3] for r in people.query("SHOW HOTSPOTS").collect()]
+    assert got == [("Person", "", 2), ("KNOWS", "", 1), ("Person", "id", 1)]
+    for i in range(17):
+        people.query(f"CREATE (p:Person {{id: {1000 + i}, name: 'n'}})")
+    assert rows(people, "MATCH (p:Person) WHERE p.name = 'n' RETURN count(*) AS n") == [(17,)]
+    assert people.graph.nodes["Person"].df._jdf.queryExecution().logical().toString().count("Union") <= 1
 
 
 def test_saved_graph_round_trip(people, tmp_path):

@@ -13,6 +13,7 @@ from timeweave.functions.aggregates import temporal_avg
 from timeweave.functions.temporal import at, format_iso8601, micros, parse_duration
 from timeweave.graph import TemporalGraph
 from timeweave.operators import fold, intervals, partitioning, scans, traverse, writes
+from timeweave.operators.store import Store
 from timeweave.operators.traverse import shared_folder
 from timeweave.session import GraphSession
 from timeweave.sources.tables import event_log, lifecycle, link_edges, shop_graph, table, user_history
@@ -167,9 +168,14 @@ def directed_components(spark, sf_dir):
     return traverse.directed_components(link_edges(spark, sf_dir), [3, 140])
 
 
-@registered("shortest_path", f"WITH {LINKS}, {_reach(4, 3)} SELECT 3::BIGINT AS source, 60::BIGINT AS target, min(d)::BIGINT AS distance FROM (SELECT id, 0 AS d FROM d0 UNION ALL SELECT id, 1 FROM d1 UNION ALL SELECT id, 2 FROM d2 UNION ALL SELECT id, 3 FROM d3 UNION ALL SELECT id, 4 FROM d4) WHERE id = 60 HAVING min(d) IS NOT NULL")
+@registered(
+    "shortest_path",
+    f"WITH RECURSIVE {LINKS}, {_reach(4, 3)}, depths AS (SELECT id, 0 AS d FROM d0 UNION ALL SELECT id, 1 FROM d1 UNION ALL SELECT id, 2 FROM d2 UNION ALL SELECT id, 3 FROM d3 UNION ALL SELECT id, 4 FROM d4), "
+    "back(rev, d) AS (SELECT [id], d FROM depths WHERE id = 60 UNION ALL SELECT list_append(b.rev, l.src), b.d - 1 FROM back b JOIN links l ON l.dst = b.rev[len(b.rev)] JOIN depths x ON x.id = l.src AND x.d = b.d - 1) "
+    "SELECT 3::BIGINT AS source, 60::BIGINT AS target, (len(rev) - 1)::BIGINT AS distance, array_to_string(list_reverse(rev), '>') AS path FROM back WHERE d = 0 ORDER BY rev LIMIT 1",
+)
 def shortest_path(spark, sf_dir):
-    return traverse.shortest_path(link_edges(spark, sf_dir), 3, 60, 4)
+    return traverse.shortest_path(link_edges(spark, sf_dir), 3, 60, 4).withColumn("path", F.concat_ws(">", F.col("path").cast("array<string>")))
 
 
 def _rank_sql(rounds: int) -> str:
@@ -721,6 +727,84 @@ def retention(spark, sf_dir):
     return writes.retention(user_history(spark, sf_dir), at(MOMENT)).select("user_id", "version")
 
 
+@registered("cold_storage", f"WITH {HIST} SELECT 'cold' AS place, user_id, version FROM hist WHERE valid_to < {T0} UNION ALL SELECT 'kept', user_id, version FROM hist WHERE valid_to IS NULL OR valid_to >= {T0}")
+def cold_storage(spark, sf_dir):
+    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    kept = writes.to_cold_storage(user_history(spark, sf_dir), at(MOMENT), path)
+    cold = spark.read.parquet(path).select(F.lit("cold").alias("place"), "user_id", "version")
+    return cold.unionByName(kept.select(F.lit("kept").alias("place"), "user_id", "version"))
+
+
+# the cell store, batch writes, results row by row
+
+CELLS = "cells AS (SELECT user_id AS entity_id, event_type AS col, ts, 0 AS seq, 'CREATE' AS op, event_id::VARCHAR AS value FROM events WHERE event_type IN ('click', 'view') UNION ALL SELECT user_id, 'click', ts, 1, 'DELETE', NULL FROM events WHERE event_type = 'error')"
+
+
+def _store(spark: SparkSession, sf_dir: str) -> Store:
+    """Clicks and views are written, errors delete the click."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("entity_id"), F.col("event_type").alias("column"), "ts", F.col("event_id").alias("value"))
+    written = Store.empty(spark).put(e.where(F.col("column").isin("click", "view")))
+    return written.delete(e.where("column = 'error'").withColumn("column", F.lit("click")).drop("value"))
+
+
+@registered("store_put_delete", f"WITH {CELLS} SELECT entity_id, col, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, col ORDER BY ts DESC, seq DESC) AS n FROM cells WHERE ts <= {T0}) WHERE n = 1 AND op <> 'DELETE'")
+def store_put_delete(spark, sf_dir):
+    return _store(spark, sf_dir).get(MOMENT).withColumnRenamed("column", "col")
+
+
+@registered("store_compact", f"WITH {CELLS} SELECT entity_id, col, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, col ORDER BY ts DESC, seq DESC) AS n FROM cells WHERE ts <= {T1}) WHERE n = 1 AND op <> 'DELETE'")
+def store_compact(spark, sf_dir):
+    return _store(spark, sf_dir).compact(MOMENT).get(LATER).withColumnRenamed("column", "col")
+
+
+@registered("store_static", "SELECT c_custkey AS entity_id, 'name' AS col, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'segment', c_mktsegment FROM customer")
+def store_static(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    cells = [c.select(F.col("c_custkey").alias("entity_id"), F.lit(n).alias("column"), F.col(v).alias("value")) for n, v in (("name", "c_name"), ("segment", "c_mktsegment"))]
+    return Store.empty(spark).put_static(cells[0]).put_static(cells[1]).get(MOMENT).select("entity_id", F.col("column").alias("col"), "value")
+
+
+@registered("store_edges", f"WITH {ELOG}, log AS (SELECT user_id AS src, item AS dst, ts, CASE WHEN op = 'DELETE' THEN 1 ELSE 0 END AS seq, op FROM elog WHERE item IS NOT NULL) SELECT src, dst, ts FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY ts DESC, seq DESC) AS n FROM log WHERE ts <= {T0}) WHERE n = 1 AND op <> 'DELETE'")
+def store_edges(spark, sf_dir):
+    log = event_log(spark, sf_dir).where("item IS NOT NULL").select(F.col("user_id").alias("src"), F.col("item").alias("dst"), F.lit("LINKS").alias("type"), "ts", "op")
+    written = Store.empty(spark).put_edges(log.where("op <> 'DELETE'")).delete_edges(log.where("op = 'DELETE'"))
+    return written.neighbors(MOMENT).select("src", "dst", "ts")
+
+
+@registered("batch_write", "SELECT (user_id % 8)::INT AS part, count(*) AS n, sum(event_id)::BIGINT AS keys FROM events GROUP BY 1")
+def batch_write(spark, sf_dir):
+    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    partitioning.write_partitioned(table(spark, sf_dir, "events"), path, "user_id", 8)
+    return spark.read.parquet(path).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("keys"))
+
+
+@registered("result_stream", "SELECT n_nationkey::BIGINT AS id, n_name AS name FROM nation")
+def result_stream(spark, sf_dir):
+    rows = GraphSession(spark, shop_graph(spark, sf_dir)).stream("MATCH (n:Nation) RETURN n.id AS id, n.n_name AS name")
+    return spark.createDataFrame([tuple(r) for r in rows], "id long, name string")
+
+
+@registered("session_function", "SELECT p_partkey AS id, reverse(p_name) AS back FROM part")
+def session_function(spark, sf_dir):
+    s = GraphSession(spark, shop_graph(spark, sf_dir))
+    s.register_function("backwards", F.reverse)
+    return s.query("MATCH (p:Part) RETURN p.id AS id, backwards(p.p_name) AS back")
+
+
+text_query("fn_now", "MATCH (n:Nation) RETURN n.id AS id, now() > datetime('2024-01-01') AS later", "SELECT n_nationkey::BIGINT AS id, true AS later FROM nation")
+
+
+@registered("profile", None)
+def profile(spark, sf_dir):
+    return GraphSession(spark, shop_graph(spark, sf_dir)).profile("MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 1000 RETURN c.c_mktsegment AS segment, count(*) AS n").select("depth", "operator", "rows")
+
+
+@registered("batch_neighbors_where", f"WITH {LINKS}, asked AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup') SELECT src AS id, dst AS neighbor FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS n FROM links WHERE src IN (SELECT user_id FROM asked) AND ts < {T1}) WHERE n <= 4")
+def batch_neighbors_where(spark, sf_dir):
+    asked = table(spark, sf_dir, "events").where("event_type = 'signup'").select("user_id")
+    return traverse.neighbors(link_edges(spark, sf_dir), asked, limit=4, where=F.col("ts") < at(LATER)).select(F.col("src").alias("id"), F.col("dst").alias("neighbor"))
+
+
 # catalog
 
 
@@ -734,6 +818,25 @@ def show_edges(spark, sf_dir):
     return GraphSession(spark, shop_graph(spark, sf_dir)).query("SHOW EDGES").select(F.col("Name").alias("name"), F.col("Source").alias("source"), F.col("Target").alias("target"))
 
 
+@registered("show_hotspots", "SELECT * FROM (VALUES ('Customer', 'id', 2), ('Order', '', 1), ('PLACED', '', 1)) t(entity, property, n)")
+def show_hotspots(spark, sf_dir):
+    s = GraphSession(spark, shop_graph(spark, sf_dir))
+    s.query("MATCH (c:Customer {id: 1})-[:PLACED]->(o:Order) RETURN o.id AS id")
+    s.query("MATCH (c:Customer {id: 2}) RETURN c.c_name AS name")
+    return s.query("SHOW HOTSPOTS").select(F.col("Entity_ID").alias("entity"), F.col("Column_ID").alias("property"), F.col("Query_Count").alias("n"))
+
+
+@registered("show_parts", "SELECT unnest(['Customer', 'Nation', 'Order', 'Part', 'Person', 'Region', 'State', 'Supplier']) AS label")
+def show_parts(spark, sf_dir):
+    parts = GraphSession(spark, shop_graph(spark, sf_dir)).query("SHOW PARTS").where("State = 'Normal'")
+    return parts.select(F.substring_index("Partition", "/", 1).alias("label")).distinct()
+
+
+@registered("show_hosts", "SELECT 'ONLINE' AS state")
+def show_hosts(spark, sf_dir):
+    return GraphSession(spark, shop_graph(spark, sf_dir)).query("SHOW HOSTS").select(F.col("State").alias("state"))
+
+
 @registered("show_spaces", "SELECT unnest(['archive', 'shop']) AS name")
 def show_spaces(spark, sf_dir):
     s = GraphSession(spark, shop_graph(spark, sf_dir))

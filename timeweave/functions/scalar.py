@@ -97,8 +97,3 @@ SCALARS: dict[str, Callable[..., Column]] = {
     "trim": _pad("both"),
 }
 SCALARS["lower"], SCALARS["upper"] = F.lower, F.upper
-
-
-def register(name: str, builder: Callable[..., Column]) -> None:
-    """Make a Column builder, a UDF or a pandas UDF callable from queries under ``name``."""
-    SCALARS[name.lower()] = builder

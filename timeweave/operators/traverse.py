@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -56,10 +56,20 @@ def oriented(edges: DataFrame, direction: str) -> DataFrame:
     return edges if direction == "out" else back if direction == "in" else edges.unionByName(back.where("src <> dst"))
 
 
-def neighbors(edges: DataFrame, vertex, direction: str = "out", limit: int | None = None) -> DataFrame:
-    """(src, dst, ...) of the edges of one vertex or of several; ``limit`` counts per vertex, smallest dst first."""
-    many = list(vertex) if isinstance(vertex, Iterable) and not isinstance(vertex, str) else [vertex]
-    found = oriented(edges, direction).where(F.col("src").isin(*many))
+def neighbors(edges: DataFrame, vertex, direction: str = "out", limit: int | None = None, where: Column | None = None) -> DataFrame:
+    """(src, dst, ...) of the edges of one vertex, of a few, or of a table of them (its first column).
+
+    ``where`` is a condition on the edges; ``limit`` counts per vertex after it, smallest dst first.
+    """
+    found = oriented(edges, direction)
+    if isinstance(vertex, DataFrame):
+        wanted = vertex.select(F.col(vertex.columns[0]).alias("_want")).distinct()
+        found = found.join(wanted, F.col("src") == F.col("_want"), "left_semi")
+    else:
+        many = list(vertex) if isinstance(vertex, Iterable) and not isinstance(vertex, str) else [vertex]
+        found = found.where(F.col("src").isin(*many))
+    if where is not None:
+        found = found.where(where)
     if limit is None:
         return found
     rank = F.row_number().over(W.partitionBy("src").orderBy("dst"))
@@ -92,23 +102,32 @@ def khop(edges: DataFrame, start: DataFrame, k: int, direction: str = "out") ->
 
 
 def shortest_path(edges: DataFrame, source, target, max_depth: int = 10, direction: str = "out") -> DataFrame:
-    """(source, target, distance): one row, or none if ``target`` is not within ``max_depth``.  Stops at the depth that reaches it."""
+    """(source, target, distance, path): one row, or none if ``target`` is not within ``max_depth``.
+
+    The search stops at the depth that reaches it.  Of several shortest paths it is the one whose
+    last but one vertex is smallest, then the one before that, and so on.
+    """
     step = checkpoint(simple(oriented(edges, direction)))
     spark = edges.sparkSession
-    seen = spark.range(1).select(F.lit(source).cast("bigint").alias("id"))
-    front, distance = seen, 0 if source == target else None
+    start = spark.range(1).select(F.lit(source).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("by"))
+    levels, seen, front, distance = [start], start.select("id"), start, 0 if source == target else None
     for depth in range(1, max_depth + 1):
         if distance is not None:
             break
-        reached = front.join(step, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-        front = checkpoint(reached.join(seen, "id", "left_anti"))
+        reached = front.select("id").join(step, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.min("src").alias("by"))
+        front = checkpoint(reached.select(F.col("to").alias("id"), "by").join(seen, "id", "left_anti"))
+        levels.append(front)
         if not front.where(F.col("id") == target).isEmpty():
             distance = depth
         elif front.isEmpty():
             break
-        seen = seen.unionByName(front)
-    out = spark.range(1).select(F.lit(source).cast("bigint").alias("source"), F.lit(target).cast("bigint").alias("target"), F.lit(distance).cast("bigint").alias("distance"))
-    return out.where("distance IS NOT NULL")
+        seen = seen.unionByName(front.select("id"))
+    if distance is None:
+        return start.limit(0).select(F.col("id").alias("source"), F.col("id").alias("target"), F.col("id").alias("distance"), F.array("id").alias("path"))
+    back = spark.range(1).select(F.array(F.lit(target).cast("bigint")).alias("path"))
+    for level in reversed(levels[1 : distance + 1]):
+        back = back.join(level, F.get("path", F.lit(0)) == F.col("id")).select(F.concat(F.array("by"), "path").alias("path"))
+    return back.select(F.lit(source).cast("bigint").alias("source"), F.lit(target).cast("bigint").alias("target"), F.lit(distance).cast("bigint").alias("distance"), "path")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -168,14 +187,29 @@ def paths(edges: DataFrame, start: DataFrame, depth: int, direction: str = "out"
 
 
 def triangles_in_window(edges: DataFrame, start, end, ts: str = "ts") -> DataFrame:
-    """(a, b, c): directed cycles a->b->c->a of edges in [start, end), the smallest vertex first."""
+    """(a, b, c): directed cycles a->b->c->a of edges in [start, end), the smallest vertex first.
+
+    Pairs of neighbours are pointed from the vertex of smaller degree to the other.  So a hub's
+    wedges start at its many small neighbours, and no vertex points to more than about the square
+    root of twice the number of pairs.
+    """
     from timeweave.functions.temporal import at
 
     e = simple(edges.where((F.col(ts) >= at(start)) & (F.col(ts) < at(end))))
-    ab = e.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    bc = e.select(F.col("src").alias("b"), F.col("dst").alias("c"))
-    ca = e.select(F.col("src").alias("c"), F.col("dst").alias("a"))
-    return ab.where("a < b").join(bc, "b").where("a < c").join(ca, ["c", "a"]).select("a", "b", "c")
+    low, high = F.least("src", "dst"), F.greatest("src", "dst")
+    pairs = e.groupBy(low.alias("u"), high.alias("v")).agg(F.max(F.col("src") < F.col("dst")).alias("up"), F.max(F.col("src") > F.col("dst")).alias("down"))
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    sized = pairs.join(ends.select(F.col("id").alias("u"), F.col("n").alias("nu")), "u").join(ends.select(F.col("id").alias("v"), F.col("n").alias("nv")), "v")
+    first = F.struct("nu", "u") < F.struct("nv", "v")
+    # x -> y of the pointed pair; ``there`` says whether the edge x->y is among the edges, ``back`` whether y->x is
+    pointed = sized.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("x"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("y"), F.when(first, F.col("up")).otherwise(F.col("down")).alias("there"), F.when(first, F.col("down")).otherwise(F.col("up")).alias("back"))
+    one, two, three = ((pointed.select(*[F.col(c).alias(n) for c, n in zip(("x", "y", "there", "back"), names, strict=True)])) for names in (("x", "y", "xy", "yx"), ("x", "z", "xz", "zx"), ("y", "z", "yz", "zy")))
+    found = one.join(two, "x").where("y <> z").join(three, ["y", "z"])
+    cycles = F.array(F.when(F.col("xy") & F.col("yz") & F.col("zx"), F.array("x", "y", "z")), F.when(F.col("xz") & F.col("zy") & F.col("yx"), F.array("x", "z", "y")))
+    each = found.select(F.explode(F.filter(cycles, lambda c: c.isNotNull())).alias("c"))
+    at_least = F.array_position("c", F.array_min("c")) - 1
+    turned = each.select(F.concat(F.slice("c", at_least + 1, 3), F.slice("c", F.lit(1), at_least)).alias("c"))
+    return turned.select(*[F.get("c", F.lit(i)).alias(n) for i, n in enumerate("abc")])
 
 
 SEMANTICS = {

@@ -98,8 +98,9 @@ def has_aggregate(e: Any) -> bool:
 
 
 class Compiler:
-    def __init__(self, graph: TemporalGraph, params: dict[str, Any] | None = None, max_hops: int = 10):
+    def __init__(self, graph: TemporalGraph, params: dict[str, Any] | None = None, max_hops: int = 10, functions: dict[str, Any] | None = None):
         self.graph, self.params, self.max_hops = graph, params or {}, max_hops
+        self.functions = SCALARS if functions is None else {**SCALARS, **functions}
         self.spark = graph.spark
         self.n = 0
         self.prefix: ast.Temporal | None = None
@@ -765,13 +766,13 @@ class Compiler:
             if name == "sum" and isinstance(self.type_of(values[0], rows), (T.DoubleType, T.FloatType)):
                 return F.coalesce(F.sum(values[0]), F.lit(0.0))
             return AGGREGATES[name](*values)
-        if name in SCALARS:
+        if name in self.functions:
             values = [self.value(a, rows) for a in args]
             if name in ("size", "length") and isinstance(self.type_of(values[0], rows), T.ArrayType):
                 return F.size(values[0])
             if name == "coalesce":
                 return F.coalesce(*values)
-            return SCALARS[name](*values)
+            return self.functions[name](*values)
         raise QueryError(f"unknown function {name}")
 
     def bound_time(self, axis: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import replace
 from typing import Any
@@ -9,7 +11,6 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.functions import scalar
 from timeweave.graph import NodeTable, TemporalGraph
 from timeweave.operators import writes
 from timeweave.operators.traverse import checkpoint
@@ -21,6 +22,44 @@ from timeweave.plans.parser import QuerySyntaxError, parse
 WRITES = (ast.Create, ast.Merge, ast.SetProps, ast.Delete)
 
 
+#: Write statements after which a session writes its tables down.
+CUT = 16
+
+
+def matched(q: ast.Query) -> list[tuple[str, str]]:
+    """(label or type, property or '') of every pattern that ``q`` matches."""
+    out = []
+    for c in q.clauses:
+        for p in c.patterns if isinstance(c, ast.Match) else []:
+            for part in p.parts:
+                for name in getattr(part, "labels", None) or getattr(part, "types", None) or ():
+                    out += [(name, key) for key, _ in part.props] or [(name, "")]
+    for _, other in q.unions:
+        out += matched(other)
+    return out
+
+
+def operators(plan, depth: int) -> list[tuple[int, str, str, int | None, int | None]]:
+    """(depth, operator, details, rows, time in ms) of an executed plan and what is below it."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return operators(plan.executedPlan(), depth)
+    if kind.endswith("QueryStageExec"):
+        return operators(plan.plan(), depth)
+    if kind in ("WholeStageCodegenExec", "InputAdapter"):
+        return operators(plan.child(), depth)
+    metrics = plan.metrics()
+
+    def measured(*names: str) -> int | None:
+        return next((metrics.apply(n).value() for n in names if metrics.contains(n)), None)
+
+    out = [(depth, plan.nodeName(), plan.simpleStringWithNodeId()[:200], measured("numOutputRows", "shuffleRecordsWritten"), measured("aggTime", "sortTime", "scanTime", "buildTime"))]
+    children = plan.children()
+    for i in range(children.size()):
+        out += operators(children.apply(i), depth + 1)
+    return out
+
+
 class GraphSession:
     """Holds spaces (named graphs); ``query`` reads or, for CREATE, SET, DELETE, MERGE and ALTER, replaces the current graph."""
 
@@ -30,6 +69,9 @@ class GraphSession:
         self.spaces: dict[str, TemporalGraph] = {graph.name: graph}
         self.current = graph.name
         self.before: dict[str, TemporalGraph] | None = None
+        self.functions: dict[str, Callable[..., Column]] = {}
+        self.asked: Counter[tuple[str, str]] = Counter()
+        self.writes = 0
 
     @property
     def graph(self) -> TemporalGraph:
@@ -58,7 +100,8 @@ class GraphSession:
         self.spaces, self.before = self.before, None
 
     def register_function(self, name: str, builder: Callable[..., Column]) -> None:
-        scalar.register(name, builder)
+        """Make a Column builder, a UDF or a pandas UDF callable from this session's queries under ``name``."""
+        self.functions[name.lower()] = builder
 
     def is_valid(self, text: str) -> bool:
         try:
@@ -72,14 +115,24 @@ class GraphSession:
         q = parse(text)
         tree = logical_tree(q)
         if not any(isinstance(c, (*WRITES, ast.Show, ast.Use, ast.Alter)) for c in q.clauses):
-            df = Compiler(self.graph, params, self.max_hops).result(q)
+            df = Compiler(self.graph, params, self.max_hops, self.functions).result(q)
             tree += "\n" + df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
         return tree
 
-    def profile(self, text: str, **params) -> tuple[DataFrame, dict[str, int]]:
-        """The result, computed once, and how many rows it has."""
-        df = self.query(text, **params).cache()
-        return df, {"rows": df.count()}
+    def profile(self, text: str, **params) -> DataFrame:
+        """The query is run, its rows counted and thrown away: a row for each of Spark's operators.
+
+        (depth, operator, details, rows, time_ms): ``rows`` is what the operator put out, where it
+        counts that; ``time_ms`` the time spent in it over all tasks, where it measures that.  The
+        first row, at depth 0, is the whole query.  Below a global sort rows count twice, for Spark
+        samples the sort's input first.
+        """
+        began = time.perf_counter()
+        executed = self.query(text, **params)._jdf.queryExecution()
+        rows = executed.toRdd().count()
+        took = int((time.perf_counter() - began) * 1000)
+        found = [(0, "Query", text.strip(), rows, took), *operators(executed.executedPlan(), 1)]
+        return self.spark.createDataFrame(found, "depth int, operator string, details string, rows long, time_ms long").coalesce(1)
 
     def stream(self, text: str, **params):
         """Rows one by one, a partition at a time."""
@@ -90,6 +143,8 @@ class GraphSession:
 
     def query(self, text: str, **params) -> DataFrame:
         q = parse(text)
+        if q.explain and q.explain.upper() == "PROFILE":
+            return self.profile(text.strip()[len(q.explain) :], **params)
         if q.explain:
             return self.spark.createDataFrame([(line,) for line in self.explain(text.strip()[len(q.explain) :], **params).splitlines()], "plan string")
         first = q.clauses[0]
@@ -102,7 +157,8 @@ class GraphSession:
             return self.stats(spaces=1)
         if isinstance(first, ast.Alter):
             return self.alter(first)
-        compiler = Compiler(self.graph, params, self.max_hops)
+        compiler = Compiler(self.graph, params, self.max_hops, self.functions)
+        self.asked.update(matched(q))
         if any(isinstance(c, WRITES) for c in q.clauses):
             return self.write(q, compiler)
         return compiler.result(q)
@@ -141,10 +197,19 @@ class GraphSession:
             else:
                 rows = compiler.clause(c, rows)
             compiler.graph = self.graph
+        self.writes += 1
+        if self.writes % CUT == 0:
+            self.cut()
         if any(isinstance(c, ast.Project) and c.final for c in q.clauses):
             return compiler.plain(rows)
         return self.stats(**done)
 
+    def cut(self) -> None:
+        """Write the tables of the current graph down, so that plans do not grow with the statements that made them."""
+        nodes = {k: NodeTable(t.label, checkpoint(t.df)) for k, t in self.graph.nodes.items() if t.df._jdf.queryExecution().logical().children().nonEmpty()}
+        edges = tuple(replace(e, df=checkpoint(e.df)) if e.df._jdf.queryExecution().logical().children().nonEmpty() else e for e in self.graph.edges)
+        self.graph = replace(self.graph, nodes={**self.graph.nodes, **nodes}, edges=edges)
+
     @staticmethod
     def need(rows: Rows | None) -> Rows:
         if rows is None:
@@ -259,12 +324,15 @@ class GraphSession:
         if s.what == "INDEXES":  # what a filter can prune by: every property that files keep statistics of
             rows = [(f"{t.label}.{f.name}", t.label, f.name, f.name == "id") for t in sorted(graph.nodes.values(), key=lambda t: t.label) for f in t.df.schema]
             return self.spark.createDataFrame(rows, "Name string, Label string, Properties string, Unique boolean")
-        if s.what == "PARTS":
-            rows = [(t.label, t.df.rdd.getNumPartitions()) for t in sorted(graph.nodes.values(), key=lambda t: t.label)]
-            return self.spark.createDataFrame(rows, "Name string, Partition_Num long")
+        here = self.spark.sparkContext.master
+        if s.what == "PARTS":  # Spark keeps no replicas of its own; a part lives where its task runs
+            rows = [(f"{t.label}/{i}", here, "", "Normal") for t in sorted(graph.nodes.values(), key=lambda t: t.label) for i in range(t.df.rdd.getNumPartitions())]
+            return self.spark.createDataFrame(rows, "Partition string, Leader string, Followers string, State string")
         if s.what == "HOSTS":
-            sc = self.spark.sparkContext
-            return self.spark.createDataFrame([(0, sc.master, "ONLINE")], "ID long, Address string, State string")
+            return self.spark.createDataFrame([(0, here, "ONLINE")], "ID long, Address string, State string")
+        if s.what == "HOTSPOTS":  # what this session has asked for most
+            rows = [(name, prop, n, here) for (name, prop), n in sorted(self.asked.items(), key=lambda x: (-x[1], x[0]))]
+            return self.spark.createDataFrame(rows, "Entity_ID string, Column_ID string, Query_Count long, Node string")
         raise QueryError(f"SHOW {s.what}")
 
     def alter(self, a: ast.Alter) -> DataFrame:
