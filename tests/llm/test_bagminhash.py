@@ -145,3 +145,12 @@ def test_texts_of_null_and_reused_ids(docs):
     assert sorted(((r["doc_id"], r["class_id"], r["class_size"]) for r in got), key=str) == brute_classes(rows)
     kept = {(r["doc_id"], r["text"]) for r in bmh.near_dedup(docs(rows)).collect()}
     assert kept == {rows[0], *rows[2:]}
+
+
+def test_one_row_of_each_class_stays(docs):
+    rng = random.Random(10)
+    one, two, three = ([f"{c}{i}" for i in range(100)] for c in "abc")
+    rows = [(1, " ".join(one)), (1, " ".join(one)), (4, " ".join(edited(rng, one, 0.01))), (None, " ".join(two)), (None, " ".join(edited(rng, two, 0.01))), (9, " ".join(three)), (9, " ".join(edited(rng, three, 0.01)))]
+    out = bmh.near_dedup(docs(rows))
+    got = [(r["doc_id"], r["text"].split()[0][0]) for r in out.collect()]
+    assert out.columns == docs(rows).columns and sorted(got, key=str) == [(1, "a"), (9, "c"), (None, "b")]

@@ -14,6 +14,19 @@ def no_python(df):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+@pytest.fixture(autouse=True)
+def native_stages(monkeypatch):
+    """Every table that a native operator writes on its way is looked at too, not its last plan alone."""
+    for module in (chat, exact_dedup):
+        write = module.materialise
+
+        def checked(df, *args, write=write, **options):
+            no_python(df)
+            return write(df, *args, **options)
+
+        monkeypatch.setattr(module, "materialise", checked)
+
+
 # licences
 
 

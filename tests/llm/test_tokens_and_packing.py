@@ -124,3 +124,13 @@ def test_a_column_named_like_the_reports_is_an_error(docs):
         with pytest.raises(ValueError, match=name):
             tokens.token_counts(df.withColumnRenamed("lang", name), JSON, RANKS, by=[name])
     assert tokens.token_counts(df.withColumnRenamed("key", "docs"), JSON, RANKS, by=["lang"]).count() == 1
+
+
+def test_a_very_long_text_is_counted_and_packed_whole(docs, library):
+    rng = random.Random(8)
+    long = " ".join(rng.choice(["alpha", "beta", "x", "naïve", "9,5"]) + str(rng.randrange(50)) for _ in range(250_000))
+    n = len(library(long))
+    df = docs([(1, long), (2, "short")])
+    assert max(r["n_tokens"] for r in tokens.token_counts(df, JSON, RANKS).collect()) == n
+    pieces = [r for r in packing.pack_documents(df, JSON, RANKS, max_len=1024).collect() if r["doc_id"] == 1]
+    assert sum(r["length"] for r in pieces) == n + 1 == pieces[0]["doc_tokens"] and sorted(r["start"] for r in pieces) == list(range(0, n + 1, 1024))

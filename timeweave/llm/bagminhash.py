@@ -241,6 +241,8 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, words: int = 5, m: int
     Texts without words, empty and null ones are classes of their own.  A text of fewer words
     than a shingle is one shingle.  Repeated rows are in one class.  A null id counts in
     ``class_size``; a class of null ids only has a null class_id.  An empty table gives no rows.
+    Texts are sketched whole, a megabyte of them at a time; a longer one by itself, with up to a
+    hundred bytes of a worker's memory for each byte of it.
     """
     return _keyed_groups(docs, threshold, words, m, rows, id_col, text_col).drop("text_key", "label")
 
