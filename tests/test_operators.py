@@ -361,6 +361,7 @@ def test_store(spark):
     s = s.put_static(spark.createDataFrame([(1, "name", "n")], "entity_id long, column string, value string"))
     assert ids(s.get(T(1)), "entity_id", "column", "value") == [(1, "a", "x"), (1, "name", "n"), (2, "a", "z")]
     assert ids(s.get(T(9)), "entity_id", "column", "value") == [(1, "a", "w"), (1, "name", "n"), (2, "a", "z")]
+    assert ids(s.scan(T(0), T(9), entity=1, column="a"), "value") == [("w",), ("x",), ("y",)] and s.scan(T(0), T(9), column="b").count() == 0
     gone = s.delete(spark.createDataFrame([(1, "a", T(6))], "entity_id long, column string, ts timestamp_ntz"))
     assert ids(gone.get(T(9)), "entity_id", "column") == [(1, "name"), (2, "a")]
     assert ids(s.compact(T(5)).get(T(9)), "value") == ids(s.get(T(9)), "value") and s.compact(T(5)).cells.count() < s.cells.count()

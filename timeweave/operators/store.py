@@ -67,9 +67,13 @@ class Store:
         """(entity_id, column, ts, value): each property's value at ``when``."""
         return fold.fold(self.cells, ["entity_id", "column"], as_of=when).select("entity_id", "column", "ts", "value")
 
-    def scan(self, start, end) -> DataFrame:
-        """All cells in [start, end], newest first within an entity."""
+    def scan(self, start, end, entity=None, column: str | None = None) -> DataFrame:
+        """Cells in [start, end], of one entity and of one column if these are named; newest first within an entity."""
         rows = self.cells.where(F.col("ts").between(at(start), at(end)))
+        if entity is not None:
+            rows = rows.where(F.col("entity_id") == entity)
+        if column is not None:
+            rows = rows.where(F.col("column") == column)
         return rows.repartition("entity_id").sortWithinPartitions("entity_id", F.col("ts").desc(), F.col("seq").desc())
 
     def neighbors(self, when, vertex=None, direction: str = "out", type_: str | None = None) -> DataFrame:
