@@ -85,7 +85,7 @@ def small(df: DataFrame, rows: int, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def bounded_batches(df: DataFrame, size: int = 8 << 20) -> DataFrame:
+def bounded_batches(df: DataFrame, size: int = 2 << 20) -> DataFrame:
     """``df``, after making sure that batches sent to Python are bounded by bytes, not by rows alone.
 
     Ten thousand long texts would not fit a worker.  A session that sets its own bound keeps it.

@@ -269,7 +269,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, modulus: int, remainder:
     shares = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     first = lambda rows, y, *by: rows.where(F.col("label") == y).orderBy(*by).limit(most[y])
     chosen = first(usable, 0, F.xxhash64("__tw_id"), "__tw_id").union(first(usable, 1, F.xxhash64("__tw_id"), "__tw_id"))
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__tw_id")).withColumn("key", F.xxhash64("text"))
+    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__tw_id")).select("doc_id", "label", "text", F.xxhash64("text").alias("key"))
+    rows = materialise(rows.hint("rebalance"), "labelled")  # the corpus is read once for it
     sizes = rows.groupBy("label", "doc_id", "key").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
     picked = []
     for y in (0, 1):
@@ -281,10 +282,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, modulus: int, remainder:
     known = sum(shares.get(y, 0) for y in (0, 1))
     share = shares.get(1, 0) / known if known else 0.05
     if not picked:
+        discard(rows)
         return [], np.zeros(0, bool), share
     wanted = docs.sparkSession.createDataFrame(picked, docs.select(F.col("doc_id").alias("__tw_d")).schema.add("__tw_k", "long"))
     texts = rows.join(F.broadcast(wanted), (F.col("doc_id") == F.col("__tw_d")) & (F.col("key") == F.col("__tw_k"))).dropDuplicates(["doc_id", "key"])
     found = sorted(texts.select("doc_id", "key", "label", "text").collect(), key=lambda r: (r["doc_id"], r["key"]))
+    discard(rows)
     return [r["text"] for r in found], np.array([r["label"] == 1 for r in found], bool), share
 
 
