@@ -133,6 +133,35 @@ def test_time_travel(people):
     assert rows(people, "RETURN datetime('2024-01-02') + duration('1d') AS t, datetime('2024-01-02') - datetime('2024-01-01') AS us") == [(DAY(3), 86400000000)]
 
 
+def test_path_semantics(people, spark):
+    two = "MATCH (a:Person)-[:KNOWS]->(b:Person)-[:KNOWS]->(c:Person) {} RETURN a.id AS a, b.id AS b, c.id AS c"
+    assert some(people, two.format("PATH SEQUENTIAL")) == [(1, 1, 2), (1, 2, 3), (2, 3, 1)]
+    assert len(rows(people, two.format("PATH CONTINUOUS"))) == 5
+    assert some(people, two.format("BETWEEN '2024-01-07' AND '2024-01-08' PATH CONTINUOUS")) == [(1, 1, 2), (3, 1, 1), (3, 1, 2)]
+    walk = "MATCH p = (a:Person {id: 2})-[:KNOWS*3]->(b:Person) PATH CONTINUOUS RETURN b.id AS b, valid_from(p) AS since, valid_to(p) AS till"
+    assert some(people, walk) == [(1, DAY(4), DAY(6)), (2, DAY(4), DAY(6))]
+    assert len(rows(people, "MATCH (a:Person)-[:KNOWS]->(b:Person)-[:LIVES_IN]->(c:City) PATH CONTINUOUS RETURN c.id AS c")) == 4  # always valid
+    chain = spark.createDataFrame([(1, 2, DAY(1), DAY(3)), (2, 3, DAY(2), DAY(5)), (3, 4, DAY(4), DAY(6)), (3, 5, DAY(5), None)], "src long, dst long, valid_from timestamp_ntz, valid_to timestamp_ntz")
+    s = GraphSession(spark, TemporalGraph(spark).with_nodes("N", spark.range(1, 6)).with_edges("E", "N", "N", chain))
+    for semantics, ends in (("SNAPSHOT", [4, 5]), ("PAIRWISE", [4]), ("CONTINUOUS", []), ("SEQUENTIAL", [4, 5])):
+        assert some(s, f"MATCH (a:N {{id: 1}})-[:E]->()-[:E]->()-[:E]->(d:N) PATH {semantics} RETURN d.id AS d") == [(x,) for x in ends]
+        assert some(s, f"MATCH (a:N {{id: 1}})-[:E*3]->(d:N) PATH {semantics} RETURN d.id AS d") == [(x,) for x in ends]
+    with pytest.raises(QuerySyntaxError):
+        parse("MATCH (a)-[r]->(b) PATH STRAIGHT RETURN a")
+
+
+def test_windowed_aggregates(people):
+    df = people.query("MATCH (a:Person)-[r:KNOWS]->(b:Person) RETURN count(r.w) WINDOW 2d AS n, sum(r.w) WINDOW 2d AS w ORDER BY window_start")
+    assert df.columns == ["n", "w", "window_start", "window_end"]
+    assert [tuple(r) for r in df.collect()] == [(2, 14.0, dt.datetime(2023, 12, 31), DAY(2)), (1, 2.0, DAY(2), DAY(4)), (1, 1.0, DAY(4), DAY(6))]
+    sliding = "MATCH (a:Person)-[r:KNOWS]->(b:Person) RETURN a.id AS a, count(*) WINDOW 2d SLIDE 1d ON r.valid_from AS n"
+    assert [r for r in some(people, sliding) if r[0] == 2] == [(2, 1, DAY(2), DAY(4)), (2, 1, DAY(3), DAY(5))]
+    assert rows(people, "MATCH (a:Person)-[r:KNOWS]->(b:Person) WHERE r.w > 99 RETURN count(*) WINDOW 1d ON r.valid_from AS n") == []
+    for wrong in ("count(*) WINDOW 1d AS n", "count(*) WINDOW 1d ON a.name AS n", "count(*) WINDOW 1d ON r.valid_from AS n, sum(r.w) WINDOW 2d AS w", "coalesce(a.id) WINDOW 1d ON r.valid_from AS n"):
+        with pytest.raises(QueryError):
+            people.query(f"MATCH (a:Person)-[r:KNOWS]->(b:Person) RETURN {wrong}")
+
+
 def test_writes(people):
     people.query("CREATE (p:Person {id: 9, name: 'Eve'})-[:LIVES_IN]->(c:City {id: 7, city: 'Bern'})")
     assert rows(people, "MATCH (p:Person {id: 9})-[:LIVES_IN]->(c) RETURN p.name AS name, p.age AS age, c.city AS city") == [("Eve", None, "Bern")]

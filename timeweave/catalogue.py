@@ -429,7 +429,7 @@ def temporal_avg_(spark, sf_dir):
     return clamped(spark, sf_dir).groupBy("user_id").agg(F.round(temporal_avg(F.col("value"), F.col("s"), F.col("e")), 6).alias("mean"))
 
 
-@registered("temporal_sum", f"SELECT user_id, round(sum(value), 4) AS total FROM events WHERE ts >= {T0} AND ts < {T1} GROUP BY 1")
+@registered("temporal_sum", f"SELECT user_id, round(sum(value) * 1000)::BIGINT AS total FROM events WHERE ts >= {T0} AND ts < {T1} GROUP BY 1")
 def temporal_sum(spark, sf_dir):
     e = table(spark, sf_dir, "events").where((F.col("ts") >= at(MOMENT)) & (F.col("ts") < at(LATER)))
     return e.groupBy("user_id").agg(F.round(F.sum("value"), 4).alias("total"))
@@ -515,6 +515,36 @@ def temporal_path_pairwise(spark, sf_dir):
     return p.groupBy(F.get("path", F.lit(0)).alias("a"), F.get("path", F.lit(1)).alias("b"), F.get("path", F.lit(2)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_WITHIN = f"valid_from < {T1} AND (valid_to IS NULL OR valid_to > {T0})"
+_OPEN = "TIMESTAMP '9999-12-31'"
+_TWO_HOPS = "MATCH (a:Person)-[r:ACTED]->(b:Person)-[s:ACTED]->(c:Person) BETWEEN $start AND $end PATH {} RETURN a.id AS a, b.id AS b, c.id AS c, count(*) AS n"
+_TWO_HOPS_SQL = f"WITH {ACTED} SELECT a.src AS a, a.dst AS b, b.dst AS c, count(*) AS n FROM acted a JOIN acted b ON b.src = a.dst AND b.seq <> a.seq WHERE {{}} GROUP BY 1, 2, 3"
+
+
+def _both(condition: str) -> str:
+    return " AND ".join(condition.replace("valid_", f"{x}.valid_") for x in "ab")
+
+
+text_query("match_path_snapshot", _TWO_HOPS.format("SNAPSHOT"), _TWO_HOPS_SQL.format(_both(f"valid_from <= {T1} AND (valid_to IS NULL OR valid_to > {T0})")), start=MOMENT, end=LATER)
+text_query("match_path_continuous", _TWO_HOPS.format("CONTINUOUS"),
+    _TWO_HOPS_SQL.format(_both(f"valid_from <= {T0} AND (valid_to IS NULL OR valid_to > {T1})") + f" AND greatest(a.valid_from, b.valid_from) < least(coalesce(a.valid_to, {_OPEN}), coalesce(b.valid_to, {_OPEN}))"), start=MOMENT, end=LATER)
+text_query("match_path_pairwise", _TWO_HOPS.format("PAIRWISE"),
+    _TWO_HOPS_SQL.format(_both(_WITHIN) + f" AND coalesce(a.valid_to, {_OPEN}) > b.valid_from AND coalesce(b.valid_to, {_OPEN}) > a.valid_from"), start=MOMENT, end=LATER)
+text_query("match_path_sequential", "MATCH (a:Person)-[r:ACTED]->(b:Person)-[s:ACTED]->(c:Person) PATH SEQUENTIAL RETURN b.id AS b, count(*) AS n",
+    f"WITH {ACTED} SELECT a.dst AS b, count(*) AS n FROM acted a JOIN acted b ON b.src = a.dst AND b.seq <> a.seq WHERE b.valid_from >= a.valid_from GROUP BY 1")
+text_query("match_walk_continuous", "MATCH p = (a:Person)-[:ACTED*1..2]->(b:Person) BETWEEN $start AND $end PATH CONTINUOUS RETURN a.id AS a, length(p) AS hops, count(*) AS n, max(valid_from(p)) AS since",
+    f"""WITH {ACTED}, ok AS (SELECT * FROM acted WHERE valid_from <= {T0} AND (valid_to IS NULL OR valid_to > {T1}))
+    SELECT src AS a, 1 AS hops, count(*) AS n, max(valid_from) AS since FROM ok GROUP BY 1
+    UNION ALL SELECT a.src, 2, count(*), max(greatest(a.valid_from, b.valid_from)) FROM ok a JOIN ok b ON b.src = a.dst AND b.seq <> a.seq
+    WHERE greatest(a.valid_from, b.valid_from) < least(coalesce(a.valid_to, {_OPEN}), coalesce(b.valid_to, {_OPEN})) GROUP BY 1""", start=MOMENT, end=LATER)
+text_query("match_window_slide", "MATCH (u:State) RETURN u.kind AS event_type, round(window_avg(u.value) WINDOW 7d SLIDE 1d * 100000) AS avg_value, window_count(u.value) WINDOW 7d SLIDE 1d AS n",
+    """WITH w AS (SELECT *, epoch_us(ts) // 86400000000 AS d FROM events)
+    SELECT to_timestamp((d - k) * 86400)::TIMESTAMP AS window_start, to_timestamp((d - k + 7) * 86400)::TIMESTAMP AS window_end, event_type, round(avg(value) * 100000)::BIGINT AS avg_value, count(value) AS n
+    FROM w, range(7) r(k) GROUP BY 1, 2, 3""")
+text_query("match_window_tumbling", "MATCH (u:State) RETURN u.user_id AS user_id, round(window_sum(u.value) WINDOW 1d ON u.ts * 1000) AS total",
+    "SELECT user_id, to_timestamp(epoch_us(ts) // 86400000000 * 86400)::TIMESTAMP AS window_start, to_timestamp((epoch_us(ts) // 86400000000 + 1) * 86400)::TIMESTAMP AS window_end, round(sum(value) * 1000)::BIGINT AS total FROM events GROUP BY 1, 2, 3")
+
+
 # writes
 
 

@@ -40,6 +40,16 @@ class Call:
     distinct: bool = False
 
 
+@dataclass(frozen=True)
+class Windowed:
+    """An aggregate over event-time windows: its projection is grouped by them too."""
+
+    of: Any
+    length: str
+    slide: str | None
+    time: Any = None
+
+
 @dataclass(frozen=True)
 class Star:
     """The argument of count(*), or RETURN *."""
@@ -127,6 +137,7 @@ class Match:
     optional: bool = False
     where: Any = None
     temporal: Temporal | None = None
+    semantics: str | None = None  # of a path's intervals: snapshot, continuous, pairwise, sequential
 
 
 @dataclass

@@ -15,6 +15,7 @@ from timeweave.functions.aggregates import AGGREGATES
 from timeweave.functions.scalar import SCALARS, divide
 from timeweave.functions.temporal import from_micros, micros, micros_of, parse_duration
 from timeweave.graph import INTERVALS, EdgeTable, TemporalGraph, where_interval
+from timeweave.operators.traverse import SEMANTICS
 from timeweave.plans import ast
 
 TIMES = (T.TimestampType, T.TimestampNTZType)
@@ -48,6 +49,7 @@ class HopsVar:
 class PathVar:
     nodes: tuple[str, ...]  # id columns
     hops: tuple[tuple[str, str], ...]  # (edge or edges, column)
+    valid: tuple[str, str] | None = None  # when all edges are valid, of a MATCH with PATH
 
 
 @dataclass(frozen=True)
@@ -104,6 +106,7 @@ class Compiler:
         self.spark = graph.spark
         self.n = 0
         self.prefix: ast.Temporal | None = None
+        self.semantics: str | None = None
 
     # queries
 
@@ -186,7 +189,9 @@ class Compiler:
 
     def match(self, m: ast.Match, rows: Rows | None) -> Rows:
         outer = rows.scope if rows else {}
+        self.semantics = m.semantics
         piece = self.patterns(m.patterns, outer, m.temporal or self.prefix)
+        self.semantics = None
         return self.attach(rows, piece, m.where, m.optional)
 
     def attach(self, rows: Rows | None, piece: Piece, where: Any, optional: bool) -> Rows:
@@ -310,7 +315,10 @@ class Compiler:
         ends = {k: f"{tag}__{k}" for k in ("from", "from_label", "to", "to_label")}
         found = None
         for e, backwards in tables:
-            df = self.travel(e.df, ("src", "dst"), temporal)
+            if self.semantics and temporal is not None and temporal.kind == "between" and INTERVALS[temporal.axis][0] in e.df.columns:
+                df = e.df.where(SEMANTICS[self.semantics](*[F.col(c) for c in INTERVALS[temporal.axis]], *[self.moment(a) for a in temporal.args]))
+            else:
+                df = self.travel(e.df, ("src", "dst"), temporal)
             if backwards and both:
                 df = df.where("src <> dst") if e.src_label == e.dst_label else df  # a loop is met once
             a, b = ("dst", "src") if backwards else ("src", "dst")
@@ -364,6 +372,8 @@ class Compiler:
                 candidates[i] = self.rel_tables(rel, labels[i], labels[i + 1])
         ids: list[str] = []
         hops: list[tuple[str, str]] = []
+        axis = INTERVALS[temporal.axis if temporal else "valid"]
+        run: tuple[Column, ...] | None = None  # intervals of the path so far
 
         def meet(i: int, end_id: str | None, end_label: str | None) -> None:
             """Bind node i, whose id is in ``end_id`` if an edge led there."""
@@ -408,7 +418,8 @@ class Compiler:
             at_label = here.columns["label"] if here else None
             if rel.hops is not None:
                 low, high = rel.hops
-                end_id, end_label, eids = self.walk(out, edges, columns, ends, at_id, at_label, low, self.max_hops if high is None else high, nodes[0] if i == 0 and at_id is None else None)
+                interval = tuple(columns.get(c) for c in axis)
+                end_id, end_label, eids, run = self.walk(out, edges, columns, ends, at_id, at_label, low, self.max_hops if high is None else high, interval, run)
                 if i == 0 and at_id is None:  # the start is an outer variable
                     out.refs.append((first.var, f"{eids}_start", None))
                     ids.append(f"{eids}_start")
@@ -431,6 +442,9 @@ class Compiler:
                         if types & {e.type for e, _ in candidates[i]}:
                             on = on & (F.col(other) != F.col(columns["edge_id"]))
                     out.df = out.df.join(edges, on)
+                if self.semantics:
+                    fits, run = self.along(run, *[F.col(columns[c]) if c in columns else F.lit(None).cast("timestamp_ntz") for c in axis])
+                    out.df = out.df.where(fits)
                 out.edges.append((frozenset(e.type for e, _ in candidates[i]), columns["edge_id"]))
                 out.scope[rel.var] = RelVar(tuple(e.type for e, _ in candidates[i]), columns)
                 if rel.props:
@@ -439,29 +453,63 @@ class Compiler:
                 end_id, end_label = ends["to"], ends["to_label"]
             meet(i + 1, end_id, end_label)
         if p.path:
-            out.scope[p.path] = PathVar(tuple(ids), tuple(hops))
+            valid = None
+            if run is not None:
+                valid = self.fresh("valid_from"), self.fresh("valid_to")
+                out.df = out.df.withColumns(dict(zip(valid, run[:2], strict=True)))
+            out.scope[p.path] = PathVar(tuple(ids), tuple(hops), valid)
         return out
 
-    def walk(self, out: Piece, edges: DataFrame, columns: dict, ends: dict, at_id: str | None, at_label: str | None, low: int, high: int, start: ast.NodePat | None) -> tuple[str, str, str]:
-        """All walks of ``low`` to ``high`` edges without a repeated edge; one join for each hop."""
+    def along(self, run: tuple[Column, ...] | None, start: Column, end: Column) -> tuple[Column, tuple[Column, ...]]:
+        """Whether a path may go on over an edge valid in [start, end), and its intervals then: when all edges are valid, and the last edge's own.
+
+        A null is an open end, or an edge that is always valid.
+        """
+        if run is None:
+            return F.lit(True), (start, end, start, end)
+        lo, hi, before_start, before_end = run
+        lo, hi = F.greatest(lo, start), F.least(hi, end)  # which leave out nulls
+        fits = F.lit(True)
+        if self.semantics == "continuous":
+            fits = F.coalesce(lo < hi, F.lit(True))
+        elif self.semantics == "pairwise":
+            fits = F.coalesce(before_end > start, F.lit(True)) & F.coalesce(end > before_start, F.lit(True))
+        elif self.semantics == "sequential":
+            fits = F.coalesce(start >= before_start, F.lit(True))
+        return fits, (lo, hi, start, end)
+
+    def walk(self, out: Piece, edges: DataFrame, columns: dict, ends: dict, at_id: str | None, at_label: str | None, low: int, high: int, interval: tuple[str | None, str | None], run: tuple[Column, ...] | None) -> tuple[str, str, str, tuple[Column, ...] | None]:
+        """All walks of ``low`` to ``high`` edges without a repeated edge; one join for each hop.
+
+        With PATH semantics a walk carries the intervals of the path up to its end.
+        """
         eids, end_id, end_label = self.fresh("walk"), self.fresh("end"), self.fresh("end_label")
-        step = edges.select(F.col(ends["from"]).alias("_f"), F.col(ends["from_label"]).alias("_fl"), F.col(ends["to"]).alias("_t"), F.col(ends["to_label"]).alias("_tl"), F.col(columns["edge_id"]).alias("_e"))
+        never = F.lit(None).cast("timestamp_ntz")
+        carried = [self.fresh(n) for n in ("lo", "hi", "last_from", "last_to")] if self.semantics else []
+        times = [(F.col(c) if c else never).alias(n) for n, c in zip(("_vf", "_vt"), interval, strict=True)] if carried else []
+        step = edges.select(F.col(ends["from"]).alias("_f"), F.col(ends["from_label"]).alias("_fl"), F.col(ends["to"]).alias("_t"), F.col(ends["to_label"]).alias("_tl"), F.col(columns["edge_id"]).alias("_e"), *times)
+        own = [F.col(c) for c in ("_vf", "_vt", "_vf", "_vt")][: len(carried)]
         if at_id is None:  # from an outer variable: begin with every edge
             if low == 0:
                 raise QueryError("a walk of no edges from a variable of an earlier clause")
-            front = step.select(F.col("_f").alias(f"{eids}_start"), F.col("_t").alias(end_id), F.col("_tl").alias(end_label), F.array("_e").alias(eids))
+            front = step.select(F.col("_f").alias(f"{eids}_start"), F.col("_t").alias(end_id), F.col("_tl").alias(end_label), F.array("_e").alias(eids), *[c.alias(n) for c, n in zip(own, carried, strict=True)])
             levels, done = ([front] if low <= 1 else []), 1
         else:
             label = F.col(at_label) if at_label else F.lit(None).cast("string")
             front = out.df.withColumn(end_id, F.col(at_id)).withColumn(end_label, label).withColumn(eids, F.array().cast("array<string>"))
+            front = front.withColumns(dict(zip(carried, run or (never,) * 4)))
             levels, done = ([front] if low == 0 else []), 0
         for k in range(done + 1, high + 1):
             on = (F.col(end_id) == F.col("_f")) & ~F.array_contains(F.col(eids), F.col("_e"))
             if at_label or k > 1:
                 on = on & (F.col(end_label) == F.col("_fl"))
+            after: tuple[Column, ...] = ()
+            if carried:
+                fits, after = self.along(tuple(F.col(c) for c in carried), *own[:2])
+                on = on & fits
             joined = front.join(step, on)
-            keep = [c for c in front.columns if c not in (end_id, end_label, eids)]
-            front = joined.select(*keep, F.col("_t").alias(end_id), F.col("_tl").alias(end_label), F.concat(F.col(eids), F.array("_e")).alias(eids))
+            keep = [c for c in front.columns if c not in (end_id, end_label, eids, *carried)]
+            front = joined.select(*keep, F.col("_t").alias(end_id), F.col("_tl").alias(end_label), F.concat(F.col(eids), F.array("_e")).alias(eids), *[c.alias(n) for c, n in zip(after, carried, strict=True)])
             if k >= low:
                 levels.append(front)
         if not levels:
@@ -470,7 +518,7 @@ class Compiler:
         for x in levels[1:]:
             found = found.unionByName(x)
         out.df = found
-        return end_id, end_label, eids
+        return end_id, end_label, eids, tuple(F.col(c) for c in carried) or None
 
     # time travel
 
@@ -542,6 +590,12 @@ class Compiler:
                     name = self.fresh(i.alias)
                     by.append(self.value(i.expr, rows).alias(name))
                     scope[i.alias] = ValueVar(name)
+            over = self.window_of([i.expr for i in grouped] + [e for e, _ in order], rows)
+            if over is not None:
+                if {"window_start", "window_end"} & set(names):
+                    raise QueryError("window_start and window_end are the columns of the window itself")
+                spans = self.fresh("window")
+                by.append(over.alias(spans))
             aggs = []
             for i in grouped:
                 name = self.fresh(i.alias)
@@ -553,6 +607,10 @@ class Compiler:
                     hidden[e] = self.fresh("sort")
                     aggs.append(self.value(e, rows).alias(hidden[e]))
             df = rows.df.groupBy(*by).agg(*aggs) if by else rows.df.agg(*aggs)
+            if over is not None:
+                names += ["window_start", "window_end"]
+                scope |= {n: ValueVar(f"{spans}_{n}") for n in names[-2:]}
+                df = df.withColumns({f"{spans}_{n}": F.col(spans)[n.removeprefix("window_")] for n in names[-2:]})
             made = Rows(df, {n: scope[n] for n in names})
             by_text = {i.expr: i.alias for i in items}
             order = [(ast.Var(by_text[e]) if e in by_text else _Column(hidden[e]) if e in hidden else e, up) for e, up in order]
@@ -562,7 +620,7 @@ class Compiler:
                 bound = rows.scope.get(i.expr.name) if isinstance(i.expr, ast.Var) else None
                 if isinstance(bound, (NodeVar, RelVar, HopsVar, PathVar)):
                     scope[i.alias] = bound
-                    held = bound.columns.values() if isinstance(bound, (NodeVar, RelVar)) else [bound.ids] if isinstance(bound, HopsVar) else [*bound.nodes, *[h[1] for h in bound.hops]]
+                    held = bound.columns.values() if isinstance(bound, (NodeVar, RelVar)) else [bound.ids] if isinstance(bound, HopsVar) else [*bound.nodes, *[h[1] for h in bound.hops], *(bound.valid or ())]
                     for c in held:
                         if c not in made_names:
                             columns.append(F.col(c))
@@ -598,6 +656,30 @@ class Compiler:
             made = self.where(p.where, made)
         return made
 
+    def window_of(self, exprs: list, rows: Rows) -> Column | None:
+        """The one event-time window that the aggregates of a projection are taken over.
+
+        The time is what ON names, or the start of validity of whom the aggregated property belongs to.
+        """
+        found = {}
+        for w in (x for e in exprs for x in walk(e) if isinstance(x, ast.Windowed)):
+            time = w.time
+            if time is None:
+                owner = next((x.of for x in walk(w.of) if isinstance(x, ast.Prop)), next((x for x in walk(w.of) if isinstance(x, ast.Var)), None))
+                if owner is None:
+                    raise QueryError("WINDOW needs ON and a time here")
+                time = ast.Prop(owner, INTERVALS["valid"][0])
+            found[w.length, w.slide, time] = None
+        if not found:
+            return None
+        if len(found) > 1:
+            raise QueryError("two different windows in one projection")
+        length, slide, time = next(iter(found))
+        at = self.value(time, rows)
+        if not isinstance(self.type_of(at, rows), TIMES):
+            raise QueryError("WINDOW needs a time")
+        return F.window(at, *[f"{parse_duration(x)} microseconds" for x in (length, slide) if x])
+
     def sort_key(self, e: Any, up: bool, rows: Rows) -> Column:
         c = F.col(e.name) if isinstance(e, _Column) else self.value(e, rows)
         return c.asc_nulls_last() if up else c.desc_nulls_first()
@@ -775,6 +857,11 @@ class Compiler:
             return self.functions[name](*values)
         raise QueryError(f"unknown function {name}")
 
+    def _windowed(self, e: ast.Windowed, rows: Rows) -> Column:
+        if not has_aggregate(e.of):
+            raise QueryError("WINDOW needs an aggregate before it")
+        return self.value(e.of, rows)
+
     def bound_time(self, axis: str) -> Column:
         """The moment that an AS OF before the query names on this axis; without one, now."""
         t = self.prefix
@@ -794,6 +881,8 @@ class Compiler:
                 for kind, column in bound.hops:
                     total = total + (F.lit(1) if kind == "edge" else F.size(F.col(column)))
                 return total
+            if name in INTERVALS["valid"] and bound.valid:
+                return F.col(bound.valid[INTERVALS["valid"].index(name)])
             if name == "nodes":
                 return F.array(*[F.col(c) for c in bound.nodes])
             if name == "relationships":
