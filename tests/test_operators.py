@@ -389,3 +389,35 @@ def test_write_partitioned_prunes(spark, tmp_path):
     back = spark.read.parquet(f"file://{tmp_path}/p")
     assert back.count() == 20 and len(back.where("part = 1 AND day = DATE '2024-01-01'").inputFiles()) >= 1
     assert "PartitionFilters: [isnotnull(part" in back.where("part = 1")._jdf.queryExecution().toString()
+
+
+def test_early_versions_wait_in_the_view(spark, tmp_path):
+    make = lambda *r: spark.createDataFrame(list(r), cdc.SCHEMA)
+    log, cp = f"file://{tmp_path}/log", f"file://{tmp_path}/cp"
+    add = lambda *r: make(*r).coalesce(1).write.mode("append").parquet(log)
+    view = cdc.EdgeView(spark, f"file://{tmp_path}/v")
+    view.replace_partition(2, make(record(2, 40, 60, 4, 6)), offset=40, version=60)
+    add(record(1, 4, 3, 1, 4), record(2, 42, 62, 4, 8))
+    add(record(1, 3, 2, 1, 3, i=1, n=2), record(2, 41, 61, 4, 7))
+    add(record(1, 1, 1, 1, 1), record(1, 1, 1, 1, 1))
+    view.run(log, cp, unordered=True)
+    assert ids(view.waiting(), "partition_id", "offset") == [(1, 3), (1, 4)]
+    assert ids(view.edges(), "partition_id", "target_id") == [(1, 1), (2, 6), (2, 7), (2, 8)]
+    add(record(1, 2, 2, 1, 2, i=0, n=2))
+    add(record(1, 6, 9, 1, 6))
+    view.run(log, cp, unordered=True)
+    assert ids(view.waiting(), "offset") == [(6,)]
+    assert ids(view.progress(), "partition_id", "applied_offset", "applied_version") == [(1, 4, 3), (2, 42, 62)]
+
+
+def test_in_version_order(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = [record(p, v * 3 + i, v, 1, v, i=i, n=1 + v % 3) for p in (1, 2, 3, 4) for v in range(1, 40) for i in range(1 + v % 3) if (p, v, i) not in ((2, 20, 1), (3, 17, 0)) and not (p == 4 and v <= 5)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows + rows[:20], cdc.SCHEMA)
+    done = spark.createDataFrame([(4, 5), (2, 3)], "partition_id int, applied_version long")
+    for block in (4, 7, 1000):
+        got = cdc.in_version_order(df, done, block).groupBy("partition_id").agg(F.max("commit_version").alias("top"), F.count_distinct("offset").alias("n"))
+        assert ids(got, "partition_id", "top", "n") == [(1, 39, 78), (2, 19, 38), (3, 16, 32), (4, 39, 67)]

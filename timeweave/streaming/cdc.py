@@ -54,16 +54,35 @@ def applicable(records: DataFrame, start: int | DataFrame = 1, block: int = 65_5
         rows = rows.join(known, F.col("partition_id") == F.col("_p"), "left").withColumn("_s", F.coalesce("_from", F.lit(1))).drop("_p", "_from")
     else:
         rows = rows.withColumn("_s", F.lit(start))
-    rows = rows.where("offset >= _s").withColumn("_at", F.col("offset") - F.col("_s")).withColumn("_b", F.expr(f"_at div {block}"))
+    prefix = _gapless(rows.where("offset >= _s").withColumn("_at", F.col("offset") - F.col("_s")), block)
+    last = prefix.where("batch_index = batch_size - 1").groupBy(F.col("partition_id").alias("_q")).agg(F.max("offset").alias("_last"))
+    return prefix.join(last, (F.col("partition_id") == F.col("_q")) & (F.col("offset") <= F.col("_last"))).select(*records.columns)
+
+
+def _gapless(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` (partition_id, _at, ...; an _at once in a partition) whose _at is in the partition's run 0, 1, 2, ..."""
+    rows = rows.withColumn("_b", F.expr(f"_at div {block}"))
     counts = rows.groupBy(F.col("partition_id").alias("_p"), F.col("_b").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
     order = W.partitionBy("_p").orderBy("_c")
     whole = (F.col("_n") == block) & (F.col("_c") == F.row_number().over(order) - 1)
     counts = counts.withColumn("_w", whole).withColumn("_ok", F.min(F.col("_w")).over(order.rowsBetween(W.unboundedPreceding, -1)))
     counts = counts.where("coalesce(_ok, true)").select("_p", "_c")
-    inside = F.row_number().over(W.partitionBy("partition_id", "_b").orderBy("offset"))
-    prefix = rows.join(counts, (F.col("partition_id") == F.col("_p")) & (F.col("_b") == F.col("_c"))).withColumn("_k", inside + F.col("_b") * block - 1).where("_k = _at")
-    last = prefix.where("batch_index = batch_size - 1").groupBy(F.col("partition_id").alias("_q")).agg(F.max("offset").alias("_last"))
-    return prefix.join(last, (F.col("partition_id") == F.col("_q")) & (F.col("offset") <= F.col("_last"))).select(*records.columns)
+    inside = F.row_number().over(W.partitionBy("partition_id", "_b").orderBy("_at"))
+    return rows.join(counts, (F.col("partition_id") == F.col("_p")) & (F.col("_b") == F.col("_c"))).withColumn("_k", inside + F.col("_b") * block - 1).where("_k = _at")
+
+
+def in_version_order(records: DataFrame, done: DataFrame, block: int = 65_536) -> DataFrame:
+    """The records of each partition up to the first commit version that is missing or not there with all its records.
+
+    ``done`` (partition_id, applied_version) says which version each partition has reached; a
+    partition that it does not have begins at version 1.
+    """
+    reached = done.select(F.col("partition_id").alias("_d"), F.col("applied_version").alias("_v"))
+    rows = records.join(reached, F.col("partition_id") == F.col("_d"), "left").withColumn("_v", F.coalesce("_v", F.lit(0).cast("bigint"))).drop("_d")
+    parts = rows.where("commit_version > _v").groupBy("partition_id", "commit_version", "_v").agg(F.count_distinct("batch_index").alias("_n"), F.min_by("batch_size", "batch_index").alias("_of"))
+    run = _gapless(parts.where("_n >= _of").withColumn("_at", F.col("commit_version") - F.col("_v") - 1), block)
+    last = run.groupBy(F.col("partition_id").alias("_q")).agg(F.max("commit_version").alias("_last"))
+    return rows.join(last, F.col("partition_id") == F.col("_q"), "left").where(F.col("commit_version") <= F.coalesce("_last", "_v")).select(*records.columns)
 
 
 def progress(records: DataFrame, start: int = 1) -> DataFrame:
@@ -217,8 +236,11 @@ class EdgeView:
     def edges(self) -> DataFrame:
         return self.read().where("op <> 'DELETE'")
 
-    def apply(self, records: DataFrame, batch: int) -> None:
-        """The next folder of the view, with what of ``records`` and of the waiting ones can be applied."""
+    def apply(self, records: DataFrame, batch: int, unordered: bool = False) -> None:
+        """The next folder of the view, with what of ``records`` and of the waiting ones can be applied.
+
+        Of an ``unordered`` log a transaction is applied only after those of all earlier commit versions.
+        """
         from timeweave.operators.traverse import checkpoint
 
         if batch <= self.batch:
@@ -232,7 +254,8 @@ class EdgeView:
         there = there.withColumn("_e", F.coalesce("_e", "_first")).where((F.col("partition_epoch") > F.col("_e")) | (F.col("partition_epoch") == F.col("_e")) & (F.col("offset") > F.coalesce("_o", F.lit(0))))
         there = checkpoint(there.select(*SCHEMA.fieldNames(), (F.col("partition_epoch") == F.col("_e")).alias("_now")))
         start = self.progress().select("partition_id", (F.col("applied_offset") + 1).alias("start"))
-        now = checkpoint(applicable(there.where("_now").drop("_now"), start))
+        now = there.where("_now").drop("_now")
+        now = checkpoint(applicable(in_version_order(now, self.progress()) if unordered else now, start))
         moved = now.groupBy("partition_id").agg(F.max("partition_epoch").alias("partition_epoch"), F.max("offset").alias("applied_offset"), F.max("commit_version").alias("applied_version"))
         stays = self.progress().join(moved.select(F.col("partition_id").alias("_p")), F.col("partition_id") == F.col("_p"), "left_anti")
         progress = stays.unionByName(moved)
@@ -268,11 +291,15 @@ class EdgeView:
         return how
 
     def run(self, source: str, checkpoint: str, files_per_batch: int = 1, unordered: bool = False) -> None:
-        """Apply all record files that are in ``source`` now, then stop; ``unordered`` sorts by commit version first."""
+        """Apply all record files that are in ``source`` now, then stop.
+
+        Files of an ``unordered`` log come in any order; what is early waits in the view's own
+        table, not in a stream's state, so its size is bounded by disk alone.
+        """
         stream = self.spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(source)
         if unordered:
-            stream = ordered_stream(stream, by="commit_version")
-        query = stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            stream = stream.where("commit_version IS NOT NULL AND batch_index IS NOT NULL AND batch_size IS NOT NULL")
+        query = stream.writeStream.foreachBatch(lambda records, batch: self.apply(records, batch, unordered)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
 
 
