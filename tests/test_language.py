@@ -280,3 +280,16 @@ def test_filters_reach_the_scan(spark, tmp_path):
     graph = TemporalGraph(spark).with_nodes("N", spark.read.parquet(f"{tmp_path}/n"))
     plan = GraphSession(spark, graph).explain("MATCH (n:N) WHERE n.k = 3 RETURN n.id AS id")
     assert "EqualTo(k,3)" in plan and "wide" not in plan.split("ReadSchema")[1].splitlines()[0]
+
+
+def test_floats_per_node_are_added_in_order_of_ids(spark):
+    values = [1e16, 1.0, -1e16, 0.5]
+    lists = spark.createDataFrame([(k,) for k in range(6)], "id long")
+    for shift in range(4):  # however the rows lie
+        items = spark.createDataFrame([(k * 10 + i, values[i]) for k in range(6) for i in [(j + shift) % 4 for j in (2, 0, 3, 1)]], "id long, v double")
+        holds = spark.createDataFrame([(k, k * 10 + i) for k in range(6) for i in range(4)], "src long, dst long")
+        graph = TemporalGraph(spark).with_nodes("L", lists).with_nodes("I", items).with_edges("HOLDS", "L", "I", holds)
+        session = GraphSession(spark, graph)
+        assert some(session, "MATCH (l:L)-[:HOLDS]->(i:I) RETURN l.id AS id, sum(i.v) AS total, count(*) AS n") == [(k, 0.5, 4) for k in range(6)]
+        assert some(session, "MATCH (l:L)-[:HOLDS]->(i:I) WITH l, sum(-i.v) AS total, max(i.v) AS top WHERE total < 0 RETURN l.id AS id, top ORDER BY total") == [(k, 1e16) for k in range(6)]
+    assert some(session, "MATCH (l:L) OPTIONAL MATCH (l)-[:HOLDS]->(i:I) WHERE i.v > 5e16 RETURN l.id AS id, sum(i.v) AS total ORDER BY sum(i.v), l.id") == [(k, 0.0) for k in range(6)]

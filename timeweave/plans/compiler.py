@@ -107,6 +107,7 @@ class Compiler:
         self.n = 0
         self.prefix: ast.Temporal | None = None
         self.semantics: str | None = None
+        self.running: dict[ast.Call, tuple[str, str]] = {}
 
     # queries
 
@@ -596,6 +597,7 @@ class Compiler:
                     raise QueryError("window_start and window_end are the columns of the window itself")
                 spans = self.fresh("window")
                 by.append(over.alias(spans))
+            source, by = self.sums_in_order([i.expr for i in grouped] + [e for e, _ in order], keys, by, rows) if over is None else (rows.df, by)
             aggs = []
             for i in grouped:
                 name = self.fresh(i.alias)
@@ -606,7 +608,8 @@ class Compiler:
                 if has_aggregate(e) and not any(i.expr == e for i in items):
                     hidden[e] = self.fresh("sort")
                     aggs.append(self.value(e, rows).alias(hidden[e]))
-            df = rows.df.groupBy(*by).agg(*aggs) if by else rows.df.agg(*aggs)
+            self.running = {}
+            df = source.groupBy(*by).agg(*aggs) if by else source.agg(*aggs)
             if over is not None:
                 names += ["window_start", "window_end"]
                 scope |= {n: ValueVar(f"{spans}_{n}") for n in names[-2:]}
@@ -656,6 +659,36 @@ class Compiler:
             made = self.where(p.where, made)
         return made
 
+    def sums_in_order(self, exprs: list, keys: list, by: list[Column], rows: Rows) -> tuple[DataFrame, list[Column]]:
+        """The rows with running sums of the floats that are summed per node, and the keys as their columns.
+
+        A sum of floats depends on their order.  Per node they are added in order of the ids of
+        whom they belong to, however tasks and files lie; coarser groups, which one task should
+        not have to sort, are added as they come.
+        """
+        of_node = lambda e: isinstance(rows.scope.get(e.name) if isinstance(e, ast.Var) else None, NodeVar)
+        per_node = any(of_node(k.expr) or isinstance(k.expr, ast.Prop) and k.expr.name == "id" and of_node(k.expr.of) or isinstance(k.expr, ast.Call) and k.expr.name == "id" and of_node(k.expr.args[0]) for k in keys)
+        sums = dict.fromkeys(x for e in exprs for x in walk(e) if isinstance(x, ast.Call) and x.name == "sum" and not x.distinct) if per_node else {}
+        df, names = rows.df, by
+        for call in sums:
+            owners = dict.fromkeys(x.name for x in walk(call.args) if isinstance(x, ast.Var) and isinstance(rows.scope.get(x.name), (NodeVar, RelVar)))
+            value = self.value(call.args[0], rows) if owners and not isinstance(call.args[0], ast.Var) else None
+            if value is None or not isinstance(self.type_of(value, rows), (T.DoubleType, T.FloatType)):
+                continue
+            if not self.running:  # the keys become columns that the window and the grouping share
+                made = df.select("*", *[c.alias(f"_key{n}") for n, c in enumerate(by)])
+                plain = rows.df.select(*by).columns
+                df, names = made, [F.col(f"_key{n}").alias(c) for n, c in enumerate(plain)]
+            ids = []
+            for x in owners:
+                c = rows.scope[x].columns
+                ids += [F.col(c["id"]), F.col(c["label"])] if "id" in c else [F.length(c["edge_id"]), F.col(c["edge_id"])]
+            order = W.partitionBy(*[f"_key{n}" for n in range(len(by))]).orderBy(*ids)
+            total, place = self.fresh("running"), self.fresh("place")
+            df = df.withColumn(total, F.sum(value).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn(place, F.row_number().over(order))
+            self.running[call] = total, place
+        return df, names
+
     def window_of(self, exprs: list, rows: Rows) -> Column | None:
         """The one event-time window that the aggregates of a projection are taken over.
 
@@ -845,6 +878,9 @@ class Compiler:
                 values = [self.value(a, rows) for a in args]
             if e.distinct:
                 return self.distinct_aggregate(name, values)
+            if e in self.running:
+                total, place = self.running[e]
+                return F.coalesce(F.max_by(total, place), F.lit(0.0))
             if name == "sum" and isinstance(self.type_of(values[0], rows), (T.DoubleType, T.FloatType)):
                 return F.coalesce(F.sum(values[0]), F.lit(0.0))
             return AGGREGATES[name](*values)
