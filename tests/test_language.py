@@ -293,3 +293,27 @@ def test_floats_per_node_are_added_in_order_of_ids(spark):
         assert some(session, "MATCH (l:L)-[:HOLDS]->(i:I) RETURN l.id AS id, sum(i.v) AS total, count(*) AS n") == [(k, 0.5, 4) for k in range(6)]
         assert some(session, "MATCH (l:L)-[:HOLDS]->(i:I) WITH l, sum(-i.v) AS total, max(i.v) AS top WHERE total < 0 RETURN l.id AS id, top ORDER BY total") == [(k, 1e16) for k in range(6)]
     assert some(session, "MATCH (l:L) OPTIONAL MATCH (l)-[:HOLDS]->(i:I) WHERE i.v > 5e16 RETURN l.id AS id, sum(i.v) AS total ORDER BY sum(i.v), l.id") == [(k, 0.0) for k in range(6)]
+
+
+@pytest.mark.parametrize("semantics", ["SNAPSHOT", "PAIRWISE", "CONTINUOUS", "SEQUENTIAL", None])
+def test_two_edges_are_counted_without_a_table_of_paths(spark, semantics):
+    import random
+
+    rng = random.Random(3)
+    span = lambda: (a := rng.randrange(1, 20), rng.choice([None, a + rng.randrange(1, 9)]))
+    edge = lambda: (rng.randrange(4), rng.randrange(4), *[x and DAY(x) for x in span()])
+    schema = "src long, dst long, valid_from timestamp_ntz, valid_to timestamp_ntz, edge_id long"
+    e, f = (spark.createDataFrame([(*edge(), i) for i in range(60)], schema) for _ in "ef")
+    nodes = spark.createDataFrame([(i,) for i in (0, 1, 2, 3, 3)], "id long")  # one row twice
+    graph = TemporalGraph(spark).with_nodes("N", nodes).with_edges("E", "N", "N", e).with_edges("F", "N", "N", f)
+    session = GraphSession(spark, graph)
+    path = f"BETWEEN '2024-01-08' AND '2024-01-10' PATH {semantics}" if semantics else ""
+    for pattern in ("-[:E]->(b:N)-[:E]->", "-[:E]->(b:N)<-[:E]-", "-[:E]-(b:N)-[:E]-", "-[:E]->(b:N)-[:F]->", "<-[:E|F]-(b:N)<-[:F]-"):
+        text = f"MATCH (a:N){pattern}(c:N) {path} {{}} RETURN a.id AS a, count(*) AS n, b.id AS b, c.id AS c"
+        got, plain = session.query(text.format("")), session.query(text.format("WHERE a.id = a.id"))
+        assert got.schema.simpleString() == plain.schema.simpleString()
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) != []
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert -1 < plan.find("Join") < plan.find("Aggregate")  # nothing is grouped after the join
+    ranked = "MATCH (a:N)-[:E]->(b:N)-[:E]->(c:N) {} WITH a.id AS a, b.id AS b, c.id AS c, count(*) AS n ORDER BY count(*) DESC, a, b, c LIMIT 7 WHERE n > 2 RETURN a, b, c, n ORDER BY n, c, b, a"
+    assert rows(session, ranked.format("")) == rows(session, ranked.format("WHERE a.id = a.id"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import itertools
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -244,3 +244,38 @@ def temporal_paths(edges: DataFrame, start, end, hops: int, semantics: str = "sn
         joined = found.join(step, on)
         found = joined.select(F.concat("path", F.array("dst")).alias("path"), F.greatest("lo", "_f").alias("lo"), F.least("hi", "_t").alias("hi"), F.col("_f").alias("pf"), F.col("_t").alias("pt"))
     return found.select("path", F.col("lo").alias("valid_from"), F.col("hi").alias("valid_to"))
+
+
+def gathered(edges: DataFrame, *facts: Column) -> DataFrame:
+    """(src, dst, edges): each pair once, its parallel edges as an array of structs of ``facts``."""
+    return edges.groupBy("src", "dst").agg(F.collect_list(F.struct(*facts)).alias("edges"))
+
+
+def count_pairs(one: Column, two: Column, fits: Callable[[Column, Column], Column]) -> Column:
+    """How many pairs of an element of the array ``one`` and one of ``two`` there are that ``fits``."""
+    none = F.lit(0).cast("bigint")
+    first, other = F.get(one, F.lit(0)), F.get(two, F.lit(0))
+    many = F.aggregate(one, none, lambda n, x: n + F.size(F.filter(two, lambda y: fits(x, y))))
+    return F.when((F.size(one) == 1) & (F.size(two) == 1), F.when(fits(first, other), none + 1).otherwise(none)).otherwise(many)
+
+
+def temporal_path_counts(edges: DataFrame, start, end, semantics: str = "snapshot") -> DataFrame:
+    """(a, b, c, n): the different vertices of ``temporal_paths`` of two edges, and how many walks pass each.
+
+    Parallel edges are gathered before the join, so that it gives each path once and nothing is
+    grouped after it: a task holds no table of paths.
+    """
+    from timeweave.functions.temporal import at
+
+    ok = edges.where(SEMANTICS[semantics](F.col("valid_from"), F.col("valid_to"), at(start), at(end)))
+    far = F.lit("9999-12-31").cast("timestamp_ntz")
+    pairs = gathered(ok, F.col("valid_from").alias("f"), F.coalesce("valid_to", far).alias("t"))
+    fits = {
+        "continuous": lambda x, y: F.greatest(x["f"], y["f"]) < F.least(x["t"], y["t"]),
+        "pairwise": lambda x, y: (x["t"] > y["f"]) & (y["t"] > x["f"]),
+        "sequential": lambda x, y: y["f"] >= x["f"],
+    }
+    one = pairs.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("edges").alias("_one"))
+    two = pairs.select(F.col("src").alias("_b"), F.col("dst").alias("c"), F.col("edges").alias("_two"))
+    count = count_pairs(F.col("_one"), F.col("_two"), fits[semantics]) if semantics in fits else F.size("_one").cast("bigint") * F.size("_two")
+    return one.join(two, F.col("b") == F.col("_b")).select("a", "b", "c", count.alias("n")).where("n > 0")

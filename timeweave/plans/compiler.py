@@ -15,7 +15,7 @@ from timeweave.functions.aggregates import AGGREGATES
 from timeweave.functions.scalar import SCALARS, divide
 from timeweave.functions.temporal import from_micros, micros, micros_of, parse_duration
 from timeweave.graph import INTERVALS, EdgeTable, TemporalGraph, where_interval
-from timeweave.operators.traverse import SEMANTICS
+from timeweave.operators.traverse import SEMANTICS, count_pairs, gathered
 from timeweave.plans import ast
 
 TIMES = (T.TimestampType, T.TimestampNTZType)
@@ -114,8 +114,11 @@ class Compiler:
     def query(self, q: ast.Query, start: Rows | None = None) -> Rows:
         """The rows of ``q``; ``start`` holds what an enclosing CALL passes in."""
         saved, self.prefix = self.prefix, q.temporal or self.prefix
-        rows = start
-        for clause in q.clauses:
+        rows, clauses = start, q.clauses
+        counted = self.path_counts(*clauses[:2]) if start is None and len(clauses) > 1 else None
+        if counted is not None:
+            rows, clauses = counted[0], [counted[1], *clauses[2:]]
+        for clause in clauses:
             rows = self.clause(clause, rows)
         self.prefix = saved
         for every, other in q.unions:
@@ -222,6 +225,65 @@ class Compiler:
             joint = Rows(joint.df.where(cond), scope)
         return self.where(where, joint)
 
+    def path_counts(self, m: Any, p: Any) -> tuple[Rows, ast.Project] | None:
+        """A MATCH of two edges whose projection is the three nodes' ids and count(*): the paths' vertices with their counts, and the projection of these.
+
+        Parallel edges are gathered before they are joined, so that the join gives each three
+        vertices once and nothing is grouped after it: no task holds a table of all its paths.
+        None for any other clauses.
+        """
+        if not isinstance(m, ast.Match) or not isinstance(p, ast.Project) or m.optional or m.where is not None or p.star or len(m.patterns) != 1:
+            return None
+        nodes, rels = m.patterns[0].parts[0::2], m.patterns[0].parts[1::2]
+        names = [n.var for n in nodes]
+        if m.patterns[0].path or len(rels) != 2 or len(set(names)) != 3 or any(n.props or len(n.labels) != 1 for n in nodes) or any(r.props or r.hops is not None for r in rels):
+            return None
+        every, ids = ast.Call("count", (ast.Star(),)), [ast.Prop(ast.Var(n), "id") for n in names]
+        exprs, sort = [i.expr for i in p.items], [e for e, _ in p.order if not (isinstance(e, ast.Var) and any(e.name == i.alias for i in p.items))]
+        if every not in exprs or not set(ids) <= set(exprs) or not all(e == every or e in ids for e in exprs + sort):
+            return None
+        temporal, labels = m.temporal or self.prefix, [self.labels_of(n, {}) for n in nodes]
+        tables = [self.rel_tables(r, labels[i], labels[i + 1]) for i, r in enumerate(rels)]
+        if not all(tables):
+            raise QueryError("no relationship connects these labels")
+        self.semantics = m.semantics
+        axis, never = INTERVALS[temporal.axis if temporal else "valid"], F.lit(None).cast("timestamp_ntz")
+        shared = {e.type for e, _ in tables[0]} & {e.type for e, _ in tables[1]}  # a relationship is matched once in a MATCH
+        straight = rels[0].direction == rels[1].direction != "both"  # where only a loop can be both edges
+        hops = []
+        for i, rel in enumerate(rels):
+            edges, columns, ends = self.edge_rows(tables[i], rel.var, temporal, rel.direction == "both")
+            key = F.col(columns["edge_id"]) if shared else F.lit(None).cast("string")
+            key = F.when(F.col(ends["from"]) == F.col(ends["to"]), key) if straight else key
+            times = [F.col(columns[c]) if self.semantics and c in columns else never for c in axis]
+            pairs = gathered(edges.select(F.col(ends["from"]).alias("src"), F.col(ends["to"]).alias("dst"), key.alias("key"), *[c.alias(n) for c, n in zip(times, "ft", strict=True)]), *map(F.col, ("key", "f", "t")))
+            hops.append(pairs.select(F.col("src").alias(f"_from{i}"), F.col("dst").alias(f"_to{i}"), F.col("edges").alias(f"_edges{i}")))
+        scope: Scope = {}
+        for i, (at, hop) in enumerate((("_from0", 0), ("_to0", 0), ("_to1", 1))):
+            rows, var = self.node_rows(labels[i], nodes[i].var, temporal)
+            found = rows.groupBy(var.columns["id"], var.columns["label"]).agg(F.count(F.lit(1)).alias(f"_times{i}"))
+            hops[hop] = hops[hop].join(found, F.col(at) == F.col(var.columns["id"]))
+            scope[nodes[i].var] = replace(var, columns={k: var.columns[k] for k in ("id", "label")})
+
+        def fits(x: Column, y: Column) -> Column:
+            return self.along((x["f"], x["t"], x["f"], x["t"]), y["f"], y["t"])[0]
+
+        one, two = F.col("_edges0"), F.col("_edges1")
+        plain = F.size(one).cast("bigint") * F.size(two) if self.semantics in (None, "snapshot") else count_pairs(one, two, fits)
+        if shared:
+            meet = F.col("_from0") == F.col("_to1")
+            n = F.when(meet & (F.col("_from0") == F.col("_to0")) if straight else meet, count_pairs(one, two, lambda x, y: fits(x, y) & F.coalesce(x["key"] != y["key"], F.lit(True)))).otherwise(plain)
+        else:
+            n = plain
+        for i in range(3):
+            n = n * F.col(f"_times{i}")
+        name = self.fresh("paths")
+        df = hops[0].join(hops[1], F.col("_to0") == F.col("_from1")).withColumn(name, n).where(F.col(name) > 0)
+        self.semantics = None
+        of = ast.Var("_paths")
+        items = [replace(i, expr=of) if i.expr == every else i for i in p.items]
+        return Rows(df, {**scope, "_paths": ValueVar(name)}), replace(p, items=items, order=[(of if e == every else e, up) for e, up in p.order])
+
     def prop_filters(self, piece: Piece, rows: Rows) -> list[Column]:
         return [self.value(ast.Prop(ast.Var(var), key), rows) == self.value(expr, rows) for var, props in piece.filters for key, expr in props]
 
