@@ -421,3 +421,19 @@ def test_in_version_order(spark):
     for block in (4, 7, 1000):
         got = cdc.in_version_order(df, done, block).groupBy("partition_id").agg(F.max("commit_version").alias("top"), F.count_distinct("offset").alias("n"))
         assert ids(got, "partition_id", "top", "n") == [(1, 39, 78), (2, 19, 38), (3, 16, 32), (4, 39, 67)]
+
+
+@pytest.mark.parametrize("semantics", ["snapshot", "pairwise", "continuous", "sequential"])
+def test_temporal_path_counts(spark, semantics):
+    import random
+    from collections import Counter
+
+    rng = random.Random(8)
+    span = lambda: (a := rng.randrange(40), rng.choice([None, a + rng.randrange(1, 30)]))
+    rows = [(rng.randrange(5), rng.randrange(5), *[None if x is None else T(x) for x in span()]) for _ in range(120)] + [(1, 2, None, None)]
+    df = spark.createDataFrame(rows, "src long, dst long, valid_from timestamp_ntz, valid_to timestamp_ntz")
+    want = Counter(tuple(r.path) for r in traverse.temporal_paths(df, T(15), T(20), 2, semantics).collect())
+    got = traverse.temporal_path_counts(df, T(15), T(20), semantics)
+    assert {(r.a, r.b, r.c): r.n for r in got.collect()} == dict(want) != {}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.find("Join") < plan.find("Aggregate")  # nothing is grouped after the join

@@ -505,14 +505,12 @@ def temporal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("temporal_path_continuous", f"WITH {TEDGES.replace(f'valid_from < {T1} AND (valid_to IS NULL OR valid_to > {T0})', f'valid_from <= {T0} AND (valid_to IS NULL OR valid_to > {T1})')} SELECT a.src AS a, a.dst AS b, b.dst AS c, count(*) AS n FROM te a JOIN te b ON b.src = a.dst WHERE greatest(a.f, b.f) < least(a.t, b.t) GROUP BY 1, 2, 3")
 def temporal_path_continuous(spark, sf_dir):
-    p = traverse.temporal_paths(temporal_edges(spark, sf_dir), MOMENT, LATER, 2, "continuous")
-    return p.groupBy(F.get("path", F.lit(0)).alias("a"), F.get("path", F.lit(1)).alias("b"), F.get("path", F.lit(2)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    return traverse.temporal_path_counts(temporal_edges(spark, sf_dir), MOMENT, LATER, "continuous")
 
 
 @registered("temporal_path_pairwise", f"WITH {TEDGES} SELECT a.src AS a, a.dst AS b, b.dst AS c, count(*) AS n FROM te a JOIN te b ON b.src = a.dst WHERE a.t > b.f AND b.t > a.f GROUP BY 1, 2, 3")
 def temporal_path_pairwise(spark, sf_dir):
-    p = traverse.temporal_paths(temporal_edges(spark, sf_dir), MOMENT, LATER, 2, "pairwise")
-    return p.groupBy(F.get("path", F.lit(0)).alias("a"), F.get("path", F.lit(1)).alias("b"), F.get("path", F.lit(2)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    return traverse.temporal_path_counts(temporal_edges(spark, sf_dir), MOMENT, LATER, "pairwise")
 
 
 _WITHIN = f"valid_from < {T1} AND (valid_to IS NULL OR valid_to > {T0})"
