@@ -78,3 +78,22 @@ def test_paths_over_all_neighbours(spark):
     want = [f"3>{a}>{b}>{c}" for a in out.get(3, ()) for b in out.get(a, ()) for c in out.get(b, ()) if len({3, a, b, c}) == 4]
     got = [r.path for r in catalogue.QUERIES["path_enumeration_whole"](spark, DATA).collect()]
     assert sorted(got) == sorted(want) and len(got) > 5**3
+
+
+def _counted_paths(spark, query, edge, both):
+    log = [r for r in catalogue.event_log(spark, DATA).where("item IS NOT NULL").orderBy("ts", "seq").collect()]
+    runs = {}
+    for r in log:
+        runs.setdefault((r.user_id, r.item), []).append(r)
+    acted = [(*k, r.ts, s.ts if s else dt.datetime.max, r.seq) for k, rs in runs.items() for r, s in zip(rs, [*rs[1:], None], strict=True)]
+    ok = [e for e in acted if edge(e[2], e[3])]
+    want = Counter((x[0], x[1], y[1]) for x in ok for y in ok if x[1] == y[0] and x[4] != y[4] and both(x[2], x[3], y[2], y[3]))
+    got = catalogue.QUERIES[query](spark, DATA)
+    assert {(r.a, r.b, r.c): r.n for r in got.collect()} == dict(want) != {}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.find("Join") < plan.find("Aggregate")  # nothing is grouped after the join
+
+
+def test_pairwise_matches_are_counted_before_the_join(spark):
+    low, high = (dt.datetime.fromisoformat(x) for x in (catalogue.MOMENT, catalogue.LATER))
+    _counted_paths(spark, "match_path_pairwise", lambda f, t: f < high and t > low, lambda f, t, g, u: t > g and u > f)
