@@ -97,3 +97,8 @@ def _counted_paths(spark, query, edge, both):
 def test_pairwise_matches_are_counted_before_the_join(spark):
     low, high = (dt.datetime.fromisoformat(x) for x in (catalogue.MOMENT, catalogue.LATER))
     _counted_paths(spark, "match_path_pairwise", lambda f, t: f < high and t > low, lambda f, t, g, u: t > g and u > f)
+
+
+def test_continuous_matches_are_counted_before_the_join(spark):
+    low, high = (dt.datetime.fromisoformat(x) for x in (catalogue.MOMENT, catalogue.LATER))
+    _counted_paths(spark, "match_path_continuous", lambda f, t: f <= low and t > high, lambda f, t, g, u: max(f, g) < min(t, u))
